@@ -44,6 +44,7 @@ PRICE_SCHEMA = T.StructType([
 ])
 
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"',
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
                "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss", "dateFormat": "yyyy-MM-dd"}
 
 
