@@ -17,3 +17,200 @@ def two_level_vote(votes: DataFrame, key: str, family: str, pred: str, cut: floa
     fam = votes.groupBy(key, family).agg((F.avg(F.col(pred).cast("double")) >= F.lit(cut)).cast("int").alias("_fv"))
     return fam.groupBy(key).agg(F.sum("_fv").cast("long").alias("n_family_yes"),
                                 (F.avg(F.col("_fv").cast("double")) >= F.lit(cut)).cast("int").alias("pred"))
+
+
+# ---- feature vectors at the MLlib boundary ------------------------------------------------------
+
+def as_vector(df: DataFrame, cols, out: str = "features") -> DataFrame:
+    """Scalar columns or one array column -> an MLlib vector column."""
+    from pyspark.ml.functions import array_to_vector
+
+    if isinstance(cols, str):
+        return df.withColumn(out, array_to_vector(F.col(cols).cast("array<double>")))
+    arr = F.array(*[F.col(c).cast("double") for c in cols])
+    return df.withColumn(out, array_to_vector(arr))
+
+
+def predictions(model, df: DataFrame, key: str, label: str, out: str = "prediction") -> DataFrame:
+    """``(key, label, prediction)`` from a fitted model; predictions stay on their rows."""
+    return model.transform(df).select(key, label, F.col("prediction").alias(out))
+
+
+# ---- J1: lag regressor -------------------------------------------------------------------------
+
+def fit_lag_regressor(windows: DataFrame, x: str = "x", y: str = "y", reg_param: float = 0.0):
+    """Next scaled value from the k previous ones: least squares over every series
+    at once (normal equations: one distributed aggregation of k x k statistics)."""
+    from pyspark.ml.regression import LinearRegression
+
+    data = as_vector(windows, x)
+    return LinearRegression(featuresCol="features", labelCol=y, solver="normal", regParam=reg_param).fit(data)
+
+
+def forecast(model, windows: DataFrame, x: str = "x", out: str = "pred") -> DataFrame:
+    return model.transform(as_vector(windows, x)).withColumnRenamed("prediction", out).drop("features")
+
+
+# ---- J2-J8: classifiers ---------------------------------------------------------------------------
+
+def random_forest(train: DataFrame, label: str, num_trees: int = 100, seed: int = 42, max_depth: int = 5):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    return RandomForestClassifier(labelCol=label, numTrees=num_trees, seed=seed, maxDepth=max_depth).fit(train)
+
+
+def boosted_ovr(train: DataFrame, label: str, rounds: int = 100, seed: int = 42, parallelism: int = 4):
+    """Multiclass boosting: MLlib GBT is binary, so one-vs-rest over the classes
+    (the per-class fits run concurrently)."""
+    from pyspark.ml.classification import GBTClassifier, OneVsRest
+
+    gbt = GBTClassifier(maxIter=rounds, seed=seed)
+    return OneVsRest(classifier=gbt, labelCol=label, parallelism=parallelism).fit(train)
+
+
+def logistic(train: DataFrame, label: str, reg_param: float = 0.0, weight: str | None = None, max_iter: int = 100):
+    from pyspark.ml.classification import LogisticRegression
+
+    lr = LogisticRegression(labelCol=label, regParam=reg_param, maxIter=max_iter)
+    if weight:
+        lr = lr.setWeightCol(weight)
+    return lr.fit(train)
+
+
+def linear_svc(train: DataFrame, label: str, reg_param: float = 0.0, max_iter: int = 100):
+    from pyspark.ml.classification import LinearSVC
+
+    return LinearSVC(labelCol=label, regParam=reg_param, maxIter=max_iter).fit(train)
+
+
+def mlp(train: DataFrame, label: str, layers, seed: int = 42, max_iter: int = 100, block_size: int = 128):
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+
+    return MultilayerPerceptronClassifier(labelCol=label, layers=list(layers), seed=seed, maxIter=max_iter,
+                                          blockSize=block_size).fit(train)
+
+
+# ---- J4: MCC evaluator and random search ------------------------------------------------------------
+
+def _mcc_value(df: DataFrame, label: str, pred: str) -> float:
+    from tidemark.operators.metrics import mcc
+
+    return float(mcc(df, label, pred, digits=12).first()["mcc"])
+
+
+def mcc_evaluator(label: str = "label", pred: str = "prediction"):
+    """An MLlib ``Evaluator`` scoring binary MCC (larger is better)."""
+    from pyspark.ml.evaluation import Evaluator
+
+    class MCCEvaluator(Evaluator):
+        def _evaluate(self, dataset):
+            return _mcc_value(dataset, label, pred)
+
+        def isLargerBetter(self):
+            return True
+
+    return MCCEvaluator()
+
+
+# The reference's boosting search space, mapped onto MLlib GBT parameters.
+BOOST_SPACE = {
+    "maxIter": [50, 100, 200, 300],          # n_estimators
+    "maxDepth": [3, 4, 5, 6, 8],             # max_depth
+    "stepSize": [0.01, 0.05, 0.1, 0.2],      # learning_rate
+    "subsamplingRate": [0.6, 0.8, 1.0],      # subsample
+    "featureSubsetStrategy": ["0.6", "0.8", "1.0"],  # colsample_bytree (per node in MLlib)
+    "minInstancesPerNode": [1, 3, 5],        # min_child_weight
+    "minInfoGain": [0.0, 0.1, 0.2],          # gamma
+}
+
+
+def boost_random_search(train: DataFrame, label: str, fold_col: str, n_iter: int = 20, seed: int = 42,
+                        space: dict | None = None, parallelism: int = 4, folds: int = 5):
+    """Scaler + boosted trees, ``n_iter`` configurations drawn from the grid by md5
+    order, scored by k-fold MCC on ``fold_col``, refit on all rows (J4).
+    Returns ``(best_model, scores DataFrame(config_id, params..., cv_mcc))``."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import StandardScaler
+    from pyspark.ml.tuning import CrossValidator
+
+    from tidemark.operators.sampling import param_grid, param_sample
+
+    spark = train.sparkSession
+    space = space or BOOST_SPACE
+    grid = param_grid(spark, space)
+    picked = [r.asDict() for r in param_sample(grid, n_iter, seed).collect()]  # n_iter rows
+    scaler = StandardScaler(inputCol="features", outputCol="_scaled", withMean=True, withStd=True)
+    gbt = GBTClassifier(featuresCol="_scaled", labelCol=label, seed=seed)
+    maps = []
+    for cfg in picked:
+        maps.append({getattr(gbt, k): (str(v) if k == "featureSubsetStrategy" else v)
+                     for k, v in cfg.items() if k != "config_id"})
+    cv = CrossValidator(estimator=Pipeline(stages=[scaler, gbt]), estimatorParamMaps=maps,
+                        evaluator=mcc_evaluator(label), foldCol=fold_col, numFolds=folds, parallelism=parallelism,
+                        seed=seed)
+    model = cv.fit(train)
+    rows = [(int(c["config_id"]), float(s)) for c, s in zip(picked, model.avgMetrics)]
+    scores = spark.createDataFrame(rows, "config_id int, cv_mcc double").join(grid, "config_id")
+    return model.bestModel, scores
+
+
+# ---- J9: MLP grid -----------------------------------------------------------------------------------
+
+def mlp_grid(train: DataFrame, valid: DataFrame, label: str, n_features: int, n_classes: int,
+             hidden: list, block_sizes: list, seed: int = 42, max_iter: int = 100) -> DataFrame:
+    """Fit one MLP per (hidden layers, block size), score validation MCC; a metrics
+    table ``(config_id, hidden, block_size, val_mcc)`` in enumeration order."""
+    spark = train.sparkSession
+    rows = []
+    cid = 0
+    for h in hidden:
+        for b in block_sizes:
+            m = mlp(train, label, [n_features, *h, n_classes], seed=seed, max_iter=max_iter, block_size=b)
+            score = _mcc_value(m.transform(valid), label, "prediction")
+            rows.append((cid, "-".join(map(str, h)), int(b), score))
+            cid += 1
+    return spark.createDataFrame(rows, "config_id int, hidden string, block_size int, val_mcc double")
+
+
+# ---- J10: bagging -------------------------------------------------------------------------------------
+
+def bagging_votes(train: DataFrame, score: DataFrame, key: str, label: str, replicates: int = 10, seed: int = 42,
+                  knn_vec: str | None = None, families: tuple = ("lr", "svc", "rf", "knn"),
+                  parallelism: int = 4) -> DataFrame:
+    """Long vote table ``(key, family, replicate, pred)``: every family is fitted on
+    each bootstrap replicate (seed + replicate) and predicts ``score``. The
+    replicate x family fits are independent Spark jobs submitted from a few
+    driver threads, so they share the cluster instead of queueing."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tidemark.operators.sampling import bootstrap
+    from tidemark.operators.vectors import knn_classify
+
+    spark = train.sparkSession
+    boots = bootstrap(train, key, replicates, seed).checkpoint(eager=True)
+
+    def one(task):
+        r, fam = task
+        sample = boots.where(F.col("replicate") == r).drop("replicate")
+        if fam == "knn":
+            ref = sample.withColumn("_rid", F.col("draw")).select("_rid", knn_vec, label)
+            pr = knn_classify(score.select(key, knn_vec), ref, 5, key, "_rid", label, knn_vec)
+            v = pr.select(key, F.col("pred").cast("int").alias("pred"))
+        else:
+            fit = {"lr": logistic, "svc": linear_svc,
+                   "rf": lambda d, lab: random_forest(d, lab, 100, seed + r)}[fam]
+            m = fit(sample, label)
+            v = m.transform(score).select(key, F.col("prediction").cast("int").alias("pred"))
+        v = v.withColumn("family", F.lit(fam)).withColumn("replicate", F.lit(r))
+        return v.checkpoint(eager=True)  # small: one vote per scored row
+
+    tasks = [(r, fam) for r in range(replicates) for fam in families if fam != "knn" or knn_vec is not None]
+    if not tasks:
+        return spark.createDataFrame([], f"{key} long, pred int, family string, replicate int")
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        parts = list(pool.map(one, tasks))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
