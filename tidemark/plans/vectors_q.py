@@ -34,7 +34,12 @@ def _train(spark, sf):
 
 
 LOGIT = "list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE)))"
-SUM_EMB = F.aggregate(F.col("embedding"), F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double"))
+
+
+def _sum_emb():
+    return F.aggregate(F.col("embedding"), F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double"))
+
+
 DIST = "list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
 H = "CAST(CAST(('0x' || substr(md5({s}), 1, 8)) AS BIGINT) AS BIGINT)"
 
@@ -54,7 +59,7 @@ def threshold_predict(spark, sf):
     v = _v(spark, sf)
     share_pos = F.aggregate(F.col("embedding"), F.lit(0.0).cast("double"),
                             lambda a, x: a + (x > 0).cast("double")) / F.size("embedding")
-    return v.select("vec_id", F.round(sigmoid(SUM_EMB), 9).alias("prob"), clean.logit_decision(SUM_EMB).alias("pred"),
+    return v.select("vec_id", F.round(sigmoid(_sum_emb()), 9).alias("prob"), clean.logit_decision(_sum_emb()).alias("pred"),
                     clean.threshold(share_pos, 0.5, strict=False).alias("vote"))
 
 
