@@ -100,20 +100,31 @@ def _brute_knn(q, r, k):
     return np.argsort(d, axis=1, kind="stable")[:, :k], np.sort(d, axis=1)[:, :k]
 
 
-@pytest.mark.parametrize("clustered", [False, True])
-def test_knn_exact_against_brute_force(spark, clustered):
+@pytest.mark.parametrize("clustered,block", [(False, 16384), (True, 16384), (False, 64), (True, 7)])
+def test_knn_exact_against_brute_force(spark, clustered, block):
     rng = np.random.default_rng(5)
     ref = rng.normal(size=(300, 8)) + (rng.integers(0, 4, size=(300, 1)) * 6 if clustered else 0)
     qs = rng.normal(size=(40, 8)) + (rng.integers(0, 4, size=(40, 1)) * 6 if clustered else 0)
     rdf = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(ref)], "rid long, v array<double>")
     qdf = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(qs)], "qid long, v array<double>")
-    got = vectors.knn(qdf, rdf, 5, "qid", "rid", "v", pivots=6).collect()
+    got = vectors.knn(qdf, rdf, 5, "qid", "rid", "v", block_rows=block).collect()
     idx, dist = _brute_knn(qs, ref, 5)
     by = {(r.q_id, r.rank): (r.r_id, r.dist) for r in got}
     assert len(got) == 40 * 5
     for qi in range(40):
         for k in range(5):
             assert math.isclose(by[(qi, k + 1)][1], dist[qi, k], rel_tol=1e-9, abs_tol=1e-9)
+            assert by[(qi, k + 1)][0] == idx[qi, k]
+
+
+def test_knn_ties_broken_by_id_across_blocks(spark):
+    # many equal distances: the lowest reference ids win, in every block layout
+    ref = [(i, [float(i % 3), 0.0]) for i in range(60)]
+    rdf = spark.createDataFrame(ref, "rid long, v array<double>")
+    qdf = spark.createDataFrame([(0, [0.0, 0.0]), (1, [2.0, 0.0])], "qid long, v array<double>")
+    for block in (16384, 5):
+        got = sorted((r.q_id, r.rank, r.r_id) for r in vectors.knn(qdf, rdf, 4, "qid", "rid", "v", block_rows=block).collect())
+        assert got == [(0, 1, 0), (0, 2, 3), (0, 3, 6), (0, 4, 9), (1, 1, 2), (1, 2, 5), (1, 3, 8), (1, 4, 11)]
 
 
 def test_smote_tiny_minority(spark):

@@ -1,82 +1,120 @@
 """Vector operators: exact k-nearest neighbours, SMOTE, centroids, PCA.
 
-Exact kNN without comparing every pair: the reference set is cut into cells
-around P pivot rows (md5-chosen; P x dim floats, a fixed bound). For a query q
-with pivot distances d_c and cell radii R_c, every point of cell c lies within
-d_c + R_c, so walking cells by that bound gives a radius tau that already holds
-k points; only cells with d_c - R_c <= tau can contain a nearer point. Queries
-are joined to those candidate cells only (an equi-join on the cell id, whose
-hot cells AQE splits), and the result is exact.
+Exact kNN as a blocked distance computation. Pivot or cell pruning does not
+help on these inputs (the 64-d embeddings are spread like random points: every
+cell bound admits every cell), so the exact answer needs every distance. The
+plan never materialises a pair row for that:
+
+* queries are hashed into ``Bq`` blocks and references into ``Br`` blocks of
+  at most ``block_rows`` rows each (``B = ceil(n / block_rows)``, sizes from two
+  counts), and every query block meets every reference block in one cogroup
+  ``(qb, rb)``; a group therefore holds at most ``2 * block_rows`` rows, however
+  many rows the tables have;
+* inside the group numpy computes the distances in slices of queries and keeps
+  only each query's k best (distance rounded to 9 digits, then reference id),
+  so a task emits ``k`` rows per query, never the pairs;
+* the ``Br`` partial lists of a query (``k * Br`` rows) are merged by one
+  shuffle on the query id; with a single reference block the partial list is
+  already final and that shuffle is skipped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.keys import hash_int, hash_key, hash_unit
-from tidemark.functions.vec import euclid, lerp
+from tidemark.functions.keys import hash_int, hash_unit
+from tidemark.functions.vec import lerp
 from tidemark.operators.ordering import ordered_index
 
-PIVOTS = 16
-DIST_DIGITS = 9   # distances are compared after rounding; ties broken by id
+BLOCK_ROWS = 16_384      # rows of one side in a cogroup (16k x 64 floats = 4 MB)
+QUERY_SLICE = 256        # queries per screening slice (256 x 16k doubles = 32 MB)
+DIST_DIGITS = 9          # distances are compared after rounding; ties broken by id
+KNN_SCHEMA = "q_id long, rank int, r_id long, dist double"
 
 
-def _pivot_literal(vectors: list) -> Column:
-    return F.array(*[F.array(*[F.lit(float(x)) for x in v]) for v in vectors])
+def _block_topk(k: int, exclude_self: bool):
+    """Per cogroup: the k nearest references of every query in the group."""
+    import numpy as np
+    import pandas as pd
+
+    def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or r.empty:
+            return pd.DataFrame({"q_id": pd.Series([], "int64"), "rank": pd.Series([], "int32"),
+                                 "r_id": pd.Series([], "int64"), "dist": pd.Series([], "float64")})
+        qv = np.stack(q["v"].to_numpy()).astype(np.float64)
+        rv = np.stack(r["v"].to_numpy()).astype(np.float64)
+        qid = q["id"].to_numpy(np.int64)
+        rid = r["id"].to_numpy(np.int64)
+        rn2 = np.einsum("ij,ij->i", rv, rv)
+        rmax = float(rn2.max())
+        out_q, out_rank, out_r, out_d = [], [], [], []
+        for s in range(0, len(qv), QUERY_SLICE):
+            qs, qi = qv[s:s + QUERY_SLICE], qid[s:s + QUERY_SLICE]
+            qn2 = np.einsum("ij,ij->i", qs, qs)
+            # screening distances by the matrix product (one BLAS call per slice)
+            d2 = qn2[:, None] + rn2[None, :] - 2.0 * (qs @ rv.T)
+            if exclude_self:
+                d2[qi[:, None] == rid[None, :]] = np.inf
+            kk = min(k, d2.shape[1])
+            kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1:kk]
+            # margin far above the float error of the screen plus the 9-digit rounding,
+            # so every true top-k entry is a candidate
+            margin = 1e-9 * (qn2[:, None] + rmax) + 1e-8 * np.sqrt(np.maximum(kth, 0.0)) + 1e-12
+            rows, cols = np.nonzero(d2 <= kth + margin)
+            # exact distances of the candidates, summed left to right like a sequential loop
+            diff = qs[rows] - rv[cols]
+            acc = np.zeros(len(rows))
+            for j in range(diff.shape[1]):
+                acc += diff[:, j] * diff[:, j]
+            dv = np.round(np.sqrt(acc), DIST_DIGITS)
+            o = np.lexsort((cols, dv, rows))      # per query: distance, then reference id
+            rows, cols, dv = rows[o], cols[o], dv[o]
+            rank = np.arange(len(rows)) - np.searchsorted(rows, rows) + 1
+            keep = rank <= kk
+            out_q.append(qi[rows[keep]])
+            out_rank.append(rank[keep].astype(np.int32))
+            out_r.append(rid[cols[keep]])
+            out_d.append(dv[keep])
+        cat = np.concatenate
+        return pd.DataFrame({"q_id": cat(out_q), "rank": cat(out_rank), "r_id": cat(out_r), "dist": cat(out_d)})
+
+    return run
 
 
 def knn(queries: DataFrame, reference: DataFrame, k: int, qkey: str, rkey: str, vec: str = "embedding",
-        exclude_self: bool = False, pivots: int = PIVOTS, seed: int = 42) -> DataFrame:
-    """The k nearest reference rows of every query row by Euclidean distance.
+        exclude_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The k nearest reference rows of every query row by Euclidean distance (exact).
 
     Output ``(q_id, rank, r_id, dist)``; rank 1.. by (distance rounded to 9
     digits, reference id). With ``exclude_self`` a row is not its own neighbour
     (query and reference keys compared)."""
     spark = queries.sparkSession
-    piv_rows = reference.orderBy(hash_key(seed, F.col(rkey)), F.col(rkey)).limit(pivots).select(vec).collect()
-    if not piv_rows:
-        return spark.createDataFrame([], "q_id long, rank int, r_id long, dist double")
-    piv = _pivot_literal([r[0] for r in piv_rows])
-    P = len(piv_rows)
-
-    def pivot_dists(v: Column) -> Column:
-        return F.transform(piv, lambda p: euclid(v, p))
-
-    ref = reference.select(F.col(rkey).alias("r_id"), F.col(vec).alias("r_vec"))
-    ref = ref.withColumn("_d", pivot_dists(F.col("r_vec")))
-    ref = ref.withColumn("cell", (F.array_position(F.col("_d"), F.array_min(F.col("_d"))) - 1).cast("int"))
-    ref = ref.withColumn("_dc", F.array_min(F.col("_d"))).drop("_d")
-    ref = ref.checkpoint(eager=True)
-    stats = {r["cell"]: (r["n"], r["radius"]) for r in
-             ref.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("_dc").alias("radius")).collect()}
-    need = k + (1 if exclude_self else 0)
-    cells = sorted(stats)
-    total = sum(stats[c][0] for c in cells)
-
-    q = queries.select(F.col(qkey).alias("q_id"), F.col(vec).alias("q_vec")).withColumn("_qd", pivot_dists(F.col("q_vec")))
-    if total <= need:
-        tau = F.lit(float("inf"))
-    else:
-        bounds = F.array_sort(F.array(*[F.struct((F.col("_qd")[c] + F.lit(float(stats[c][1]))).alias("ub"),
-                                                 F.lit(int(stats[c][0])).alias("cnt")) for c in cells]))
-        init = F.struct(F.lit(0).cast("long").alias("acc"), F.lit(None).cast("double").alias("tau"))
-        tau = F.aggregate(bounds, init, lambda a, x: F.struct(
-            (a["acc"] + x["cnt"]).alias("acc"),
-            F.when(a["tau"].isNull() & (a["acc"] + x["cnt"] >= need), x["ub"]).otherwise(a["tau"]).alias("tau")))["tau"]
-    q = q.withColumn("_tau", tau)
-    eps = 1e-9
-    cand = F.filter(F.array(*[F.struct(F.lit(c).alias("cell"),
-                                       (F.col("_qd")[c] - F.lit(float(stats[c][1]))).alias("lb")) for c in cells]),
-                    lambda s: s["lb"] <= F.col("_tau") * F.lit(1 + eps) + F.lit(eps))
-    qc = q.select("q_id", "q_vec", "_tau", F.explode(cand).alias("_c")).select("q_id", "q_vec", "_tau", F.col("_c.cell").alias("cell"))
-    pairs = qc.join(ref, "cell").select("q_id", "r_id", euclid(F.col("q_vec"), F.col("r_vec")).alias("dist"), "_tau")
-    pairs = pairs.where(F.col("dist") <= F.col("_tau") * F.lit(1 + eps) + F.lit(eps))
-    if exclude_self:
-        pairs = pairs.where(F.col("q_id") != F.col("r_id"))
-    w = Window.partitionBy("q_id").orderBy(F.round("dist", DIST_DIGITS), F.col("r_id"))
-    return (pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select("q_id", "rank", "r_id", F.round("dist", DIST_DIGITS).alias("dist")))
+    n_q, n_r = queries.count(), reference.count()
+    if n_q == 0 or n_r == 0 or k <= 0:
+        return spark.createDataFrame([], KNN_SCHEMA)
+    bq = max(1, math.ceil(n_q / block_rows))
+    br = max(1, math.ceil(n_r / block_rows))
+
+    def side(df, key, nb, other_nb, own, other):
+        out = df.select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"),
+                        F.pmod(F.xxhash64(F.col(key)), F.lit(nb)).cast("int").alias(own))
+        if other_nb == 1:
+            return out.withColumn(other, F.lit(0))
+        # each row meets every block of the other side once
+        return out.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_nb - 1))))
+
+    q = side(queries, qkey, bq, br, "qb", "rb")
+    r = side(reference, rkey, br, bq, "rb", "qb")
+    part = (q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb"))
+            .applyInPandas(_block_topk(k, exclude_self), KNN_SCHEMA))
+    if br == 1:
+        return part
+    w = Window.partitionBy("q_id").orderBy("dist", "r_id")
+    return (part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .select("q_id", F.col("rank").cast("int").alias("rank"), "r_id", "dist"))
 
 
 def knn_classify(queries: DataFrame, train: DataFrame, k: int, qkey: str, rkey: str, label: str,
@@ -90,7 +128,7 @@ def knn_classify(queries: DataFrame, train: DataFrame, k: int, qkey: str, rkey:
 
 
 def smote(df: DataFrame, label: str, key: str, vec: str = "embedding", k: int = 5, seed: int = 42,
-          pivots: int = PIVOTS) -> DataFrame:
+          block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Synthetic minority rows until the minority class matches the majority.
 
     Draw j picks base row ``md5('seed:b:j') mod n_min`` (dense id order), its
@@ -110,7 +148,7 @@ def smote(df: DataFrame, label: str, key: str, vec: str = "embedding", k: int =
     mino = df.where(F.col(label) == F.lit(minority)).select(key, vec)
     if n_syn <= 0 or k_eff < 1:
         return spark.createDataFrame([], f"syn_id long, base_id long, nbr_id long, u double, {label} int, {vec} array<double>")
-    nn = knn(mino, mino, k_eff, key, key, vec, exclude_self=True, pivots=pivots, seed=seed)
+    nn = knn(mino, mino, k_eff, key, key, vec, exclude_self=True, block_rows=block_rows)
     idx = ordered_index(mino, None, [F.col(key)], name="_i").select(F.col("_i"), F.col(key).alias("base_id"),
                                                                     F.col(vec).alias("_bv"))
     draws = spark.range(n_syn).select(

@@ -11,7 +11,7 @@ SELECT o.o_orderkey AS ticket_id,
        CAST(o.o_orderdate AS DATE) AS date_of_purchase,
        p.p_type AS ticket_type,
        d.source AS ticket_subject,
-       substr(d.text, 1, 200) AS ticket_description,
+       d.text AS ticket_description,
        o.o_orderstatus AS ticket_status,
        CASE WHEN o.o_orderstatus = 'F' THEN p.p_name END AS resolution,
        o.o_orderpriority AS ticket_priority,
@@ -21,8 +21,8 @@ SELECT o.o_orderkey AS ticket_id,
        CASE WHEN o.o_orderstatus = 'F' THEN CAST(1 + o.o_custkey % 5 AS DOUBLE) END AS customer_satisfaction_rating
 FROM orders o
 JOIN customer c ON o.o_custkey = c.c_custkey
-JOIN part p ON p.p_partkey = o.o_orderkey % 200
-JOIN documents d ON d.doc_id = o.o_orderkey % 199
+JOIN part p ON p.p_partkey = o.o_orderkey % (SELECT count(*) FROM part)
+JOIN documents d ON d.doc_id = o.o_orderkey % (SELECT count(*) FROM documents)
 LEFT JOIN (SELECT l_orderkey, min(l_shipdate) AS ship FROM lineitem GROUP BY l_orderkey) l ON l.l_orderkey = o.o_orderkey
 """
 

@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from tidemark.sources.tables import table
 
 # Fixed values of the fixture definitions (must equal the SQL views in FIXTURES.md).
-PART_MOD = 200        # ticket -> part by o_orderkey % 200
-DOC_MOD = 199         # ticket -> document by o_orderkey % 199
-DESC_CHARS = 200      # ticket description = first 200 characters of the document
+# A ticket takes part o_orderkey % (#parts) and document o_orderkey % (#documents):
+# keys are dense from 0, so every order keeps its row and every part and document
+# is used; the ticket description is the document's whole text.
 AGE_BASE, AGE_MOD = 18, 53
 RATING_MOD = 5
 SPLIT_MOD = 10        # doc_id % 10: < 7 train, = 7 valid, else test
@@ -33,13 +33,14 @@ def _split(key: str):
 def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
     c = table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment")
-    # Dimension slices addressed by a modulus: at most 2*MOD-1 keys of a unique key
-    # column survive the filter, so these sides have a proven size bound and are broadcast.
-    p = (table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_type", "p_name")
-         .where(F.col("p_partkey").between(-(PART_MOD - 1), PART_MOD - 1)))
-    d = (table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang")
-         .where(F.col("doc_id").between(-(DOC_MOD - 1), DOC_MOD - 1))
-         .select("doc_id", F.substring("text", 1, DESC_CHARS).alias("ticket_description"), "source", "lang"))
+    p = table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_type", "p_name")
+    d = table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang")
+    # Table sizes as uncorrelated scalar subqueries (one small aggregate each, planned
+    # lazily with the query). The dimension joins are plain equi-joins: Spark broadcasts
+    # a side only when its measured size is under the broadcast threshold, else it
+    # shuffles both sides on the key.
+    n_part = p.select(F.count(F.lit(1))).scalar()
+    n_doc = d.select(F.count(F.lit(1))).scalar()
     # First ship date per order: partial aggregation before the shuffle on l_orderkey.
     ship = (table(spark, sf_dir, "lineitem", "l_orderkey", "l_shipdate")
             .groupBy("l_orderkey").agg(F.min("l_shipdate").alias("ship")))
@@ -47,8 +48,10 @@ def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         o.join(ship, o.o_orderkey == ship.l_orderkey, "left")
         .join(c, o.o_custkey == c.c_custkey)
-        .join(F.broadcast(p), p.p_partkey == o.o_orderkey % PART_MOD)
-        .join(F.broadcast(d), d.doc_id == o.o_orderkey % DOC_MOD)
+        .withColumn("_part", F.col("o_orderkey") % n_part)
+        .withColumn("_doc", F.col("o_orderkey") % n_doc)
+        .join(p, F.col("_part") == p.p_partkey)
+        .join(d, F.col("_doc") == d.doc_id)
         .select(
             F.col("o_orderkey").alias("ticket_id"),
             (F.lit(AGE_BASE) + F.col("c_custkey") % AGE_MOD).cast("int").alias("customer_age"),
@@ -57,7 +60,7 @@ def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("o_orderdate").cast("date").alias("date_of_purchase"),
             F.col("p_type").alias("ticket_type"),
             F.col("source").alias("ticket_subject"),
-            "ticket_description",
+            F.col("text").alias("ticket_description"),
             F.col("o_orderstatus").alias("ticket_status"),
             F.when(filled, F.col("p_name")).alias("resolution"),
             F.col("o_orderpriority").alias("ticket_priority"),
