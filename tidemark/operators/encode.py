@@ -16,10 +16,13 @@ from tidemark.operators.ordering import BROADCAST_ROWS, ordered_index
 
 
 def _join_small(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left",
-                null_safe: bool = True) -> DataFrame:
-    """Join a fitted parameter table; broadcast it when its size is checked small."""
-    small = small.checkpoint(eager=True)  # small; cut its lineage so it is computed once
-    if small.count() <= BROADCAST_ROWS:
+                null_safe: bool = True, rows: int | None = None) -> DataFrame:
+    """Join a fitted parameter table; broadcast it when its size is checked small.
+    ``rows`` is a known upper bound of its row count (then it is not re-counted)."""
+    if rows is None:
+        small = small.checkpoint(eager=True)  # small; cut its lineage so it is computed once
+        rows = small.count()
+    if rows <= BROADCAST_ROWS:
         small = F.broadcast(small)
     tmp = [f"_k{i}" for i in range(len(on))]
     s = small.select(*[F.col(c).alias(t) for c, t in zip(on, tmp)], *[c for c in small.columns if c not in on])
@@ -60,11 +63,35 @@ def fit_label_encoder(df: DataFrame, col: str, code: str = "code") -> DataFrame:
         col, (F.col("_rn") - 1).cast("int").alias(code))
 
 
+def fit_label_encoders(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, int]:
+    """Sorted-order codes for several columns of one type in one pass:
+    ``(_ci, _v, _code)`` (column index, value, code). The values of all columns are
+    stacked, deduplicated with partial aggregation and ranked per column with the
+    range shuffle; the table is checkpointed and counted once. Returns it and its
+    row count."""
+    stacked = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("_ci"), F.col(c).alias("_v"))
+                                           for i, c in enumerate(cols)])))
+    distinct = stacked.where(F.col("_v").isNotNull()).distinct()
+    codes = ordered_index(distinct, ["_ci"], [F.col("_v")], name="_rn").select(
+        "_ci", "_v", (F.col("_rn") - 1).cast("int").alias("_code")).checkpoint(eager=True)
+    return codes, codes.count()
+
+
 def label_encode(df: DataFrame, cols: Sequence[str], suffix: str = "_code") -> DataFrame:
-    """Refit a sorted-order encoder for each column (C3); unseen/null -> -1."""
+    """Refit a sorted-order encoder for each column (C3); unseen/null -> -1.
+    Columns of one type are fitted together in one pass over ``df``."""
+    cols = list(cols)
+    if len({df.schema[c].dataType for c in cols}) != 1:
+        out = df
+        for c in cols:
+            out = apply_codes(out, fit_label_encoder(df, c, c + suffix), c, c + suffix)
+        return out
+    codes, rows = fit_label_encoders(df, cols)
     out = df
-    for c in cols:
-        out = apply_codes(out, fit_label_encoder(df, c, c + suffix), c, c + suffix)
+    for i, c in enumerate(cols):
+        fitted = codes.where(F.col("_ci") == i).select(F.col("_v").alias(c), F.col("_code").alias(c + suffix))
+        out = _join_small(out, fitted, [c], null_safe=False, rows=rows)
+        out = out.withColumn(c + suffix, F.coalesce(F.col(c + suffix), F.lit(-1)).cast("int"))
     return out
 
 

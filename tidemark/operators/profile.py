@@ -63,12 +63,14 @@ def crosstab(df: DataFrame, a: str, b: str, values: Sequence | None = None,
     return out.na.fill(0, subset=names).orderBy(a)
 
 
-def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[str] = (),
+                    n: int | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles (pandas / DuckDB ``quantile_cont``).
 
     Values are ranked with a range shuffle (``ordered_index``), so no task holds a
     whole group; only the <= 2 rows around each quantile position are kept and
-    interpolated. Result: one row per group with columns ``q_<i>``.
+    interpolated. Result: one row per group with columns ``q_<i>``. ``n`` (the
+    non-null count, ungrouped case) skips a counting pass when the caller has it.
     """
     by = list(by)
     vals = df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col))).select(*by, F.col(col).cast("double").alias("_v"))
@@ -79,7 +81,7 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[s
         from tidemark.operators.encode import _join_small
         joined = _join_small(ranked, sizes, by, how="inner")
     else:
-        n = sizes.first()[0]
+        n = sizes.first()[0] if n is None else n
         joined = ranked.withColumn("_n", F.lit(n))
     aggs = []
     for i, q in enumerate(qs):
@@ -105,16 +107,20 @@ def describe(df: DataFrame, col: str, digits: int | None = 2, exact: bool = True
     ``exact=False`` uses ``percentile_approx`` (single pass, bounded memory).
     """
     x = F.col(col).cast("double")
-    base = df.where(F.col(col).isNotNull())
-    moments = base.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-                       F.min(x).alias("min"), F.max(x).alias("max"))
+    # the cleaned value column is written once to the checkpoint folder: moments,
+    # ranking and counting then read n doubles instead of recomputing the input plan
+    vals = df.select(x.alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan(F.col("_x"))).checkpoint(eager=True)
+    v = F.col("_x")
+    moments = vals.agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+                       F.min(v).alias("min"), F.max(v).alias("max"))
+    m = moments.first()
     if exact:
-        qs = exact_quantiles(base, col, [0.25, 0.5, 0.75]).select(
+        qs = exact_quantiles(vals, "_x", [0.25, 0.5, 0.75], n=m["count"]).select(
             F.col("q_0").alias("p25"), F.col("q_1").alias("p50"), F.col("q_2").alias("p75"))
     else:
-        qs = base.agg(F.percentile_approx(x, [0.25, 0.5, 0.75], 10000).alias("_p")).select(
+        qs = vals.agg(F.percentile_approx(v, [0.25, 0.5, 0.75], 10000).alias("_p")).select(
             F.col("_p")[0].alias("p25"), F.col("_p")[1].alias("p50"), F.col("_p")[2].alias("p75"))
-    m, q = moments.first(), qs.first()
+    q = qs.first() if m["count"] else None
     row = {**m.asDict(), **(q.asDict() if q is not None else {"p25": None, "p50": None, "p75": None})}
     cols = ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]
     spark = df.sparkSession
