@@ -32,6 +32,17 @@ def positions(df: DataFrame, by, order, name: str = "pos") -> DataFrame:
     return ordered_index(df, _list(by), _list(order), name=name)
 
 
+def segment_positions(df: DataFrame, by, pos: str, segment: str, name: str = "spos") -> DataFrame:
+    """Positions restarted per segment, for chronological segments (each segment is a
+    contiguous range of ``pos`` inside its series): ``pos - first pos + 1``. Needs
+    one small (series, segment) aggregate joined back, not a second ranking pass."""
+    from tidemark.operators.encode import _join_small
+    by = _list(by)
+    first = df.groupBy(*by, segment).agg(F.min(pos).alias("_p0"))
+    return (_join_small(df, first, [*by, segment], how="inner")
+            .withColumn(name, F.col(pos) - F.col("_p0") + 1).drop("_p0"))
+
+
 def with_halo(df: DataFrame, by, pos: str, k: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Add ``_chunk`` and duplicate the last ``k`` rows of each chunk into the next
     one with ``_halo = true``. Windows over ``partitionBy(by, _chunk)`` with a
@@ -107,6 +118,21 @@ def moving_avg(df: DataFrame, by, pos: str, value: str, k: int, out: str = "ma",
             .where(~F.col("_halo") & (F.col("_cnt") == k)).drop("_chunk", "_halo", "_cnt"))
 
 
+def moving_avgs(df: DataFrame, by, pos: str, value: str, ks: Sequence[int], prefix: str = "ma_",
+                chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Means of the previous k values for several k in one pass: one halo of the
+    largest k and one window stage with a frame per k. ``<prefix><k>`` is null
+    where fewer than k values precede the row."""
+    by = _list(by)
+    ks = list(ks)
+    h = with_halo(df, by, pos, max(ks), chunk_rows)
+    cols = []
+    for k in ks:
+        w = _chunk_window(by, pos, -k, -1)
+        cols.append(F.when(F.count(F.col(value)).over(w) == k, F.avg(F.col(value)).over(w)).alias(f"{prefix}{k}"))
+    return h.select("*", *cols).where(~F.col("_halo")).drop("_chunk", "_halo")
+
+
 # ---- F6: lag-length selection ---------------------------------------------------------------
 
 LAG_GRID = (15, 30, 45, 60, 75, 90, 120)  # fixed value: the reference's look-back sweep

@@ -267,8 +267,8 @@ def lag_sweep(spark, sf):
     values; the smallest validation MSE wins (first k on ties) (F6)."""
     s = _scaled_series(spark, sf)
     tr = s.where(F.col("segment") == "train").drop("segment", "pos")
-    fv = series.chrono_split(tr, "ticker", "date", 0.8, out="seg", labels=("fit", "val"), pos="_p").drop("_p")
-    spos = series.positions(fv, ["ticker", "seg"], "date", "spos").cache()
+    fv = series.chrono_split(tr, "ticker", "date", 0.8, out="seg", labels=("fit", "val"), pos="_p")
+    spos = series.segment_positions(fv, "ticker", "_p", "seg", "spos").drop("_p").cache()
     rows = []
     for k in series.LAG_GRID:
         w = series.lag_windows(spos.withColumn("y", F.col("scaled")), ["ticker", "seg"], "spos", "scaled", k).cache()

@@ -135,8 +135,7 @@ def lag_windows(spark, sf):
 @reg("lag_windows_segmented", P(CS3 + LAG_SQL.format(keys="ticker, segment, date", k=K, part="ticker, segment",
                                                      src="sp3", extra="")))
 def lag_windows_segmented(spark, sf):
-    s3 = _split3(spark, sf).drop("pos")
-    pos = series.positions(s3, ["ticker", "segment"], "date", "spos")
+    pos = series.segment_positions(_split3(spark, sf), "ticker", "pos", "segment", "spos").drop("pos")
     w = series.lag_windows(pos.withColumn("y", F.col("close")), ["ticker", "segment"], "spos", "close", K)
     return _lag_long(w, ["ticker", "segment", "date"])
 
@@ -153,17 +152,22 @@ def lag_windows_test(spark, sf):
 def _lag_metrics(spark, sf):
     s = _scaled(spark, sf)
     tr = s.where(F.col("segment") == "train").drop("segment", "pos")
-    fv = series.chrono_split(tr, "ticker", "date", 0.8, out="seg", labels=("fit", "val"), pos="_p").drop("_p")
-    spos = series.positions(fv, ["ticker", "seg"], "date", "spos").cache()
-    out = None
-    for k in series.LAG_GRID:
-        ma = series.moving_avg(spos, ["ticker", "seg"], "spos", "scaled", k, out="ma")
-        err = (F.col("scaled") - F.col("ma"))
-        m = ma.groupBy("ticker").agg(
-            F.avg(F.when(F.col("seg") == "fit", err * err)).alias("fit_mse"),
-            F.avg(F.when(F.col("seg") == "val", err * err)).alias("val_mse")).withColumn("k", F.lit(k))
-        out = m if out is None else out.unionByName(m)
-    return out
+    fv = series.chrono_split(tr, "ticker", "date", 0.8, out="seg", labels=("fit", "val"), pos="_p")
+    spos = series.segment_positions(fv, "ticker", "_p", "seg", "spos").drop("_p")
+    ks = list(series.LAG_GRID)
+    ma = series.moving_avgs(spos, ["ticker", "seg"], "spos", "scaled", ks, prefix="ma_")
+    aggs = []
+    for k in ks:
+        err2 = (F.col("scaled") - F.col(f"ma_{k}")) * (F.col("scaled") - F.col(f"ma_{k}"))
+        aggs += [F.count(F.col(f"ma_{k}")).alias(f"n_{k}"),
+                 F.avg(F.when(F.col("seg") == "fit", err2)).alias(f"fit_{k}"),
+                 F.avg(F.when(F.col("seg") == "val", err2)).alias(f"val_{k}")]
+    per = ma.groupBy("ticker").agg(*aggs)
+    # unpivot the k columns; a (ticker, k) with no complete window has no row
+    long = per.select("ticker", F.inline(F.array(*[
+        F.struct(F.lit(k).alias("k"), F.col(f"n_{k}").alias("n"), F.col(f"fit_{k}").alias("fit_mse"),
+                 F.col(f"val_{k}").alias("val_mse")) for k in ks])))
+    return long.where(F.col("n") > 0).drop("n")
 
 
 def _lag_metrics_sql():

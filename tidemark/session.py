@@ -46,11 +46,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting names a shared (HDFS/object-store) folder and is
-    used as is. Only when it is unset (local tests) a scratch folder is made.
+    used as is. Only when it is unset on a local master (tests, bench) a scratch
+    folder is made; a cluster session without it is an error, because a
+    machine-local folder would not survive the loss of an executor.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder (HDFS / object store) for this cluster")
         path = tempfile.mkdtemp(prefix="tidemark-ckpt-", dir=os.environ.get("TIDEMARK_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", path)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
