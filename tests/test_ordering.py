@@ -67,3 +67,37 @@ def test_chrono_split_unsorted_input(spark):
     sp = series.chrono_split(df, "ticker", "d", 0.8)
     train = sorted(r.d for r in sp.where("segment = 'train'").collect())
     assert train == list(range(80))
+
+
+def _early_stop_py(metrics, patience, init=-1.0):
+    best, last_imp, first = init, None, metrics[0][0]
+    rows = []
+    for e, m in metrics:
+        imp = m > best
+        best = max(best, m)
+        last_imp = e if imp else last_imp
+        rows.append((e, m, imp))
+        if e - (last_imp if last_imp is not None else first - 1) >= patience:
+            break
+    imps = [(e, m) for e, m, i in rows if i]
+    return rows[-1][0], (imps[-1][0] if imps else None), (imps[-1][1] if imps else None)
+
+
+def test_early_stop_scan_over_range_partitions(spark):
+    rnd = random.Random(3)
+    runs = {"hot": 600, "a": 40, "b": 7}
+    data = {}
+    for r, n in runs.items():
+        level = 0.0
+        seq = []
+        for e in range(1, n + 1):
+            level += rnd.uniform(-0.05, 0.06)
+            seq.append((e, round(level + rnd.uniform(-0.2, 0.2), 3)))
+        data[r] = seq
+    df = spark.createDataFrame([(r, e, m) for r, seq in data.items() for e, m in seq], "run string, epoch int, metric double")
+    for patience in (5, 40):
+        exp = {r: _early_stop_py(seq, patience) for r, seq in data.items()}
+        for parts in (1, 7, 16):
+            got = {x.run: (x.stop_epoch, x.best_epoch, x.best_metric)
+                   for x in series.early_stop(df, "run", "epoch", "metric", patience, partitions=parts).collect()}
+            assert got == exp, (patience, parts)

@@ -199,25 +199,49 @@ def chunk_assign(df: DataFrame, order, size: int = 32, by=None, name: str = "chu
 
 # ---- F12: early stopping ---------------------------------------------------------------------
 
+def _carry_max(tagged: DataFrame, run: str, value) -> DataFrame:
+    """Per (range partition, run): the max of ``value`` over the run's rows in all
+    earlier range partitions. At most #runs + #partitions rows."""
+    from tidemark.operators.encode import _join_small
+    part = tagged.groupBy("_pid", run).agg(F.max(value).alias("_pm"))
+    prev = Window.partitionBy(run).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    return part.select("_pid", run, F.max("_pm").over(prev).alias("_carry"))
+
+
 def early_stop(metrics: DataFrame, run: str, epoch: str, metric: str, patience: int = 5,
-               initial_best: float = -1.0) -> DataFrame:
+               initial_best: float = -1.0, partitions: int | None = None) -> DataFrame:
     """Stop at the first epoch that completes ``patience`` non-improving epochs in a
     row (improvement = strictly above the running best, which starts at
     ``initial_best``); keep the best epoch up to the stop.
 
-    One row per run: ``stop_epoch, best_epoch, best_metric``. A run's table has
-    one row per training epoch, so a per-run window holds few rows.
+    One row per run: ``stop_epoch, best_epoch, best_metric``. The running best and
+    the last improving epoch are prefix maxima computed as a scan: rows are
+    range-partitioned on (run, epoch), so a long run is cut over many partitions;
+    each (partition, run) slice is scanned locally and gets a carry-in from a small
+    per-(partition, run) summary of the earlier partitions. No run is held by one task.
     """
-    w_prev = Window.partitionBy(run).orderBy(epoch).rowsBetween(Window.unboundedPreceding, -1)
-    w_cur = Window.partitionBy(run).orderBy(epoch).rowsBetween(Window.unboundedPreceding, 0)
-    prev_best = F.greatest(F.coalesce(F.max(metric).over(w_prev), F.lit(initial_best)), F.lit(initial_best))
-    m = metrics.withColumn("_improved", F.col(metric) > prev_best)
-    m = m.withColumn("_last_imp", F.max(F.when(F.col("_improved"), F.col(epoch))).over(w_cur))
-    first_epoch = F.min(epoch).over(Window.partitionBy(run))
-    m = m.withColumn("_streak", F.col(epoch) - F.coalesce(F.col("_last_imp"), first_epoch - 1))
+    from tidemark.operators.encode import _join_small
+    from tidemark.session import shuffle_partitions
+
+    n = partitions or shuffle_partitions(metrics.sparkSession)
+    tagged = (metrics.select(run, epoch, metric).repartitionByRange(n, F.col(run), F.col(epoch))
+              .withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True))
+    before = Window.partitionBy("_pid", run).orderBy(epoch).rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("_pid", run).orderBy(epoch).rowsBetween(Window.unboundedPreceding, 0)
+    init = F.lit(float(initial_best))
+    # scan 1: best metric before each epoch -> improvement flag
+    m = _join_small(tagged, _carry_max(tagged, run, F.col(metric)), ["_pid", run])
+    prev_best = F.greatest(init, F.col("_carry"), F.max(metric).over(before))
+    m = m.withColumn("_improved", F.col(metric) > prev_best).drop("_carry")
+    # scan 2: last improving epoch up to each epoch
+    m = _join_small(m, _carry_max(m, run, F.when(F.col("_improved"), F.col(epoch))), ["_pid", run])
+    m = m.withColumn("_last_imp", F.greatest(F.col("_carry"), F.max(F.when(F.col("_improved"), F.col(epoch))).over(upto)))
+    firsts = m.groupBy(run).agg(F.min(epoch).alias("_first"))
+    m = _join_small(m, firsts, [run])
+    m = m.withColumn("_streak", F.col(epoch) - F.coalesce(F.col("_last_imp"), F.col("_first") - 1))
     stops = m.groupBy(run).agg(
         F.coalesce(F.min(F.when(F.col("_streak") >= patience, F.col(epoch))), F.max(epoch)).alias("stop_epoch"))
-    j = m.join(stops, run).where(F.col(epoch) <= F.col("stop_epoch"))
+    j = _join_small(m, stops, [run], how="inner").where(F.col(epoch) <= F.col("stop_epoch"))
     return j.groupBy(run, "stop_epoch").agg(
         F.max(F.when(F.col("_improved"), F.col(epoch))).alias("best_epoch"),
         F.max(F.when(F.col("_improved"), F.col(metric))).alias("best_metric"))
