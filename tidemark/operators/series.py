@@ -67,9 +67,22 @@ def chrono_split(df: DataFrame, by, order, ratio: float = 0.8, out: str = "segme
                  labels: tuple[str, str] = ("train", "test"), pos: str = "pos") -> DataFrame:
     """First ``int(n * ratio)`` rows of each series are ``labels[0]``, the rest ``labels[1]``."""
     by = _list(by)
-    idx = with_group_size(positions(df, by, order, pos), by, "_n")
+    return split_by_position(positions(df, by, order, pos), by, pos, ratio, out, labels)
+
+
+def split_by_position(df: DataFrame, by, pos: str, ratio: float = 0.8, out: str = "segment",
+                      labels: tuple[str, str] = ("train", "test"), seg_pos: str | None = None) -> DataFrame:
+    """``chrono_split`` for rows that already carry their 1-based position ``pos`` in
+    the series (e.g. the train prefix of an earlier split): no second ranking pass.
+    ``seg_pos`` adds the position restarted per segment (``pos`` or ``pos - cut``)."""
+    by = _list(by)
+    idx = with_group_size(df, by, "_n")
     cut = F.floor(F.col("_n").cast("double") * F.lit(float(ratio)))
-    return idx.withColumn(out, F.when(F.col(pos) <= cut, labels[0]).otherwise(labels[1])).drop("_n")
+    first = F.col(pos) <= cut
+    idx = idx.withColumn(out, F.when(first, labels[0]).otherwise(labels[1]))
+    if seg_pos:
+        idx = idx.withColumn(seg_pos, F.when(first, F.col(pos)).otherwise(F.col(pos) - cut).cast("long"))
+    return idx.drop("_n")
 
 
 def chrono_split3(df: DataFrame, by, order, ratio: float = 0.8, val_ratio: float = 0.2,

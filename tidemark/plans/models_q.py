@@ -266,9 +266,10 @@ def lag_sweep(spark, sf):
     """One regressor per look-back k on the fit rows; fit and validation MSE on scaled
     values; the smallest validation MSE wins (first k on ties) (F6)."""
     s = _scaled_series(spark, sf)
-    tr = s.where(F.col("segment") == "train").drop("segment", "pos")
-    fv = series.chrono_split(tr, "ticker", "date", 0.8, out="seg", labels=("fit", "val"), pos="_p")
-    spos = series.segment_positions(fv, "ticker", "_p", "seg", "spos").drop("_p").cache()
+    # the train segment is the prefix of each series, so its series positions are kept
+    tr = s.where(F.col("segment") == "train").drop("segment").withColumnRenamed("pos", "_p")
+    fv = series.split_by_position(tr, "ticker", "_p", 0.8, out="seg", labels=("fit", "val"), seg_pos="spos")
+    spos = fv.drop("_p").cache()
     rows = []
     for k in series.LAG_GRID:
         w = series.lag_windows(spos.withColumn("y", F.col("scaled")), ["ticker", "seg"], "spos", "scaled", k).cache()

@@ -151,9 +151,10 @@ def lag_windows_test(spark, sf):
 
 def _lag_metrics(spark, sf):
     s = _scaled(spark, sf)
-    tr = s.where(F.col("segment") == "train").drop("segment", "pos")
-    fv = series.chrono_split(tr, "ticker", "date", 0.8, out="seg", labels=("fit", "val"), pos="_p")
-    spos = series.segment_positions(fv, "ticker", "_p", "seg", "spos").drop("_p")
+    # the train segment is the prefix of each series, so its series positions are kept
+    tr = s.where(F.col("segment") == "train").drop("segment").withColumnRenamed("pos", "_p")
+    fv = series.split_by_position(tr, "ticker", "_p", 0.8, out="seg", labels=("fit", "val"), seg_pos="spos")
+    spos = fv.drop("_p")
     ks = list(series.LAG_GRID)
     ma = series.moving_avgs(spos, ["ticker", "seg"], "spos", "scaled", ks, prefix="ma_")
     aggs = []
