@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import sharding
+from tidemark.llm import sentencepiece_chunks, sharding
 
 QUERIES = {
+    "op4_sentencepiece": (sentencepiece_chunks.op4_sentencepiece, None),
     "op8_sharding": (sharding.op8_sharding, sharding.SQL),
 }
