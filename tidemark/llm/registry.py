@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.llm import sentencepiece_chunks, sharding
+from tidemark.llm import quality_rules, sentencepiece_chunks, sharding
 
 QUERIES = {
+    "op7_quality_rules": (quality_rules.op7_quality_rules, None),
     "op4_sentencepiece": (sentencepiece_chunks.op4_sentencepiece, None),
     "op8_sharding": (sharding.op8_sharding, sharding.SQL),
 }
