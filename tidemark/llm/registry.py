@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.llm import language_id, quality_rules, sentencepiece_chunks, sharding
+from tidemark.llm import language_id, mixing, quality_rules, sentencepiece_chunks, sharding
 
 QUERIES = {
+    "op3_mixing": (mixing.op3_mixing, mixing.SQL),
     "op2_language_id": (language_id.op2_language_id, None),
     "op7_quality_rules": (quality_rules.op7_quality_rules, None),
     "op4_sentencepiece": (sentencepiece_chunks.op4_sentencepiece, None),
