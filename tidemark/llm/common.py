@@ -81,8 +81,19 @@ def split_words(buf: np.ndarray, offs: np.ndarray, fold: bool = True) -> tuple[n
     Returns their 64-bit hashes (A-Z folded to a-z if ``fold``), the byte each starts at, and for every text the
     position of its first word (one entry more than texts).
     """
+    h, starts, woff, _ = _split(buf, offs, fold, 0)
+    return h, starts, woff
+
+
+def split_stems(buf: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Folded hashes of the words, hashes of their first ``length`` bytes, and the texts' first word positions."""
+    h, _, woff, stems = _split(buf, offs, True, length)
+    return h, stems, woff
+
+
+def _split(buf, offs, fold, stem):
     if len(buf) == 0:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.zeros(len(offs), np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.zeros(len(offs), np.int64), np.empty(0, np.uint64)
     space = _IS_SPACE[buf]
     first = ~space
     first[1:] &= space[:-1]
@@ -90,11 +101,16 @@ def split_words(buf: np.ndarray, offs: np.ndarray, fold: bool = True) -> tuple[n
     first[at] = ~space[at]
     starts = np.flatnonzero(first)
     if len(starts) == 0:
-        return np.empty(0, np.uint64), starts, np.zeros(len(offs), np.int64)
+        return np.empty(0, np.uint64), starts, np.zeros(len(offs), np.int64), np.empty(0, np.uint64)
     p, inverse = _powers(len(buf))
     values = (_FOLDED if fold else _CASED)[buf] * p[:len(buf)]
     h = mix(np.add.reduceat(values, starts) * inverse[starts])
-    return h, starts, np.searchsorted(starts, offs)
+    stems = h
+    if stem:
+        upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values)))
+        ends = np.minimum(starts + stem, np.append(starts[1:], len(buf)))
+        stems = mix((upto[ends] - upto[starts]) * inverse[starts])
+    return h, starts, np.searchsorted(starts, offs), stems
 
 
 def texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
