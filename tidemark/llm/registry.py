@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.llm import language_id, mixing, pivot_index, quality_rules, sentencepiece_chunks, sharding, toxicity
+from tidemark.llm import language_id, line_dedup, mixing, pivot_index, quality_rules, sentencepiece_chunks, sharding, toxicity
 
 QUERIES = {
+    "op5_line_dedup": (line_dedup.op5_line_dedup, line_dedup.SQL),
     "op10_toxicity": (toxicity.op10_toxicity, None),
     "op9_embedding_near_dedup": (pivot_index.op9_embedding_near_dedup, None),
     "op3_mixing": (mixing.op3_mixing, mixing.SQL),
