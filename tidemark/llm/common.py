@@ -147,3 +147,38 @@ def shingles3(h: np.ndarray, woff: np.ndarray) -> Iterator[np.ndarray]:
             yield mix(h[a:b] * A1 + np.uint64(1))
         else:
             yield np.empty(0, np.uint64)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rebatch rows sorted by an integer first column so that no value of it spans two batches."""
+    held: list[pa.RecordBatch] = []
+
+    def joined(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
+
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        g = batch.column(0).to_numpy()
+        if held and held[-1].column(0)[0].as_py() != g[0]:
+            yield from joined(held)
+            held = []
+        last = int(np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))[-1])
+        if last > 0:
+            yield from joined([*held, batch.slice(0, last)])
+            held = [batch.slice(last)]
+        else:
+            held.append(batch)
+    if held:
+        yield from joined(held)
+
+
+def forest(link: np.ndarray) -> np.ndarray:
+    """For every vertex of a symmetric boolean link matrix the smallest vertex it is connected with."""
+    root = np.arange(len(link))
+    while True:
+        new = np.minimum(root, np.where(link, root[None, :], len(link)).min(axis=1)) if len(link) else root
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
