@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Rows of a table that may be broadcast after they were counted (each a few dozen bytes).
@@ -42,6 +42,18 @@ def with_batches(df: DataFrame, rows: int = 512) -> DataFrame:
     return df
 
 
+def lowest_per_group(df: DataFrame, by: str, k: int, order: list[str | Column], salts: int = 16) -> DataFrame:
+    """Add ``_n`` (from 1) and keep the ``k`` first rows of every group in a total order.
+
+    Groups are cut into ``salts`` parts first, so a group with most of the rows reaches one task only as
+    ``salts * k`` rows.
+    """
+    salt = F.pmod(F.xxhash64(*order), F.lit(salts))
+    first = Window.partitionBy(by, "_s").orderBy(*order)
+    part = df.withColumn("_s", salt).withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= k).drop("_s", "_n")
+    return part.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("_n") <= k)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """64-bit finaliser: every input bit reaches every output bit."""
     x = (x ^ (x >> np.uint64(30))) * _M1

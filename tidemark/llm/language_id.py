@@ -19,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out, texts, with_batches
+from tidemark.llm.common import held_out, lowest_per_group, texts, with_batches
 
 LANDMARKS = 24
 FIT_ROWS = 1500
@@ -115,8 +115,7 @@ def fit(train: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "
     """
     spark = train.sparkSession
     known = train.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
-    w = Window.partitionBy(lang).orderBy(F.xxhash64(key), key)
-    picked = (known.select(key, lang).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= fit_rows)
+    picked = (lowest_per_group(known.select(key, lang), lang, fit_rows, [F.xxhash64(key), F.col(key)])
               .select(F.col(key).alias("_k"), F.col("_n")).dropDuplicates(["_k"]))
     rows = known.select(key, text, lang).join(F.broadcast(picked), F.col(key) == F.col("_k")).select(text, lang, "_n", "_k")
 

@@ -19,10 +19,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small
+from tidemark.llm.common import forest, lowest_per_group, small, whole_groups
 from tidemark.llm.components import connected_components
 
 PIVOTS = 64  # a bit set of 64 bits holds a vector's pivots
@@ -51,8 +51,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def pick_pivots(reps: DataFrame, pivots: int = PIVOTS) -> dict[int, np.ndarray]:
     """Up to ``pivots`` vectors per vector length, by hash."""
-    w = Window.partitionBy("dim").orderBy(F.xxhash64("vec"), "id")
-    rows = reps.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= pivots).select("dim", "vec").collect()
+    rows = lowest_per_group(reps, "dim", pivots, [F.xxhash64("vec"), F.col("id")]).select("dim", "vec").collect()
     out: dict[int, list] = {}
     for r in rows:
         out.setdefault(r.dim, []).append(r.vec)
@@ -98,18 +97,6 @@ def _lowest(x: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _forest(link: np.ndarray) -> np.ndarray:
-    """For every vertex of a symmetric link matrix the smallest vertex it is connected with."""
-    root = np.arange(len(link))
-    while True:
-        low = np.where(link, root[None, :], len(link)).min(axis=1)
-        new = np.minimum(root, low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def find_links(entries: DataFrame, threshold: float, shared: int = SHARED, block: int = BLOCK) -> DataFrame:
     """(id, links, root): per list and block pair, the copies linked to a vector and a smaller connected id."""
     where = ["label", "dim", "list"]
@@ -141,35 +128,16 @@ def find_links(entries: DataFrame, threshold: float, shared: int = SHARED, block
             np.fill_diagonal(link, False)
             touched = link.any(axis=1)
             if touched.any():
-                root = _forest(link)
+                root = forest(link)
                 n = link @ copies[a:z]
                 out.append((ids[a:z][touched], n[touched], ids[a:z][root][touched]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush(rows: pa.Table):
+        for batch in whole_groups(batches):
             out: list = []
-            for batch in rows.combine_chunks().to_batches():
-                work(batch, out)
+            work(batch, out)
             cols = [np.concatenate([o[k] for o in out]) if out else np.empty(0, np.int64) for k in range(3)]
-            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["id", "links", "root"])
-
-        for batch in batches:  # the last list of a batch may go on in the next one
-            if batch.num_rows == 0:
-                continue
-            g = batch.column(0).to_numpy()
-            last = int(np.searchsorted(g, g[-1], "left"))
-            if last > 0:
-                yield flush(pa.Table.from_batches([*held, batch.slice(0, last)]))
-                held = [batch.slice(last)]
-            elif held and held[-1].column(0)[0].as_py() != g[0]:
-                yield flush(pa.Table.from_batches(held))
-                held = [batch]
-            else:
-                held.append(batch)
-        if held:
-            yield flush(pa.Table.from_batches(held))
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["id", "links", "root"])
 
     return rows.mapInArrow(run, "id bigint, links bigint, root bigint")
 

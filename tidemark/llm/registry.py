@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.llm import language_id, line_dedup, mixing, ngram_jaccard, pivot_index, quality_rules, sentencepiece_chunks, sharding, toxicity
+from tidemark.llm import kneser_ney, language_id, line_dedup, mixing, ngram_jaccard, pivot_index, quality_rules, sentencepiece_chunks, sharding, toxicity
 
 QUERIES = {
+    "op6_lm_scoring": (kneser_ney.op6_lm_scoring, None),
     "op1_ngram_jaccard": (ngram_jaccard.op1_ngram_jaccard, None),
     "op5_line_dedup": (line_dedup.op5_line_dedup, line_dedup.SQL),
     "op10_toxicity": (toxicity.op10_toxicity, None),

@@ -21,10 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out, split_stems, texts, with_batches
+from tidemark.llm.common import held_out, lowest_per_group, split_stems, texts, with_batches
 
 BITS = 20
 STEM = 5
@@ -89,8 +89,7 @@ def _token_scores(model: Model, words: np.ndarray, stems: np.ndarray) -> np.ndar
 def _pick(rows: DataFrame, key: str, label: str, fit_rows: int) -> DataFrame:
     """(_k, y, fold): at most ``fit_rows`` labelled ids per class. Of ids labelled twice the higher label counts."""
     one = rows.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.max(label).cast("int").alias("y"))
-    w = Window.partitionBy("y").orderBy(F.xxhash64("_k"), "_k")
-    return (one.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= fit_rows)
+    return (lowest_per_group(one, "y", fit_rows, [F.xxhash64("_k"), F.col("_k")])
             .select("_k", "y", F.pmod(F.xxhash64(F.lit(3), "_k"), F.lit(FOLDS)).cast("int").alias("fold")))
 
 
