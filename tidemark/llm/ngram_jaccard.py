@@ -87,14 +87,14 @@ def ranked(s: np.ndarray, sketch: np.ndarray) -> np.ndarray:
 
 
 def describe(df: DataFrame, key: str, text: str, sketch) -> DataFrame:
-    """(id, n, d1, d2, mins, prefix) of every row; ``sketch`` is a broadcast. Sets under 9 shingles get no prefix:
+    """(id, th, n, d1, d2, mins, prefix) of every row, th a hash of the text; ``sketch`` is a broadcast. Sets under 9 shingles get no prefix:
     nine of ten common shingles is the least a link between different sets can have."""
 
     def run(batches):
         seeds = mix(np.arange(1, MINHASHES + 1, dtype=np.uint64) * A2)
         for batch in batches:
             n, d1, d2, mins, prefix = [], [], [], [], []
-            for s in _sets(batch.column(1)):
+            for s in _sets(batch.column(2)):
                 n.append(len(s))
                 a, b = _digest(s)
                 d1.append(a)
@@ -106,11 +106,11 @@ def describe(df: DataFrame, key: str, text: str, sketch) -> DataFrame:
                 mins.append(mix(np.array([mix(s ^ x).min() for x in seeds], np.uint64) ^ seeds).view(np.int64))
                 prefix.append(ranked(s, sketch.value)[:len(s) - need(len(s)) + 1].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()),
-                 pa.array(mins, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))], names=["id", "n", "d1", "d2", "mins", "prefix"])
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()),
+                 pa.array(mins, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))], names=["id", "th", "n", "d1", "d2", "mins", "prefix"])
 
-    return with_batches(df.select(F.col(key).cast("bigint").alias("id"), text)).mapInArrow(
-        run, "id bigint, n bigint, d1 bigint, d2 bigint, mins array<bigint>, prefix array<bigint>")
+    return with_batches(df.select(F.col(key).cast("bigint").alias("id"), F.xxhash64(text).alias("th"), text)).mapInArrow(
+        run, "id bigint, th bigint, n bigint, d1 bigint, d2 bigint, mins array<bigint>, prefix array<bigint>")
 
 
 def assign_groups(sets: DataFrame) -> DataFrame:
@@ -251,7 +251,7 @@ def find_links(routed: DataFrame) -> DataFrame:
 
 
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id) of every row: set size, and the smallest key reachable by links.
+    """(key, n_shingles, component_id, text_hash) of every row: set size, smallest key reachable by links, xxhash64.
 
     Null, empty and blank texts have no shingles and link with nothing; so do rows with a null key, whose component
     is null. Rows repeating a key are documents of their own with that key. Row count is kept.
@@ -282,9 +282,9 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
     named = (classes.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid")))
     smallest = named.groupBy("component").agg(F.min("rid").alias("component_id"))
     table = named.select("cid", "component").join(smallest, "component").select("cid", "component_id")
-    out = described.select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.xxhash64("n", "d1", "d2")).alias("cid")).join(table, "cid", "left")
-    return out.select(F.col("id").cast(df.schema[key].dataType).alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    out = described.select("id", "th", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.xxhash64("n", "d1", "d2")).alias("cid")).join(table, "cid", "left")
+    return out.select(F.col("id").cast(df.schema[key].dataType).alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.col("th").alias("text_hash"))
 
 
 def op1_ngram_jaccard(spark, sf_dir):
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("text_hash")
