@@ -111,6 +111,7 @@ DIMS = ["source", "lang", "topic"]
 def op3_mixing(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
         "doc_id", "source", "lang", form_topic(F.col("text")).alias("topic"), n_tokens(F.col("text")).alias("n_tokens"))
+    docs = docs.checkpoint()  # narrow rows; the texts are read once
     out = mix(docs, DIMS, "n_tokens")
     return out.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "sampled")
 
