@@ -174,6 +174,7 @@ class Model:
         self.folder, self.shards = folder, shards
         self.base = np.zeros(shards + 1, np.int64)  # first word id of each shard
         self.train_tokens = self.train_texts = self.types = 0
+        self.pair_shards: frozenset[int] = frozenset()  # shards that hold a bigram
         self.hot = np.empty(0, np.uint64)  # sorted ids of contexts spread over all shards
         self.hot_numbers = np.empty((0, 3), np.int64)
         self.discount, self.low_discount = np.zeros(4), np.zeros(4)  # D by count 0, 1, 2, 3 and more
@@ -193,8 +194,9 @@ class Model:
         """Ids of sorted word hashes; the vocabulary's size for an unknown word."""
         out = np.full(len(h), self.vocabulary, np.uint64)
         for s, lo, hi in _slices(self.word_shard(h)):
-            known = _map(self.uri(s, "word"), np.uint64)
-            at, hit = _find(known, h[lo:hi])
+            if self.base[s] == self.base[s + 1]:
+                continue
+            at, hit = _find(_map(self.uri(s, "word"), np.uint64), h[lo:hi])
             out[lo:hi][hit] = (self.base[s] + at[hit]).astype(np.uint64)
         return out
 
@@ -219,6 +221,8 @@ class Model:
         shard = self.bigram_shard(keys)
         order = np.argsort(shard, kind="stable")
         for s, lo, hi in _slices(shard[order]):
+            if s not in self.pair_shards:
+                continue
             at, hit = _find(_map(self.uri(s, "pair"), np.uint64), keys[order[lo:hi]])
             n = np.where(hit, _map(self.uri(s, "pair-n"), np.uint8)[at] if hit.any() else 0, 0).astype(np.int64)
             if (n == 255).any():
@@ -235,7 +239,7 @@ class Model:
         shard = np.where(hit, -1, (mix(ids + np.uint64(1)) & np.uint64(self.shards - 1)).astype(np.int64))
         order = np.argsort(shard, kind="stable")
         for s, lo, hi in _slices(shard[order]):
-            if s >= 0:
+            if s in self.pair_shards:
                 at, hit = _find(_map(self.uri(s, "context"), np.uint64), ids[order[lo:hi]])
                 rows = _map(self.uri(s, "context-n"), np.int64).reshape(-1, 3)
                 out[order[lo:hi][hit]] = rows[at[hit]]
@@ -334,7 +338,9 @@ def train(df: DataFrame, text: str = "text") -> Model:
 
     pairs = rows.mapInArrow(count_pairs, _RUN).groupBy("shard").applyInArrow(write_pairs, _RUN).checkpoint()
     n, hot = np.zeros(5, np.int64), {}
-    for r in pairs.filter("kind = 0").collect():
+    totals = pairs.filter("kind = 0").collect()
+    model.pair_shards = frozenset(r.shard for r in totals)
+    for r in totals:
         values = _unpack(r.counts, np.int64)
         n += values[:5]
         for v, row in zip(_unpack(r["keys"], np.uint64) if r["keys"] else [], values[5:].reshape(-1, 3)):

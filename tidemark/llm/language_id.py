@@ -126,7 +126,7 @@ def fit(train: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "
                 names=["lang", "n", "grams"])
 
     chosen = with_batches(rows.filter(F.col("_n") <= landmarks)).mapInArrow(sets_of, "lang string, n int, grams array<int>").collect()
-    chosen = sorted((r.lang, r.n, np.array(r.grams, np.uint32)) for r in chosen if len(r.grams))
+    chosen = sorted(((r.lang, r.n, np.array(r.grams, np.uint32)) for r in chosen if len(r.grams)), key=lambda r: (r[0], r[1], r[2].tobytes()))
     marks = Landmarks([s for _, _, s in chosen])
     shared = spark.sparkContext.broadcast(marks)
 

@@ -37,7 +37,7 @@ def form_topic(text: Column) -> Column:
     """
     t = F.coalesce(text, F.lit(""))
     chars = F.greatest(F.length(t), F.lit(1))
-    digits = chars - F.greatest(F.length(F.translate(t, "0123456789", "")), F.lit(0))
+    digits = F.length(t) - F.length(F.translate(t, "0123456789", ""))
     pipes = F.length(t) - F.length(F.replace(t, F.lit("|"), F.lit("")))
     lines = 1 + F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
     return (F.when(20 * pipes > chars, "table").when(50 * digits > chars, "numeric")
@@ -122,7 +122,7 @@ def rake_sql(docs: str = "documents") -> str:
     ctes = [f"""m AS (SELECT *, coalesce(text, '') AS t, {n}::BIGINT AS n_tokens FROM {docs})""",
             """f AS (SELECT *, greatest(length(t), 1) AS ch FROM m)""",
             """d AS (SELECT * EXCLUDE (t, ch), CASE WHEN 20 * (length(t) - length(replace(t, '|', ''))) > ch THEN 'table'
- WHEN 50 * (ch - length(translate(t, '0123456789', ''))) > ch THEN 'numeric'
+ WHEN 50 * (length(t) - length(translate(t, '0123456789', ''))) > ch THEN 'numeric'
  WHEN ch < 200 * (1 + length(t) - length(replace(t, chr(10), ''))) THEN 'list' ELSE 'prose' END AS topic FROM f)""",
             f"""cells AS (SELECT {', '.join(DIMS)}, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY ALL HAVING sum(n_tokens) > 0)"""]
     for x in DIMS:
