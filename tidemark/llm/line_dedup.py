@@ -31,19 +31,19 @@ MIN_CHARS = 24
 SMALL_ROWS = 500_000
 
 
-def cut(parts: int, length: Column) -> list[tuple[Column, Column]]:
-    """(offset, length) of ``parts`` nearly equal segments: the last ``length % parts`` are one longer."""
-    base, extra = F.floor(length / parts).cast("int"), (length % parts).cast("int")
+def _cut(df: DataFrame, parts: dict[str, tuple[Column, int]]) -> DataFrame:
+    """Add, for every name with (length, k), the offsets ``name_p<i>`` and lengths ``name_w<i>`` of k nearly equal
+    segments (i from 0); the last ``length % k`` are one longer. Each step is a projection of its own, so that no
+    expression is repeated inside another."""
+    df = df.select("*", *[c for name, (length, k) in parts.items() for c in (
+        F.call_function("div", length, F.lit(k)).cast("int").alias(f"{name}_b"), (length % k).cast("int").alias(f"{name}_x"))])
     out = []
-    for i in range(parts):
-        longer = F.greatest(F.lit(0), F.lit(i - parts) + extra)
-        size = base + F.when(F.lit(i) >= F.lit(parts) - extra, 1).otherwise(0)
-        out.append((base * i + longer, size))
-    return out
-
-
-def _piece(text: Column, offset: Column, size: Column) -> Column:
-    return F.xxhash64(F.substring(text, offset + 1, size))
+    for name, (_, k) in parts.items():
+        base, extra = F.col(f"{name}_b"), F.col(f"{name}_x")
+        for i in range(k):
+            out.append((base * i + F.greatest(F.lit(0), extra - (k - i))).alias(f"{name}_p{i}"))
+            out.append((base + F.when(extra >= k - i, 1).otherwise(0)).alias(f"{name}_w{i}"))
+    return df.select("*", *out)
 
 
 def _residual(i: int, parts: int) -> tuple[int, bool]:
@@ -52,43 +52,64 @@ def _residual(i: int, parts: int) -> tuple[int, bool]:
     return (left, True) if left > right else (right, False)
 
 
-def _small_hash(k: int, h: Column) -> Column:
-    return (F.shiftright(h, 32).cast("int") + F.lit(k)).cast("int")
+def _layout(df: DataFrame, tau: int, deltas: range) -> DataFrame:
+    """Segments ``s<delta>`` of an indexed line of n - delta characters, and the pieces ``r<delta>_<i>`` of the part
+    beside segment i."""
+    k = tau + 1
+    df = _cut(df, {f"s{d}": (F.col("n") - d, k) for d in deltas})
+    rest = {}
+    for d in deltas:
+        for i in range(1, k + 1):
+            budget, left = _residual(i, k)
+            at, size = F.col(f"s{d}_p{i - 1}"), F.col(f"s{d}_w{i - 1}")
+            rest[f"r{d}_{i}"] = (at if left else F.col("n") - d - at - size, budget + 1)
+    return _cut(df, rest)
 
 
-def index_rows(line: Column, n: Column, tau: int) -> Column:
-    """Array of (key, rest) for a line as the indexed side."""
-    out = []
-    segs = cut(tau + 1, n)
-    for i, (p, size) in enumerate(segs, 1):
+def _hash(line: Column, offset: Column, size: Column) -> Column:
+    return F.xxhash64(F.substring(line, offset + 1, size))
+
+
+def _short(j: int, h: Column) -> Column:
+    return F.shiftright(h, 32).cast("int").bitwiseXOR(F.lit(j))
+
+
+def index_rows(tau: int) -> Column:
+    """Array of (key, rest) for a line as the indexed side, from the columns of ``_layout``."""
+    out, line = [], F.col("line")
+    for i in range(1, tau + 2):
         budget, left = _residual(i, tau + 1)
-        start, length = (F.lit(0), p) if left else (p + size, n - p - size)
-        rest = [_small_hash(j, _piece(line, start + q, w)) for j, (q, w) in enumerate(cut(budget + 1, length))]
-        out.append(F.struct(F.xxhash64(F.lit(i), n, _piece(line, p, size)).alias("key"), F.array(*rest).alias("rest")))
+        at, size = F.col(f"s0_p{i - 1}"), F.col(f"s0_w{i - 1}")
+        start = F.lit(0) if left else at + size
+        rest = [_short(j, _hash(line, start + F.col(f"r0_{i}_p{j}"), F.col(f"r0_{i}_w{j}"))) for j in range(budget + 1)]
+        out.append(F.struct(F.xxhash64(F.lit(i), F.col("n"), _hash(line, at, size)).alias("key"), F.array(*rest).alias("rest")))
     return F.array(*out)
 
 
-def probe_rows(line: Column, n: Column, tau: int) -> Column:
-    """Array of (key, rest) for a line as the probing side: indexed lines are as long or up to tau shorter."""
-    out = []
+def probe_rows(tau: int) -> Column:
+    """Array of (key, rest) for a line as the probing side: indexed lines are as long or up to tau shorter.
+
+    Entries that would lie outside the line are null.
+    """
+    out, line, n = [], F.col("line"), F.col("n")
     for delta in range(tau + 1):
-        r = n - delta
-        for i, (p, size) in enumerate(cut(tau + 1, r), 1):
+        for i in range(1, tau + 2):
             budget, left = _residual(i, tau + 1)
+            p, size = F.col(f"s{delta}_p{i - 1}"), F.col(f"s{delta}_w{i - 1}")
             for d in range(-(i - 1), i):
                 if abs(d - delta) > tau + 1 - i:
                     continue
                 at = p + d
-                r_len = p if left else r - p - size
-                s_start, s_len = (F.lit(0), at) if left else (at + size, n - at - size)
+                start, length = (F.lit(0), at) if left else (at + size, n - at - size)
                 rest, extra = [], (d if left else delta - d)  # the probing part is longer by ``extra``
-                for j, (q, w) in enumerate(cut(budget + 1, r_len)):
+                for j in range(budget + 1):
+                    q, w = F.col(f"r{delta}_{i}_p{j}"), F.col(f"r{delta}_{i}_w{j}")
                     for e in range(-j, j + 1):
                         if abs(e - extra) <= budget - j:
-                            rest.append(F.when((q + e >= 0) & (q + e + w <= s_len), _small_hash(j, _piece(line, s_start + q + e, w))))
-                row = F.struct(F.xxhash64(F.lit(i), r, _piece(line, at, size)).alias("key"), F.array(*rest).alias("rest"))
-                out.append(F.when((r > 0) & (at >= 0) & (at + size <= n), row))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+                            rest.append(F.when((q + e >= 0) & (q + e + w <= length), _short(j, _hash(line, start + q + e, w))))
+                row = F.struct(F.xxhash64(F.lit(i), n - delta, _hash(line, at, size)).alias("key"), F.array(*rest).alias("rest"))
+                out.append(F.when((n > delta) & (at >= 0) & (at + size <= n), row))
+    return F.array(*out)
 
 
 def within(r: Column, s: Column, tau: int) -> Column:
@@ -136,9 +157,10 @@ def _lines(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def near_line_pairs(distinct: DataFrame, tau: int = TAU) -> DataFrame:
     """(r, s): hashes of lines that share a segment and pass the residual check. ``distinct`` holds (h, line)."""
-    n = F.length("line")
-    index = distinct.select(F.col("h").alias("r"), F.explode(index_rows(F.col("line"), n, tau)).alias("e")).select("r", "e.key", F.col("e.rest").alias("rr"))
-    probe = distinct.select(F.col("h").alias("s"), F.explode(probe_rows(F.col("line"), n, tau)).alias("e")).select("s", F.col("e.key").alias("pk"), F.col("e.rest").alias("pr"))
+    lines = distinct.select("h", "line", F.length("line").alias("n"))
+    index = _layout(lines, tau, range(1)).select(F.col("h").alias("r"), F.explode(index_rows(tau)).alias("e")).select("r", "e.key", F.col("e.rest").alias("rr"))
+    probe = (_layout(lines, tau, range(tau + 1)).select(F.col("h").alias("s"), F.explode(probe_rows(tau)).alias("e"))
+             .filter(F.col("e").isNotNull()).select("s", F.col("e.key").alias("pk"), F.col("e.rest").alias("pr")))
     on = (F.col("key") == F.col("pk")) & F.arrays_overlap("rr", "pr") & (F.col("r") != F.col("s"))
     return index.join(probe, on).select(F.least("r", "s").alias("r"), F.greatest("r", "s").alias("s")).distinct()
 
