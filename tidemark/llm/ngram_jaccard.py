@@ -4,17 +4,19 @@ A document is its set of distinct 3-word shingles; two link when 100 * |A & B| >
 connected components of the links; every link between different sets counts, none is sampled or capped.
 
 1. *Equal sets* collapse by a 128-bit digest: a text copied to a third of all rows is one set from then on.
-2. *Order.* A count sketch (``SKETCH`` counters, summed over all documents) orders shingles from rare to frequent.
-   A set can only link with another if both hold a common shingle among their first n - ceil(0.9 n) + 1 (the
-   *prefix*), whatever the order; with rare shingles first, shared passages seldom get into it.
+2. *Order.* A count sketch (a fixed number of counters, summed over all documents) orders shingles from rare to
+   frequent. Two sets only link if the first n - ceil(0.9 n) + h shingles of both (their *prefixes*) have at least h
+   in common, whatever the order; with rare shingles first, shared passages seldom get into a prefix.
 3. *Groups.* Similar sets are put together: every set joins the most popular of its ``MINHASHES`` min-hashes.
    Small families share a group, large ones are split, to about ``GROUP_TOKENS`` shingles and ``GROUP_SETS`` sets.
 4. *Matrix.* The token-group matrix is stored sparsely as (token, group) rows over the prefix tokens of the group's
-   members. A query that meets none of a group's columns has an overlap below its bound, so only (query, group)
-   pairs that share a column are routed on; all other sets are finished.
-5. *Bound and open.* Where a query and a group meet, the full sets are compared with the union of the others'
-   tokens: a query whose overlap with that union is under ceil(0.9 n) links with none of them. The rest is opened:
-   all overlaps by products of presence matrices, exact comparison, and a spanning forest of the links leaves the task.
+   members. A query that meets fewer than h of a group's columns has an overlap below its bound with every member,
+   so only (query, group) pairs with h shared columns are routed on; all other sets are finished.
+5. *Sift.* Where a query and a group meet, first an eighth of the columns (by hash) is compared: sets whose
+   differences there alone exceed (n + m) / 19 cannot link. Most sets that share a passage only end here.
+6. *Bound and open.* The full sets of the rest are compared with the union of the others' tokens: a query whose
+   overlap with that union is under ceil(0.9 n) links with none of them. What remains is opened: all overlaps by
+   products of presence matrices, exact comparison, and a spanning forest of the links leaves the task.
 
 Hashes of words and shingles have 64 bits; two shingles are taken for equal if their hashes are.
 """
@@ -37,6 +39,7 @@ SKETCH_PARTS = 16
 MINHASHES = 4
 GROUP_TOKENS = 256_000
 GROUP_SETS = 2048
+EXTRA = 32  # one more shared shingle is asked for, and one more put in the prefix, per so many of the set
 CELLS = 4_000_000  # entries of a presence matrix held at a time
 
 
@@ -45,6 +48,16 @@ def need(n):
     return -(-PERCENT * n // 100)
 
 
+def lead(n):
+    """Length of the prefix of a set of n shingles."""
+    return n - need(n) + 1 + n // EXTRA
+
+
+def hits(n):
+    """Least number of prefix shingles that a set of n shares with any set it links with (of need(n) at least)."""
+    return 1 + need(n) // EXTRA
+
+
 def _sets(column: pa.Array) -> Iterator[np.ndarray]:
     for _, _, buf, offs in texts(column):
         h, _, woff = split_words(buf, offs)
@@ -86,35 +99,57 @@ def ranked(s: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     return s[np.argsort(key, kind="stable")]  # s is sorted, so equal keys stay in hash order
 
 
-def describe(df: DataFrame, key: str, text: str, sketch) -> DataFrame:
-    """(id, th, n, d1, d2, mins, prefix) of every row, th a hash of the text; ``sketch`` is a broadcast. Sets under 9 shingles get no prefix:
-    nine of ten common shingles is the least a link between different sets can have."""
+_EMPTY = np.empty(0, np.int64)
+
+
+def describe(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, th, n, d1, d2, mins) of every row: text hash, set size, digest and min-hashes. Sets under 9 shingles get
+    no min-hashes: with fewer, nine of ten in common means all."""
 
     def run(batches):
         seeds = mix(np.arange(1, MINHASHES + 1, dtype=np.uint64) * A2)
         for batch in batches:
-            n, d1, d2, mins, prefix = [], [], [], [], []
-            for s in _sets(batch.column(2)):
-                n.append(len(s))
-                a, b = _digest(s)
-                d1.append(a)
-                d2.append(b)
-                if len(s) < 9:
-                    mins.append(np.empty(0, np.int64))
-                    prefix.append(np.empty(0, np.int64))
-                    continue
-                mins.append(mix(np.array([mix(s ^ x).min() for x in seeds], np.uint64) ^ seeds).view(np.int64))
-                prefix.append(ranked(s, sketch.value)[:len(s) - need(len(s)) + 1].view(np.int64))
+            sets = list(_sets(batch.column(2)))
+            digests = [_digest(s) for s in sets]
+            mins = [mix(np.array([mix(s ^ x).min() for x in seeds], np.uint64) ^ seeds).view(np.int64) if len(s) >= 9 else _EMPTY for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()),
-                 pa.array(mins, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))], names=["id", "th", "n", "d1", "d2", "mins", "prefix"])
+                [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()),
+                 pa.array([d[1] for d in digests], pa.int64()), pa.array(mins, pa.list_(pa.int64()))], names=["id", "th", "n", "d1", "d2", "mins"])
 
     return with_batches(df.select(F.col(key).cast("bigint").alias("id"), F.xxhash64(text).alias("th"), text)).mapInArrow(
-        run, "id bigint, th bigint, n bigint, d1 bigint, d2 bigint, mins array<bigint>, prefix array<bigint>")
+        run, "id bigint, th bigint, n bigint, d1 bigint, d2 bigint, mins array<bigint>")
+
+
+def _sample(s: np.ndarray) -> np.ndarray:
+    """The shingles in an eighth of the hash space, as 32 bits each."""
+    return np.sort((s[(s & np.uint64(7)) == 0] >> np.uint64(3)).astype(np.uint32)).view(np.int32)
+
+
+def set_arrays(df: DataFrame, key: str, text: str, wanted: DataFrame, rows: int, sketch, full: bool) -> DataFrame:
+    """Arrays of the sets of ``wanted`` (rid, cid, ...): (cid, tokens from rare to frequent) if ``full``, else
+    (cid, n, prefix, sample). The texts of their documents are read again, which is cheaper than to keep all sets."""
+    ids = wanted.select(F.col("rid").alias("_r"), F.col("cid").alias("_c")).distinct()
+    docs = df.select(F.col(key).cast("bigint").alias("id"), text).join(small(ids, rows), F.col("id") == F.col("_r"))
+
+    def run(batches):
+        for batch in batches:
+            sets = list(_sets(batch.column(1)))
+            digests = [_digest(s) for s in sets]
+            order = [ranked(s, sketch.value).view(np.int64) for s in sets]
+            arrays = [pa.array(order, pa.list_(pa.int64()))] if full else [
+                pa.array([o[:lead(len(o))] for o in order], pa.list_(pa.int64())), pa.array([_sample(s) for s in sets], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()),
+                 pa.array([d[1] for d in digests], pa.int64()), *arrays], names=["_c", "n", "d1", "d2", *(["tokens"] if full else ["prefix", "sample"])])
+
+    arrays = "tokens array<bigint>" if full else "prefix array<bigint>, sample array<int>"
+    out = with_batches(docs.select("_c", text)).mapInArrow(run, f"_c bigint, n bigint, d1 bigint, d2 bigint, {arrays}")
+    # an id that repeats with another text brings that text's set along
+    return out.filter(F.col("_c") == F.xxhash64("n", "d1", "d2")).withColumnRenamed("_c", "cid").drop("d1", "d2")
 
 
 def assign_groups(sets: DataFrame) -> DataFrame:
-    """Add ``g`` to (cid, n, mins, ...): the group of the most popular min-hash, small ones pooled, large ones split."""
+    """(cid, rid, g) of (cid, rid, n, mins): the group of the most popular min-hash, small ones pooled, large ones split."""
     keys = sets.select("cid", "n", F.explode("mins").alias("key"))
     popular = (keys.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("t")).filter("c > 1")).checkpoint()
     total = sets.agg(F.sum("n")).first()[0] or 0
@@ -124,13 +159,13 @@ def assign_groups(sets: DataFrame) -> DataFrame:
     g = (F.when(F.col("b").isNull(), F.xxhash64(F.lit(0), F.pmod(F.xxhash64("cid"), F.lit(pools))))
          .when(split > 1, F.xxhash64(F.lit(1), "b.key", F.pmod(F.xxhash64("cid"), split)))
          .otherwise(F.xxhash64(F.lit(0), F.pmod(F.xxhash64("b.key"), F.lit(pools)))))
-    return sets.join(best, "cid", "left").withColumn("g", g).drop("b")
+    return sets.join(best, "cid", "left").select("cid", "rid", g.alias("g"))
 
 
 def route(sets: DataFrame) -> DataFrame:
-    """(cid, i, j): sets that meet in the pair of groups i <= j, from the token-group matrix of (cid, g, prefix)."""
+    """(cid, i, j): sets that meet in the pair of groups i <= j, from the token-group matrix of (cid, g, n, prefix)."""
     n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    places = sets.select("cid", "g", F.explode("prefix").alias("t")).repartition(n, "t", "g")
+    places = sets.select("cid", "g", "n", F.explode("prefix").alias("t")).repartition(n, "t", "g")
     matrix = places.groupBy("t", "g").agg(F.count("*").alias("c"))
 
     def meet(batches):
@@ -148,7 +183,9 @@ def route(sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["t", "g", "other"])
 
     met = matrix.repartition(n, "t").sortWithinPartitions("t", "g").select("t", "g", "c").mapInArrow(meet, "t bigint, g bigint, other bigint")
-    return (places.join(met, ["t", "g"]).select("cid", F.least("g", "other").alias("i"), F.greatest("g", "other").alias("j")).distinct())
+    least = 1 + F.floor(-F.floor(-PERCENT * F.col("n") / 100) / EXTRA)
+    shared = places.join(met, ["t", "g"]).groupBy("cid", "g", "other").agg(F.count("*").alias("c"), F.max("n").alias("n"))
+    return shared.filter(F.col("c") >= least).select("cid", F.least("g", "other").alias("i"), F.greatest("g", "other").alias("j")).distinct()
 
 
 def _clusters(token: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
@@ -213,41 +250,131 @@ def open_group(sets: list[np.ndarray], side: np.ndarray | None) -> np.ndarray |
     return out
 
 
-def find_links(routed: DataFrame) -> DataFrame:
+def _meetings(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray | None, list[np.ndarray]]]:
+    """Per pair of groups in a batch of (p, i, j, cid, g, ..., array): rows, side of each (None: one group), arrays."""
+    p, i, j, cid, g = (batch.column(k).to_numpy() for k in range(5))
+    values = batch.column(batch.num_columns - 1)
+    offs, flat = values.offsets.to_numpy(), values.values.to_numpy()
+    cuts = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1], [True])))
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        at = lo + np.unique(cid[lo:hi], return_index=True)[1]  # a row per set, also if its document repeats
+        side = (g[at] == j[at]) if i[lo] != j[lo] else None
+        if len(at) > 1 and (side is None or side.any() and not side.all()):
+            yield at, side, [flat[offs[k]:offs[k + 1]] for k in at]
+
+
+def _together(rows: DataFrame, *columns: str) -> DataFrame:
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (rows.select(F.xxhash64("i", "j").alias("p"), "i", "j", "cid", "g", *columns).repartition(n, "p").sortWithinPartitions("p", "i", "j", "cid"))
+
+
+def _groups_of(label: np.ndarray) -> Iterator[np.ndarray]:
+    order = np.argsort(label, kind="stable")
+    ends = np.flatnonzero(np.concatenate(([True], label[order][1:] != label[order][:-1], [True])))
+    for x, y in zip(ends[:-1], ends[1:]):
+        if y - x > 1:
+            yield order[x:y]
+
+
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, by products of presence matrices over the tokens that at least two sets hold."""
+    doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    held = np.bincount(column)
+    keep = held[column] > 1
+    number = np.cumsum(held > 1) - 1
+    d, c = doc[keep], number[column[keep]]
+    order = np.argsort(c, kind="stable")
+    d, c = d[order], c[order]
+    m, width = len(sets), int((held > 1).sum())
+    out, step = np.zeros((m, m), np.float32), max(1, CELLS // m)
+    for a in range(0, width, step):
+        lo, hi = np.searchsorted(c, [a, a + step])
+        present = np.zeros((m, min(step, width - a)), np.float32)
+        present[d[lo:hi], c[lo:hi] - a] = 1
+        out += present @ present.T
+    return out
+
+
+def sift(rows: DataFrame) -> DataFrame:
+    """(cid, i, j) of the routed sets that an eighth of the columns does not part from all others they meet."""
+
+    def run(batches):
+        for batch in whole_groups(batches):
+            i, j, cid, n = (batch.column(k).to_numpy() for k in (1, 2, 3, 5))
+            alive = []
+            for at, side, samples in _meetings(batch):
+                label = _clusters(np.concatenate(samples), np.repeat(np.arange(len(at)), [len(x) for x in samples]), len(at))
+                for part in _groups_of(label):
+                    size, length = n[at[part]].astype(np.float64), np.array([len(samples[k]) for k in part], np.float64)
+                    apart = length[:, None] + length[None, :] - 2 * _overlaps([samples[k] for k in part])
+                    may = 19 * apart <= size[:, None] + size[None, :]
+                    if side is not None:
+                        may &= side[part][:, None] != side[part][None, :]
+                    np.fill_diagonal(may, False)
+                    alive.append(at[part[may.any(axis=1)]])
+                # sets with few columns in the sample may link with sets that share none of them
+                size, length = n[at], np.array([len(x) for x in samples])
+                thin = np.flatnonzero(19 * length <= size)
+                may = 19 * (length[thin][:, None] + length[None, :]) <= size[thin][:, None] + size[None, :]
+                if side is not None:
+                    may &= side[thin][:, None] != side[None, :]
+                may[np.arange(len(thin)), thin] = False
+                alive += [at[thin[may.any(axis=1)]], at[may.any(axis=0)]]
+            rows = np.unique(np.concatenate(alive)) if alive else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x[rows]) for x in (cid, i, j)], names=["cid", "i", "j"])
+
+    return _together(rows, "n", "sample").mapInArrow(run, "cid bigint, i bigint, j bigint")
+
+
+def open_group(sets: list[np.ndarray], side: np.ndarray | None) -> np.ndarray | None:
+    """Link matrix of the sets; with ``side``, only between different sides. None: no link."""
+    n = np.array([len(s) for s in sets])
+    doc = np.repeat(np.arange(len(sets)), n)
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    held = np.bincount(column)
+    others = held[column] - 1
+    if side is not None:
+        right = np.bincount(column, weights=side[doc])[column]
+        others = np.where(side[doc], held[column] - right, right)
+    bound = np.bincount(doc, weights=others > 0, minlength=len(sets))
+    opened = np.flatnonzero(bound >= need(n))  # overlap with the union of the sets it could link with
+    if len(opened) < 2:
+        return None
+    overlap = _overlaps([sets[k] for k in opened]).astype(np.float64)
+    size = n[opened].astype(np.float64)
+    link = 100 * overlap >= PERCENT * (size[:, None] + size[None, :] - overlap)
+    if side is not None:
+        link &= side[opened][:, None] != side[opened][None, :]
+    np.fill_diagonal(link, False)
+    if not link.any():
+        return None
+    out = np.zeros((len(sets), len(sets)), bool)
+    out[np.ix_(opened, opened)] = link
+    return out
+
+
+def find_links(rows: DataFrame) -> DataFrame:
     """(a, b): spanning forests of the links of every pair of groups, from (i, j, cid, g, tokens)."""
-    n = int(routed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = routed.select(F.xxhash64("i", "j").alias("p"), "i", "j", "cid", "g", "tokens").repartition(n, "p").sortWithinPartitions("p", "i", "j", "cid")
 
     def run(batches):
         for batch in whole_groups(batches):
-            p, i, j, cid, g = (batch.column(k).to_numpy() for k in range(5))
-            values = batch.column(5)
-            offs, flat = values.offsets.to_numpy(), values.values.to_numpy().view(np.uint64)
-            cuts = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1], [True])))
+            cid = batch.column(3).to_numpy()
             a_out, b_out = [], []
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                at = lo + np.unique(cid[lo:hi], return_index=True)[1]  # a row per set, also if its document repeats
-                if len(at) < 2:
-                    continue
-                sets = [flat[offs[k]:offs[k + 1]] for k in at]
-                side = (g[at] == j[at]) if i[lo] != j[lo] else None
+            for at, side, sets in _meetings(batch):
+                sets = [s.view(np.uint64) for s in sets]
                 heads = [s[:len(s) - need(len(s)) + 1] for s in sets]
                 label = _clusters(np.concatenate(heads), np.repeat(np.arange(len(at)), [len(x) for x in heads]), len(at))
-                order = np.argsort(label, kind="stable")
-                ends = np.flatnonzero(np.concatenate(([True], label[order][1:] != label[order][:-1], [True])))
-                for x, y in zip(ends[:-1], ends[1:]):
-                    if y - x < 2:
-                        continue
-                    part = order[x:y]
+                for part in _groups_of(label):
                     link = open_group([sets[k] for k in part], None if side is None else side[part])
                     if link is not None:
                         root = forest(link)
                         moved = root != np.arange(len(root))
                         a_out.append(cid[at[part[moved]]])
                         b_out.append(cid[at[part[root[moved]]]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64()) for x in (a_out, b_out)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else _EMPTY, pa.int64()) for x in (a_out, b_out)], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return _together(rows, "tokens").mapInArrow(run, "a bigint, b bigint")
 
 
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -257,27 +384,21 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
     is null. Rows repeating a key are documents of their own with that key. Row count is kept.
     """
     spark = df.sparkSession
-    sketch = spark.sparkContext.broadcast(count_sketch(df, text))
-    described = describe(df, key, text, sketch).checkpoint()
+    described = describe(df, key, text).checkpoint()
     classes = (described.filter("n > 0 and id is not null").groupBy("n", "d1", "d2")
-               .agg(F.min("id").alias("rid"), F.first("mins").alias("mins"), F.first("prefix").alias("prefix"))
-               .withColumn("cid", F.xxhash64("n", "d1", "d2"))).checkpoint()
-    able = assign_groups(classes.filter("n >= 9").select("cid", "n", "mins", "prefix")).select("cid", "g", "prefix").checkpoint()
+               .agg(F.min("id").alias("rid"), F.first("mins").alias("mins")).withColumn("cid", F.xxhash64("n", "d1", "d2"))).checkpoint()
+    groups = assign_groups(classes.filter("n >= 9")).checkpoint()
+    n_groups = groups.count()
+    sketch = spark.sparkContext.broadcast(count_sketch(df, text))
+    able = (set_arrays(df, key, text, groups, n_groups, sketch, False)
+            .join(small(groups.select("cid", "g"), n_groups), "cid")).checkpoint()
     routes = route(able).checkpoint()
-    busy = routes.select("cid").distinct().join(classes.select("cid", "rid"), "cid").checkpoint()
-    wanted = busy.select(F.col("rid").alias("_r")).distinct().checkpoint()
-    docs = df.select(F.col(key).cast("bigint").alias("id"), text).join(small(wanted, wanted.count()), F.col("id") == F.col("_r"), "left_semi")
-
-    def full(batches):
-        for batch in batches:
-            sets = list(_sets(batch.column(1)))
-            digests = [_digest(s) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()),
-                 pa.array([ranked(s, sketch.value).view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["n", "d1", "d2", "tokens"])
-
-    sets = with_batches(docs).mapInArrow(full, "n bigint, d1 bigint, d2 bigint, tokens array<bigint>").select(F.xxhash64("n", "d1", "d2").alias("cid"), "tokens")
-    routed = routes.join(able.select("cid", "g"), "cid").join(sets, "cid")
+    met = able.select("cid", "g", "n", "sample").join(small(routes, routes.count()), "cid")
+    left = sift(met).checkpoint()
+    busy = left.select("cid").distinct().join(groups, "cid").checkpoint()
+    n_busy = busy.count()
+    full = set_arrays(df, key, text, busy, n_busy, sketch, True).join(small(busy.select("cid", "g"), n_busy), "cid")
+    routed = full.join(small(left, left.count()), "cid")
     parts = connected_components(find_links(routed)).checkpoint()
     named = (classes.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid")))
     smallest = named.groupBy("component").agg(F.min("rid").alias("component_id"))
