@@ -146,3 +146,65 @@ def test_bootstrap_sizes_and_determinism(spark):
     b = sampling.bootstrap(df.repartition(5), "id", 3, 7)
     key = lambda d: sorted((r.replicate, r.draw, r.id) for r in d.collect())
     assert key(a) == key(b)
+
+
+@pytest.mark.parametrize("arrival", ["descending", "shuffled"])
+@pytest.mark.parametrize("block_rows", [4, 7, 64, 16384])
+def test_knn_ties_do_not_depend_on_arrival_or_blocks(spark, arrival, block_rows):
+    ids = list(range(20, 0, -1)) if arrival == "descending" else [7, 3, 20, 1, 15, 9, 2, 18, 5, 11, 4, 13, 19, 6, 8, 10, 12, 14, 16, 17]
+    ref = spark.createDataFrame([(i, [1.0, 0.0]) for i in ids], "id long, embedding array<double>").coalesce(1)
+    q = spark.createDataFrame([(100, [0.0, 0.0]), (101, [0.0, 1.0])], "id long, embedding array<double>")
+    out = vectors.knn(q, ref, 5, "id", "id", block_rows=block_rows).collect()
+    for k in (100, 101):
+        assert [r.r_id for r in sorted((r for r in out if r.q_id == k), key=lambda r: r.rank)] == [1, 2, 3, 4, 5]
+
+
+def test_nan_is_no_value_for_histogram_and_scalers(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(10)] + [(float("nan"),), (None,)], "x double")
+    assert [r["count"] for r in profile.histogram(df, "x", 5).collect()] == [2, 2, 2, 2, 2]
+    lo_hi = encode.fit_minmax(df, "x").first()
+    assert (lo_hi["_min"], lo_hi["_max"]) == (0.0, 9.0)
+    assert encode.fit_standard(df, ["x"]).first()["x__mean"] == 4.5
+
+
+def test_regression_metrics_keep_the_null_group(spark):
+    df = spark.createDataFrame([("a", 1.0, 1.0), ("a", 2.0, 1.0), (None, 3.0, 1.0), (None, 5.0, 5.0)], "g string, y double, p double")
+    assert {r.g: r.mse for r in metrics.regression_metrics(df, "y", "p", ["g"]).collect()} == {"a": 0.5, None: 2.0}
+
+
+def test_lag_windows_keep_nulls_in_place(spark):
+    df = spark.createDataFrame([("a", i, None if i == 5 else float(i)) for i in range(1, 13)], "s string, pos int, v double")
+    out = {r.pos: r.x for r in series.lag_windows(df, "s", "pos", "v", 3).collect()}
+    assert len(out) == 9 and out[7] == [4.0, None, 6.0]
+
+
+def test_save_prices_keeps_other_tickers_and_runs(spark, tmp_path):
+    def day(t, d):
+        return spark.createDataFrame([(d, 1.0, 2.0, 0.5, 1.5, 10, t)], "date string, open double, high double, low double, close double, volume long, ticker string")
+
+    path = str(tmp_path / "prices")
+    for t, d in (("A", "2024-01-01"), ("B", "2024-01-02"), ("A", "2024-01-02"), ("A", "2024-01-02")):
+        io.save_prices(day(t, d), path, d)
+    assert sorted((r.ticker, r.date) for r in io.read_prices(spark, path).collect()) == [("A", "2024-01-01"), ("A", "2024-01-02"), ("B", "2024-01-02")]
+
+
+def test_smote_grows_every_class(spark):
+    rows = [(i, 0 if i < 12 else 1 if i < 18 else 2, [float(i), float(i % 3)]) for i in range(21)]
+    df = spark.createDataFrame(rows, "id long, y int, embedding array<double>")
+    out = vectors.smote_resample(df, "y", "id").groupBy("y").count().collect()
+    assert {r.y: r["count"] for r in out} == {0: 12, 1: 12, 2: 12}
+
+
+def test_wide_tables_refuse_too_many_values(spark):
+    df = spark.range(profile.MAX_COLUMNS + 5).selectExpr("1 AS a", "id AS b")
+    with pytest.raises(ValueError, match="pair_counts"):
+        profile.crosstab(df, "a", "b")
+    with pytest.raises(ValueError, match="confusion_long"):
+        metrics.confusion_matrix(df, "b", "b")
+
+
+def test_group_sizes_do_not_exchange_the_rows(spark):
+    from tidemark.operators.ordering import with_group_size
+
+    plan = with_group_size(spark.range(10**6).selectExpr("id", "id % 5 AS g"), "g")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

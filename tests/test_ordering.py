@@ -70,14 +70,14 @@ def test_chrono_split_unsorted_input(spark):
 
 
 def _early_stop_py(metrics, patience, init=-1.0):
-    best, last_imp, first = init, None, metrics[0][0]
+    best, bad = init, 0
     rows = []
     for e, m in metrics:
         imp = m > best
         best = max(best, m)
-        last_imp = e if imp else last_imp
+        bad = 0 if imp else bad + 1
         rows.append((e, m, imp))
-        if e - (last_imp if last_imp is not None else first - 1) >= patience:
+        if bad >= patience:
             break
     imps = [(e, m) for e, m, i in rows if i]
     return rows[-1][0], (imps[-1][0] if imps else None), (imps[-1][1] if imps else None)
@@ -94,6 +94,7 @@ def test_early_stop_scan_over_range_partitions(spark):
             level += rnd.uniform(-0.05, 0.06)
             seq.append((e, round(level + rnd.uniform(-0.2, 0.2), 3)))
         data[r] = seq
+    data["gaps"] = [(10 * e * e, m) for e, m in data["a"]]
     df = spark.createDataFrame([(r, e, m) for r, seq in data.items() for e, m in seq], "run string, epoch int, metric double")
     for patience in (5, 40):
         exp = {r: _early_stop_py(seq, patience) for r, seq in data.items()}

@@ -23,10 +23,10 @@ def hash_key(seed, *parts) -> Column:
 
 
 def hash_int(seed, *parts) -> Column:
-    """First 32 bits of the md5 key as a non-negative bigint."""
-    return F.conv(F.substring(hash_key(seed, *parts), 1, 8), 16, 10).cast("bigint")
+    """First 60 bits of the md5 key as a non-negative bigint (``% n`` reaches every row of any table)."""
+    return F.conv(F.substring(hash_key(seed, *parts), 1, 15), 16, 10).cast("bigint")
 
 
 def hash_unit(seed, *parts) -> Column:
-    """Uniform double in [0, 1) from the first 32 bits of the md5 key."""
-    return hash_int(seed, *parts) / F.lit(4294967296.0)
+    """Uniform double in [0, 1) from the first 60 bits of the md5 key."""
+    return hash_int(seed, *parts) / F.lit(float(1 << 60))

@@ -111,9 +111,14 @@ def one_hot_columns(df: DataFrame, code: str, k: int, prefix: str = "oh_") -> Da
 
 # ---- C6 / C7: min-max scaling fitted on a subset ---------------------------------------------
 
-def fit_minmax(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
-    """Per-group min and max of ``col`` (C6 fit)."""
+def _number(col: str) -> Column:
     x = F.col(col).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def fit_minmax(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
+    """Per-group min and max of ``col``, NaN ignored (C6 fit)."""
+    x = _number(col)
     return df.groupBy(*by).agg(F.min(x).alias("_min"), F.max(x).alias("_max"))
 
 
@@ -141,7 +146,7 @@ def _scalar_join(df: DataFrame, one_row: DataFrame) -> DataFrame:
 def fit_standard(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     aggs = []
     for c in cols:
-        x = F.col(c).cast("double")
+        x = _number(c)
         aggs += [F.avg(x).alias(f"{c}__mean"), F.stddev_pop(x).alias(f"{c}__std")]
     return df.agg(*aggs)
 

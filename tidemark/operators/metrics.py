@@ -30,8 +30,12 @@ def confusion_long(df: DataFrame, y: str, p: str) -> DataFrame:
 def confusion_matrix(df: DataFrame, y: str, p: str, classes: Sequence | None = None, prefix: str = "p_") -> DataFrame:
     """Rows actual, columns predicted (sorted labels), zeros kept (K2)."""
     if classes is None:
-        classes = sorted({r[0] for r in df.select(F.col(y)).distinct().union(df.select(F.col(p))).distinct().collect()
-                          if r[0] is not None})
+        from tidemark.operators.profile import MAX_COLUMNS
+
+        seen = df.select(F.col(y)).union(df.select(F.col(p))).distinct().limit(MAX_COLUMNS + 2).collect()
+        classes = sorted(r[0] for r in seen if r[0] is not None)
+        if len(classes) > MAX_COLUMNS:
+            raise ValueError(f"more than {MAX_COLUMNS} classes; use confusion_long for the long form")
     out = df.groupBy(F.col(y).alias("actual")).pivot(p, list(classes)).count()
     names = [f"{prefix}{_name(c)}" for c in classes]
     return out.toDF("actual", *names).na.fill(0, subset=names)
@@ -126,7 +130,9 @@ def regression_metrics(df: DataFrame, actual: str, pred: str, by: Sequence[str]
     rows = df.where(F.col(actual).isNotNull() & F.col(pred).isNotNull())
     means = rows.groupBy(*by).agg(F.avg(actual).alias("_mean")) if by else None
     if by:
-        j = rows.join(means, by)  # one row per group; AQE picks the join
+        from tidemark.operators.encode import _join_small
+
+        j = _join_small(rows, means, by, how="inner")  # null groups included
     else:
         j = rows.withColumn("_mean", F.lit(rows.agg(F.avg(actual)).first()[0]))
     err = F.col(actual) - F.col(pred)

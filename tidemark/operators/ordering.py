@@ -83,18 +83,15 @@ def group_sizes(df: DataFrame, by: Sequence[str] | str | None, name: str = "n")
 
 def with_group_size(df: DataFrame, by, name: str = "n") -> DataFrame:
     """Attach the group size to every row via an aggregate + join (not a window,
-    which would gather each group into one task)."""
+    which would gather each group into one task). The sizes are counted and
+    broadcast within the bound, so the rows are not exchanged on a hot group."""
     by_names = [by] if isinstance(by, str) else list(by or [])
     sizes = group_sizes(df, by_names, name)
     if not by_names:
         return _attach_scalar(df, sizes, name)
-    g = [f"_tm_g{i}" for i in range(len(by_names))]
-    sizes = sizes.select(*[F.col(b).alias(x) for b, x in zip(by_names, g)], name)
-    cond = None
-    for b, x in zip(by_names, g):
-        c = F.col(b).eqNullSafe(F.col(x))
-        cond = c if cond is None else cond & c
-    return df.join(sizes, cond).drop(*g)
+    from tidemark.operators.encode import _join_small
+
+    return _join_small(df, sizes, by_names, how="inner")
 
 
 def _attach_scalar(df: DataFrame, one_row: DataFrame, name: str) -> DataFrame:

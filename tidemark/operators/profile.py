@@ -47,16 +47,22 @@ def pair_counts(df: DataFrame, a: str, b: str, name: str = "count") -> DataFrame
             .groupBy(a, b).agg(F.count(F.lit(1)).alias(name)))
 
 
+MAX_COLUMNS = 1000
+
+
 def crosstab(df: DataFrame, a: str, b: str, values: Sequence | None = None,
              names: Sequence[str] | None = None) -> DataFrame:
     """Wide contingency table, missing pairs 0, null pairs dropped.
 
     ``values`` are the column values of ``b``; when omitted they are read as a
-    distinct (category-sized) list. ``names`` renames the pivoted columns.
+    distinct list of at most ``MAX_COLUMNS`` values (more raise an error: use the
+    long form ``pair_counts``). ``names`` renames the pivoted columns.
     """
     base = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     if values is None:
-        values = [r[0] for r in base.select(b).distinct().orderBy(b).collect()]
+        values = sorted(r[0] for r in base.select(b).distinct().limit(MAX_COLUMNS + 1).collect())
+        if len(values) > MAX_COLUMNS:
+            raise ValueError(f"{b} has more than {MAX_COLUMNS} values; use pair_counts for the long form")
     out = base.groupBy(a).pivot(b, list(values)).count()
     names = list(names) if names else [str(v) for v in values]
     out = out.toDF(a, *names)  # positional rename: pivot names such as "1.0" are not valid paths
@@ -134,9 +140,9 @@ def describe(df: DataFrame, col: str, digits: int | None = 2, exact: bool = True
 
 
 def histogram(df: DataFrame, col: str, bins: int = 20, digits: int = 6) -> DataFrame:
-    """Equal-width bins over [min, max], last bin closed, empty bins kept."""
+    """Equal-width bins over [min, max], last bin closed, empty bins kept, nulls and NaN not counted."""
     x = F.col(col).cast("double")
-    base = df.where(F.col(col).isNotNull())
+    base = df.where(F.col(col).isNotNull() & ~F.isnan(x))
     st = base.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
     spark = df.sparkSession
     if st["lo"] is None:

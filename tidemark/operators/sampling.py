@@ -36,7 +36,7 @@ def bootstrap(df: DataFrame, key: str, replicates: int = 10, seed: int = 42) ->
     """``replicates`` samples with replacement of the same size as ``df``.
 
     Draw j of replicate r picks the row at dense index
-    ``int(md5('<seed+r>:<j>')[0:8], 16) mod n``. Draws come from ``spark.range``
+    ``int(md5('<seed+r>:<j>')[0:15], 16) mod n``. Draws come from ``spark.range``
     (distributed) and are equi-joined to the indexed rows.
     Output: ``replicate, draw`` plus the columns of ``df``.
     """
@@ -49,7 +49,7 @@ def bootstrap(df: DataFrame, key: str, replicates: int = 10, seed: int = 42) ->
         (F.col("id") / F.lit(n)).cast("long").cast("int").alias("replicate"),
         (F.col("id") % F.lit(n)).alias("draw"))
     h = F.md5(F.concat((F.col("replicate") + F.lit(seed)).cast("string"), F.lit(":"), F.col("draw").cast("string")))
-    draws = draws.withColumn("_pick", F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % F.lit(n) + 1)
+    draws = draws.withColumn("_pick", F.conv(F.substring(h, 1, 15), 16, 10).cast("long") % F.lit(n) + 1)
     return draws.join(idx, draws["_pick"] == idx["_idx"]).drop("_pick", "_idx")
 
 

@@ -102,13 +102,14 @@ def chrono_split3(df: DataFrame, by, order, ratio: float = 0.8, val_ratio: float
 def lag_windows(df: DataFrame, by, pos: str, value: str, k: int, out: str = "x",
                 chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """``X = value[i-k:i]`` (oldest first), ``y = value[i]`` for rows with k predecessors
-    inside their ``by`` group. ``pos`` is a 1-based position within the group
+    inside their ``by`` group; null values keep their place in X. ``pos`` is a 1-based position within the group
     (restart the positions per segment for F4)."""
     by = _list(by)
     h = with_halo(df, by, pos, k, chunk_rows)
     w = _chunk_window(by, pos, -k, -1)
-    return (h.withColumn(out, F.collect_list(F.col(value)).over(w))
-            .where(~F.col("_halo") & (F.size(out) == k)).drop("_chunk", "_halo"))
+    held = F.collect_list(F.struct(F.col(value).alias("v"))).over(w)  # a list of bare values would leave out nulls
+    return (h.withColumn(out, held).where(~F.col("_halo") & (F.size(out) == k))
+            .withColumn(out, F.transform(out, lambda s: s["v"])).drop("_chunk", "_halo"))
 
 
 def lag_value(df: DataFrame, by, pos: str, value: str, lag: int = 1, out: str = "lag",
@@ -182,8 +183,9 @@ def forecast_boundary(df: DataFrame, by, date: str, segment: str = "segment", te
     first = test.groupBy(*by).agg(F.min(date).alias("first_test"), F.count(F.lit(1)).alias("n_test"),
                                   F.min(pos).alias("_p0"))
     kth = test.select(*by, F.col(pos).alias("_p"), F.col(date).alias("kth_date"))
-    return (first.where(F.col("n_test") > k)
-            .join(kth, [*by])
+    from tidemark.operators.encode import _join_small
+
+    return (_join_small(kth, first.where(F.col("n_test") > k), by, how="inner")
             .where(F.col("_p") == F.col("_p0") + k)
             .select(*by, "first_test", F.date_add(F.col("first_test"), k).alias("boundary_date"), "kth_date",
                     "n_test"))
@@ -223,8 +225,8 @@ def _carry_max(tagged: DataFrame, run: str, value) -> DataFrame:
 
 def early_stop(metrics: DataFrame, run: str, epoch: str, metric: str, patience: int = 5,
                initial_best: float = -1.0, partitions: int | None = None) -> DataFrame:
-    """Stop at the first epoch that completes ``patience`` non-improving epochs in a
-    row (improvement = strictly above the running best, which starts at
+    """Stop at the first epoch that completes ``patience`` non-improving evaluations in
+    a row, whatever the epochs' numbers (improvement = strictly above the running best, which starts at
     ``initial_best``); keep the best epoch up to the stop.
 
     One row per run: ``stop_epoch, best_epoch, best_metric``. The running best and
@@ -237,7 +239,8 @@ def early_stop(metrics: DataFrame, run: str, epoch: str, metric: str, patience:
     from tidemark.session import shuffle_partitions
 
     n = partitions or shuffle_partitions(metrics.sparkSession)
-    tagged = (metrics.select(run, epoch, metric).repartitionByRange(n, F.col(run), F.col(epoch))
+    numbered = ordered_index(metrics.select(run, epoch, metric), [run], [F.col(epoch)], name="_k", partitions=n)
+    tagged = (numbered.repartitionByRange(n, F.col(run), F.col(epoch))
               .withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True))
     before = Window.partitionBy("_pid", run).orderBy(epoch).rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("_pid", run).orderBy(epoch).rowsBetween(Window.unboundedPreceding, 0)
@@ -247,11 +250,9 @@ def early_stop(metrics: DataFrame, run: str, epoch: str, metric: str, patience:
     prev_best = F.greatest(init, F.col("_carry"), F.max(metric).over(before))
     m = m.withColumn("_improved", F.col(metric) > prev_best).drop("_carry")
     # scan 2: last improving epoch up to each epoch
-    m = _join_small(m, _carry_max(m, run, F.when(F.col("_improved"), F.col(epoch))), ["_pid", run])
-    m = m.withColumn("_last_imp", F.greatest(F.col("_carry"), F.max(F.when(F.col("_improved"), F.col(epoch))).over(upto)))
-    firsts = m.groupBy(run).agg(F.min(epoch).alias("_first"))
-    m = _join_small(m, firsts, [run])
-    m = m.withColumn("_streak", F.col(epoch) - F.coalesce(F.col("_last_imp"), F.col("_first") - 1))
+    m = _join_small(m, _carry_max(m, run, F.when(F.col("_improved"), F.col("_k"))), ["_pid", run])
+    m = m.withColumn("_last_imp", F.greatest(F.col("_carry"), F.max(F.when(F.col("_improved"), F.col("_k"))).over(upto)))
+    m = m.withColumn("_streak", F.col("_k") - F.coalesce(F.col("_last_imp"), F.lit(0)))
     stops = m.groupBy(run).agg(
         F.coalesce(F.min(F.when(F.col("_streak") >= patience, F.col(epoch))), F.max(epoch)).alias("stop_epoch"))
     j = _join_small(m, stops, [run], how="inner").where(F.col(epoch) <= F.col("stop_epoch"))

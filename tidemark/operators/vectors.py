@@ -29,7 +29,7 @@ from tidemark.functions.keys import hash_int, hash_unit
 from tidemark.functions.vec import lerp
 from tidemark.operators.ordering import ordered_index
 
-BLOCK_ROWS = 16_384      # rows of one side in a cogroup (16k x 64 floats = 4 MB)
+BLOCK_ROWS = 16_384      # rows of one side in a cogroup (16k x 64 doubles = 8 MB)
 QUERY_SLICE = 256        # queries per screening slice (256 x 16k doubles = 32 MB)
 DIST_DIGITS = 9          # distances are compared after rounding; ties broken by id
 KNN_SCHEMA = "q_id long, rank int, r_id long, dist double"
@@ -70,7 +70,7 @@ def _block_topk(k: int, exclude_self: bool):
             for j in range(diff.shape[1]):
                 acc += diff[:, j] * diff[:, j]
             dv = np.round(np.sqrt(acc), DIST_DIGITS)
-            o = np.lexsort((cols, dv, rows))      # per query: distance, then reference id
+            o = np.lexsort((rid[cols], dv, rows))  # per query: distance, then reference id
             rows, cols, dv = rows[o], cols[o], dv[o]
             rank = np.arange(len(rows)) - np.searchsorted(rows, rows) + 1
             keep = rank <= kk
@@ -129,11 +129,11 @@ def knn_classify(queries: DataFrame, train: DataFrame, k: int, qkey: str, rkey:
 
 def smote(df: DataFrame, label: str, key: str, vec: str = "embedding", k: int = 5, seed: int = 42,
           block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Synthetic minority rows until the minority class matches the majority.
+    """Synthetic rows until every class has as many rows as the largest one.
 
-    Draw j picks base row ``md5('seed:b:j') mod n_min`` (dense id order), its
+    Classes grow from the smallest on; draws are numbered through. Draw j of a class picks base row ``md5('seed:b:j') mod n_min`` (dense id order), its
     neighbour of rank ``md5('seed:n:j') mod min(k, n_min-1) + 1`` among the
-    minority rows, and ``u = md5('seed:u:j') / 2^32``; the new vector is
+    minority rows, and ``u = md5('seed:u:j') / 2^60``; the new vector is
     ``base + u * (neighbour - base)``. Output: ``syn_id, base_id, nbr_id, u,
     <label>, <vec>`` (originals are not repeated; union them with ``smote_resample``).
     """
@@ -141,17 +141,24 @@ def smote(df: DataFrame, label: str, key: str, vec: str = "embedding", k: int =
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").asc(), F.col(label).asc()).collect()
     if len(counts) < 2:
         return spark.createDataFrame([], f"syn_id long, base_id long, nbr_id long, u double, {label} int, {vec} array<double>")
-    minority, n_min = counts[0][label], counts[0]["n"]
-    n_maj = max(r["n"] for r in counts)
-    n_syn = n_maj - n_min
+    n_maj, first, out = max(r["n"] for r in counts), 0, None
+    for r in counts:  # a loop over classes, not rows
+        n_syn = n_maj - r["n"]
+        if n_syn > 0 and r["n"] > 1 and k > 0 and r[label] is not None:
+            part = _smote_class(df, label, key, vec, r[label], r["n"], n_syn, first, k, seed, block_rows)
+            out, first = part if out is None else out.unionByName(part), first + n_syn
+    return spark.createDataFrame([], f"syn_id long, base_id long, nbr_id long, u double, {label} int, {vec} array<double>") if out is None else out
+
+
+def _smote_class(df, label, key, vec, minority, n_min, n_syn, first, k, seed, block_rows) -> DataFrame:
+    """``n_syn`` synthetic rows of one class; their draws are numbered from ``first``."""
+    spark = df.sparkSession
     k_eff = min(k, n_min - 1)
     mino = df.where(F.col(label) == F.lit(minority)).select(key, vec)
-    if n_syn <= 0 or k_eff < 1:
-        return spark.createDataFrame([], f"syn_id long, base_id long, nbr_id long, u double, {label} int, {vec} array<double>")
     nn = knn(mino, mino, k_eff, key, key, vec, exclude_self=True, block_rows=block_rows)
     idx = ordered_index(mino, None, [F.col(key)], name="_i").select(F.col("_i"), F.col(key).alias("base_id"),
                                                                     F.col(vec).alias("_bv"))
-    draws = spark.range(n_syn).select(
+    draws = spark.range(first, first + n_syn).select(
         F.col("id").alias("syn_id"),
         (hash_int(seed, F.lit("b"), F.col("id")) % F.lit(n_min) + 1).alias("_i"),
         (hash_int(seed, F.lit("n"), F.col("id")) % F.lit(k_eff) + 1).cast("int").alias("rank"),

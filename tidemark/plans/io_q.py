@@ -58,3 +58,15 @@ def ingest_prices(spark, sf):
     path = io.scratch_path(spark, "ingest")
     _df, out = io.ingest_prices(spark, fixtures.prices(spark, sf), None, "1995-06-01", "1998-01-01", path, "2024-01-01")
     return io.read_prices(spark, out)
+
+
+@reg("ingest_two_runs", with_views(
+    PRICE_COLS.join(["SELECT ", " FROM prices WHERE date >= DATE '1995-06-01' AND date < DATE '1996-01-01' UNION ALL SELECT "])
+    + PRICE_COLS.replace("20240101", "20240102").join(["", " FROM prices WHERE date >= DATE '1996-01-01' AND date < DATE '1996-06-01'"]), "prices"))
+def ingest_two_runs(spark, sf):
+    """Two runs into one folder, the second one twice; both are read back."""
+    path, prices = io.scratch_path(spark, "ingest"), fixtures.prices(spark, sf)
+    io.ingest_prices(spark, prices, None, "1995-06-01", "1996-01-01", path, "2024-01-01")
+    for _ in range(2):
+        io.ingest_prices(spark, prices, None, "1996-01-01", "1996-06-01", path, "2024-01-02")
+    return io.read_prices(spark, path)

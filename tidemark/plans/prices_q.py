@@ -253,16 +253,28 @@ def forecast_boundary(spark, sf):
     return series.forecast_boundary(_split(spark, sf), "ticker", "date", "segment", "test", K)
 
 
-@reg("early_stop", P(CS + """
+EARLY_STOP_SQL = """
 , a AS (SELECT ticker, pos AS epoch, close AS metric, close > greatest(coalesce(max(close) OVER (PARTITION BY ticker ORDER BY pos
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1.0), -1.0) AS improved FROM cs),
-b AS (SELECT *, epoch - coalesce(max(CASE WHEN improved THEN epoch END) OVER (PARTITION BY ticker ORDER BY epoch
-        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), min(epoch) OVER (PARTITION BY ticker) - 1) AS streak FROM a),
+n AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY epoch) AS k FROM a),
+b AS (SELECT *, k - coalesce(max(CASE WHEN improved THEN k END) OVER (PARTITION BY ticker ORDER BY k
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS streak FROM n),
 s AS (SELECT ticker, coalesce(min(CASE WHEN streak >= 5 THEN epoch END), max(epoch)) AS stop_epoch FROM b GROUP BY ticker)
 SELECT b.ticker, s.stop_epoch, max(CASE WHEN improved THEN epoch END) AS best_epoch,
        max(CASE WHEN improved THEN metric END) AS best_metric
-FROM b JOIN s ON b.ticker = s.ticker WHERE epoch <= stop_epoch GROUP BY b.ticker, s.stop_epoch"""))
+FROM b JOIN s ON b.ticker = s.ticker WHERE epoch <= stop_epoch GROUP BY b.ticker, s.stop_epoch"""
+
+
+@reg("early_stop", P(CS + EARLY_STOP_SQL))
 def early_stop(spark, sf):
     pos = series.positions(_p(spark, sf), "ticker", "date")
     m = pos.select("ticker", F.col("pos").alias("epoch"), F.col("close").alias("metric"))
     return series.early_stop(m, "ticker", "epoch", "metric", patience=5)
+
+
+@reg("early_stop_gaps", P(CS + EARLY_STOP_SQL.replace("pos AS epoch", "pos * pos * 10 AS epoch")))
+def early_stop_gaps(spark, sf):
+    """Epoch numbers far apart: patience counts evaluations, not numbers."""
+    pos = series.positions(_p(spark, sf), "ticker", "date")
+    m = pos.select("ticker", (F.col("pos") * F.col("pos") * 10).alias("epoch"), F.col("close").alias("metric"))
+    return series.early_stop(m, "ticker", "epoch", "metric", patience=5)

@@ -51,8 +51,11 @@ def reg(name, sql=None):
 
 # ---- D: profiling ---------------------------------------------------------------------------------
 
-@reg("crosstab_type_subject", T("PIVOT (SELECT ticket_type, ticket_subject FROM tickets) ON ticket_subject "
-                                "USING count(*) GROUP BY ticket_type"))
+SUBJECTS = sorted(f"src{i}" for i in range(20))
+
+
+@reg("crosstab_type_subject", T("SELECT ticket_type, " + ", ".join(f"count(*) FILTER (WHERE ticket_subject = '{s}') AS {s}" for s in SUBJECTS)
+                                + " FROM tickets WHERE ticket_type IS NOT NULL AND ticket_subject IS NOT NULL GROUP BY ticket_type"))
 def crosstab_type_subject(spark, sf):
     return profile.crosstab(_t(spark, sf), "ticket_type", "ticket_subject")
 

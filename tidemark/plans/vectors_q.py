@@ -41,7 +41,7 @@ def _sum_emb():
 
 
 DIST = "list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
-H = "CAST(CAST(('0x' || substr(md5({s}), 1, 8)) AS BIGINT) AS BIGINT)"
+H = "CAST(CAST(('0x' || substr(md5({s}), 1, 15)) AS BIGINT) AS BIGINT)"
 
 
 @reg("class_balance", V("""
@@ -105,6 +105,21 @@ def knn_neighbors(spark, sf):
     return vectors.knn(v.where(F.col("split") == "test"), v.where(F.col("split") == "train"), 5, "vec_id", "vec_id")
 
 
+ROUNDED = "list_transform(embedding, lambda x: round(CAST(x AS DOUBLE) * 3))"
+
+
+@reg("knn_ties", V(f"""
+WITH r AS (SELECT vec_id, split, {ROUNDED} AS e FROM vectors)
+SELECT a.vec_id AS q_id, CAST(row_number() OVER w AS INT) AS rank, b.vec_id AS r_id, round(list_distance(a.e, b.e), 9) AS dist
+FROM r a, r b WHERE a.split = 'test' AND b.split = 'train'
+WINDOW w AS (PARTITION BY a.vec_id ORDER BY round(list_distance(a.e, b.e), 9), b.vec_id) QUALIFY row_number() OVER w <= 5"""))
+def knn_ties(spark, sf):
+    """Vectors rounded to few values, so that many references are equally far; small blocks."""
+    v = _v(spark, sf).select("vec_id", "split", F.transform("embedding", lambda x: F.round(x.cast("double") * 3)).alias("embedding"))
+    return vectors.knn(v.where(F.col("split") == "test"), v.where(F.col("split") == "train").orderBy(F.col("vec_id").desc()), 5,
+                       "vec_id", "vec_id", block_rows=97)
+
+
 @reg("knn_classify", V(KNN_SQL + """
 , votes AS (SELECT q_id, lab, count(*) AS c FROM nn GROUP BY q_id, lab)
 SELECT q_id AS vec_id, lab AS pred FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY c DESC, lab) AS r FROM votes) WHERE r = 1"""))
@@ -126,7 +141,7 @@ nn AS (SELECT a.vec_id AS q, b.vec_id AS r,
 d AS (SELECT range AS j FROM range((SELECT nmaj FROM mx) - (SELECT n FROM mi))),
 dd AS (SELECT j, {H.format(s="'42:b:' || CAST(j AS VARCHAR)")} % (SELECT n FROM mi) + 1 AS bi,
               {H.format(s="'42:n:' || CAST(j AS VARCHAR)")} % least(5, (SELECT n FROM mi) - 1) + 1 AS rk,
-              {H.format(s="'42:u:' || CAST(j AS VARCHAR)")} / 4294967296.0 AS u FROM d),
+              {H.format(s="'42:u:' || CAST(j AS VARCHAR)")} / 1152921504606846976.0 AS u FROM d),
 syn AS (SELECT dd.j AS syn_id, b.vec_id AS base_id, nn.r AS nbr_id, dd.u, b.embedding AS bv, o.embedding AS nv
         FROM dd JOIN m b ON b.i = dd.bi JOIN nn ON nn.q = b.vec_id AND nn.rank = dd.rk JOIN m o ON o.vec_id = nn.r)
 """

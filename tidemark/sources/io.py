@@ -48,6 +48,10 @@ CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"
                "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss", "dateFormat": "yyyy-MM-dd"}
 
 
+# Price rows hold no line breaks, so their files can be split among tasks.
+PRICE_OPTIONS = {**CSV_OPTIONS, "multiLine": "false"}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory (never a machine-local tmp)."""
     base = ensure_checkpoint_dir(spark)
@@ -115,18 +119,20 @@ def price_range(df: DataFrame, start: str, end: str, date_col: str = "date") ->
 
 def save_prices(df: DataFrame, out_dir: str, run_date: str) -> str | None:
     """CSV with header under ``out_dir/ticker=<t>/run_date=<yyyymmdd>/`` (A6);
-    an empty input writes nothing and returns None."""
+    an empty input writes nothing and returns None. A save replaces only the
+    (ticker, run_date) folders it has rows for; other tickers and run dates stay."""
     if df.isEmpty():
         return None
     (df.withColumn("run_date", F.lit(run_date.replace("-", "")))
-     .write.mode("overwrite").options(**CSV_OPTIONS).partitionBy("ticker", "run_date").csv(out_dir))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").options(**PRICE_OPTIONS)
+     .partitionBy("ticker", "run_date").csv(out_dir))
     return out_dir
 
 
 def read_prices(spark: SparkSession, path: str) -> DataFrame:
     schema = T.StructType(PRICE_SCHEMA.fields + [T.StructField("ticker", T.StringType()),
                                                  T.StructField("run_date", T.StringType())])
-    return spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
+    return spark.read.schema(schema).options(**PRICE_OPTIONS).csv(path)
 
 
 def ingest_prices(spark: SparkSession, src: DataFrame, tickers: Sequence[str] | None, start: str, end: str,
