@@ -112,8 +112,9 @@ def probe_rows(tau: int) -> Column:
     return F.array(*out)
 
 
-def within(r: Column, s: Column, tau: int) -> Column:
-    """Whether the edit distance of r and s is at most ``tau``, by the banded bit-parallel algorithm.
+def within(rc: Column, sc: Column, tau: int) -> Column:
+    """Whether the edit distance of two arrays of characters is at most ``tau``, by the banded bit-parallel algorithm.
+    They should be stored columns: an expression would be evaluated again at every character.
 
     Column j of the distance matrix is seen through the rows j - tau .. j + tau (bit 0 is the upper one); VP and VN
     hold the vertical differences +1 and -1 there. The score follows the lowest diagonal of the band until it
@@ -121,7 +122,7 @@ def within(r: Column, s: Column, tau: int) -> Column:
     """
     width = 2 * tau + 1
     mask = F.lit((1 << width) - 1).cast("bigint")
-    rc, sc, m, n = F.split(r, ""), F.split(s, ""), F.length(r), F.length(s)
+    m, n = F.size(rc), F.size(sc)
 
     def state(vp, vn, score):
         return F.struct(vp.cast("bigint").alias("vp"), vn.cast("bigint").alias("vn"), score.cast("int").alias("score"))
@@ -133,16 +134,23 @@ def within(r: Column, s: Column, tau: int) -> Column:
             hit = F.coalesce(F.when(row >= 1, F.get(rc, row - 1)) == c, F.lit(False))
             pm = pm + F.when(hit, F.lit(1 << k)).otherwise(F.lit(0))
         vp, vn = a["vp"], a["vn"]
-        d0 = (pm.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(pm).bitwiseOR(vn).bitwiseAND(mask)
-        hp = vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(vp))).bitwiseAND(mask)
-        hn = d0.bitwiseAND(vp)
-        down = F.shiftright(d0, 1)
-        last = m - tau  # columns up to here move the score down the diagonal, later ones along the last row
-        at = F.pow(F.lit(2.0), (F.lit(width - 1) - (j - last)).cast("double")).cast("bigint")
-        diagonal = F.when(d0.bitwiseAND(F.lit(1 << (width - 1)).cast("bigint")) != 0, 0).otherwise(1)
-        along = F.when(hp.bitwiseAND(at) != 0, 1).otherwise(0) - F.when(hn.bitwiseAND(at) != 0, 1).otherwise(0)
-        return state(hn.bitwiseOR(F.bitwise_not(down.bitwiseOR(hp))).bitwiseAND(mask), down.bitwiseAND(hp),
-                     a["score"] + F.when(j <= last, diagonal).otherwise(along))
+
+        def d0_of(pm):
+            return (pm.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(pm).bitwiseOR(vn).bitwiseAND(mask)
+
+        def next_state(d0):
+            hp = vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(vp))).bitwiseAND(mask)
+            hn = d0.bitwiseAND(vp)
+            down = F.shiftright(d0, 1)
+            last = m - tau  # columns up to here move the score down the diagonal, later ones along the last row
+            at = F.pow(F.lit(2.0), (F.lit(width - 1) - (j - last)).cast("double")).cast("bigint")
+            diagonal = F.when(d0.bitwiseAND(F.lit(1 << (width - 1)).cast("bigint")) != 0, 0).otherwise(1)
+            along = F.when(hp.bitwiseAND(at) != 0, 1).otherwise(0) - F.when(hn.bitwiseAND(at) != 0, 1).otherwise(0)
+            return state(hn.bitwiseOR(F.bitwise_not(down.bitwiseOR(hp))).bitwiseAND(mask), down.bitwiseAND(hp),
+                         a["score"] + F.when(j <= last, diagonal).otherwise(along))
+
+        # lists of one element name a value, so that it is computed once
+        return F.get(F.transform(F.transform(F.array(pm), d0_of), next_state), F.lit(0))
 
     start = state(F.lit(((1 << (tau + 1)) - 1) << tau), F.lit(0), F.lit(tau))
     score = F.aggregate(F.sequence(F.lit(1), n), start, step, lambda a: a["score"])
@@ -177,13 +185,13 @@ def flag_lines(df: DataFrame, key: str = "doc_id", text: str = "text", tau: int
                 .filter(F.col("first").isNull() | F.col("first").eqNullSafe(place)).select("h", "h2", "k", "pos", "line"))
     pairs = near_line_pairs(distinct, tau).checkpoint()
     wanted = pairs.select(F.explode(F.array("r", "s")).alias("w")).distinct().checkpoint()
-    found = distinct.join(small(wanted, wanted.count(), SMALL_ROWS), F.col("h") == F.col("w"), "left_semi").checkpoint()
-    a = found.select(*[F.col(c).alias(f"{c}_a") for c in ("h", "h2", "k", "pos", "line")])
-    b = found.select(*[F.col(c).alias(f"{c}_b") for c in ("h", "h2", "k", "pos", "line")])
+    found = distinct.join(small(wanted, wanted.count(), SMALL_ROWS), F.col("h") == F.col("w"), "left_semi")
+    found = found.withColumn("chars", F.split("line", "")).drop("line").checkpoint()
+    a = found.select(*[F.col(c).alias(f"{c}_a") for c in ("h", "h2", "k", "pos", "chars")])
+    b = found.select(*[F.col(c).alias(f"{c}_b") for c in ("h", "h2", "k", "pos", "chars")])
     both = pairs.join(a, F.col("r") == F.col("h_a")).join(b, F.col("s") == F.col("h_b"))
-    close = both.filter(within(F.col("line_a"), F.col("line_b"), tau))
-    before = F.struct(F.col("k_a").alias("k"), F.col("pos_a").alias("pos")) < F.struct(F.col("k_b").alias("k"), F.col("pos_b").alias("pos"))
-    before = F.when(F.col("k_a").eqNullSafe(F.col("k_b")), F.col("pos_a") < F.col("pos_b")).when(F.col("k_a").isNull(), True).when(F.col("k_b").isNull(), False).otherwise(before)
+    close = both.filter(within(F.col("chars_a"), F.col("chars_b"), tau))
+    before = F.when(F.col("k_a").eqNullSafe(F.col("k_b")), F.col("pos_a") < F.col("pos_b")).when(F.col("k_a").isNull(), True).when(F.col("k_b").isNull(), False).otherwise(F.col("k_a") < F.col("k_b"))
     gone = close.select(F.when(before, F.col("h_b")).otherwise(F.col("h_a")).alias("dh"),
                         F.when(before, F.col("h2_b")).otherwise(F.col("h2_a")).alias("dh2")).distinct()
     flags = (repeats.select("dh", "dh2", "first", F.lit(False).alias("near"))
