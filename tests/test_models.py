@@ -58,3 +58,17 @@ def test_lag_sweep_skips_short_validation(spark):
     rows = t.collect()
     assert sum(r.selected for r in rows) == 1
     assert all(r.fit_mse >= 0 for r in rows)
+
+
+def test_rating_features_hold_the_texts_and_are_scaled_on_train(spark):
+    from tidemark.plans import models_q as q
+    from tests.conftest import SF_SMALL
+
+    d = q._ticket_features(spark, SF_SMALL)
+    rows = d.select("part", "features", "raw").collect()
+    train = np.array([r.features.toArray() for r in rows if r.part == "train"])
+    assert train.shape[1] == q.N_FEATURES
+    assert np.abs(train.mean(axis=0)).max() < 1e-9
+    spread = train.std(axis=0, ddof=1)
+    assert np.all((np.abs(spread - 1) < 1e-6) | (spread < 1e-9))
+    assert all(any(r.raw[4 + 8 * c:12 + 8 * c]) for r in rows for c in (0, 1, 2))

@@ -24,17 +24,35 @@ def reg(name):
 
 # ---- shared inputs -------------------------------------------------------------------------------
 
-def _ticket_features(spark, sf, test_frac=0.25, seed=42):
-    """Rated tickets: age, factorized gender / priority, duration; label = rating code; split."""
-    r = _rated(spark, sf).select("ticket_id", "customer_age", "customer_gender", "ticket_priority",
-                                 "resolution_duration", RATING)
+# The seven text columns whose embeddings stand beside the numeric features.
+TEXT_COLUMNS = ["product_purchased", "ticket_type", "ticket_subject", "ticket_description", "ticket_status", "resolution", "ticket_channel"]
+TEXT_DIM = 8
+N_FEATURES = 4 + len(TEXT_COLUMNS) * TEXT_DIM
+
+
+def _ticket_rows(spark, sf, test_frac=0.25, seed=42):
+    """Rated tickets with ``raw``: age, factorized gender / priority, duration, then the embeddings of the seven text
+    columns; label = rating code; part = stratified split."""
+    r = _rated(spark, sf)
+    e = text.embed_columns(r, "ticket_id", TEXT_COLUMNS, dim=TEXT_DIM, out="_e")
+    r = r.select("ticket_id", "customer_age", "customer_gender", "ticket_priority", "resolution_duration", RATING)
     r = encode.factorize(r, "customer_gender", "ticket_id", "gender_code")
     r = encode.factorize(r, "ticket_priority", "ticket_id", "priority_code")
     fitted = encode.fit_label_encoder(r, RATING, "label")
     r = encode.apply_codes(r, fitted, RATING, "label").withColumn("label", F.col("label").cast("double"))
     r = r.na.fill(0.0, subset=["resolution_duration"])
     r = sampling.stratified_split(r, "label", "ticket_id", test_frac, seed)
-    return models.as_vector(r, ["customer_age", "gender_code", "priority_code", "resolution_duration"])
+    numeric = F.array(*[F.col(c).cast("double") for c in ("customer_age", "gender_code", "priority_code", "resolution_duration")])
+    return r.join(e, "ticket_id").withColumn("raw", F.concat(numeric, "_e")).drop("_e")
+
+
+def _ticket_features(spark, sf, test_frac=0.25, seed=42):
+    """``_ticket_rows`` with ``features``: the raw columns standardised by the training rows."""
+    from pyspark.ml.feature import StandardScaler
+
+    d = models.as_vector(_ticket_rows(spark, sf, test_frac, seed), "raw", out="raw_vector").checkpoint()
+    scaler = StandardScaler(withMean=True, withStd=True, inputCol="raw_vector", outputCol="features").fit(d.where(F.col("part") == "train"))
+    return scaler.transform(d).drop("raw_vector")
 
 
 def _vec_split(spark, sf):
@@ -85,7 +103,7 @@ def model_winner(spark, sf):
     k = int(d.agg(F.max("label")).first()[0]) + 1
     fitted = [("random_forest", models.random_forest(tr, "label", 100, 42)),
               ("gradient_boosting", models.boosted_ovr(tr, "label", 100)),
-              ("neural_network", models.mlp(tr, "label", [4, 128, 64, k], seed=42))]
+              ("neural_network", models.mlp(tr, "label", [N_FEATURES, 128, 64, k], seed=42))]
     rows = [(i, name, float(metrics.accuracy(m.transform(te), "label", "prediction").first()[0]))
             for i, (name, m) in enumerate(fitted)]
     table = spark.createDataFrame(rows, "model_order int, model string, accuracy double")
@@ -118,8 +136,7 @@ def pca2(spark, sf):
 def pca_with_label(spark, sf):
     """PCA of the ticket text embeddings, label attached by key (left join, E2)."""
     t = clean.drop_null(fixtures.tickets(spark, sf), [RATING])
-    e = text.embed_columns(t, "ticket_id", ["product_purchased", "ticket_type", "ticket_subject", "ticket_description",
-                                            "ticket_status", "resolution", "ticket_channel"], dim=8)
+    e = text.embed_columns(t, "ticket_id", TEXT_COLUMNS, dim=TEXT_DIM)
     p = vectors.pca2(e, "ticket_id", "embedding", 2)
     return p.join(t.select("ticket_id", RATING), "ticket_id", "left")
 
