@@ -142,11 +142,14 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     rows = with_batches(docs.filter(F.col(key).isNotNull()).select(key, text).join(F.broadcast(picked), F.col(key) == F.col("_k"))
                         .select(text, "y", "fold"))
     got = (rows.mapInArrow(_count, "kind int, fold int, bin int, toxic bigint, clean bigint")
-           .groupBy("kind", "fold", "bin").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow())
+           .groupBy("kind", "fold", "bin").agg(F.sum("toxic").cast("float").alias("toxic"), F.sum("clean").cast("float").alias("clean"))).checkpoint()
     counts = np.zeros((2, FOLDS, 2, 1 << BITS), np.float32)
-    at = tuple(got.column(c).to_numpy() for c in ("kind", "fold", "bin"))
-    counts[at[0], at[1], 1, at[2]] = got.column("toxic").to_numpy()
-    counts[at[0], at[1], 0, at[2]] = got.column("clean").to_numpy()
+    for kind in range(2):  # a fold's bins at a time: at most 2 ** BITS rows
+        for fold in range(FOLDS):
+            part = got.filter((F.col("kind") == kind) & (F.col("fold") == fold)).select("bin", "toxic", "clean").toArrow()
+            at = part.column("bin").to_numpy()
+            counts[kind, fold, 1, at] = part.column("toxic").to_numpy()
+            counts[kind, fold, 0, at] = part.column("clean").to_numpy()
 
     def weights(c) -> Model:
         w, s = ((log_odds(c[kind, 1], c[kind, 0]) - DRIFT).astype(np.float32) for kind in range(2))
