@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from tidemark.operators import clean, encode, metrics, models, sampling, select, series, text, vectors
 from tidemark.plans.tickets_q import RATING, _rated
 from tidemark.sources import fixtures, io
+from tidemark.sources.fixture_sql import with_views
 
 Q = {}
 
 
-def reg(name):
+def reg(name, sql=None):
     def deco(fn):
-        Q[name] = (fn, None)
+        Q[name] = (fn, sql)
         return fn
     return deco
 
@@ -173,7 +174,13 @@ def mlp_grid(spark, sf):
     return select.leaderboard(table, "val_mcc", "config_id")
 
 
-@reg("smote_resample")
+@reg("smote_resample", with_views("""
+WITH tr AS (SELECT vec_id, gold FROM vectors WHERE split = 'train'),
+c AS (SELECT gold, count(*) AS n FROM tr GROUP BY gold),
+m AS (SELECT gold, (SELECT max(n) FROM c) - n AS more, coalesce(sum((SELECT max(n) FROM c) - n) OVER (ORDER BY n, gold
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM c WHERE n > 1)
+SELECT CAST(vec_id AS BIGINT) AS vec_id, gold, false AS synthetic FROM tr
+UNION ALL SELECT CAST(-(first + j + 1) AS BIGINT), gold, true FROM (SELECT *, unnest(range(CAST(more AS BIGINT))) AS j FROM m)""", "vectors"))
 def smote_resample(spark, sf):
     """Training vectors plus SMOTE rows (minority grown to the majority size)."""
     tr = fixtures.vectors(spark, sf).where(F.col("split") == "train")

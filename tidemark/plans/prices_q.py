@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import encode, metrics, profile, series, setops
+from tidemark.operators import encode, metrics, profile, sampling, series, setops
 from tidemark.sources import fixtures, io
 from tidemark.sources.fixture_sql import with_views
 
@@ -90,6 +90,14 @@ def chrono_split(spark, sf):
     return _split(spark, sf).select("ticker", "date", "pos", "segment")
 
 
+@reg("tail_validation", P("""
+SELECT ticker, date, CASE WHEN row_number() OVER (PARTITION BY ticker ORDER BY date)
+       <= floor(count(*) OVER (PARTITION BY ticker) * CAST(0.75 AS DOUBLE)) THEN 'train' ELSE 'val' END AS role FROM prices"""))
+def tail_validation(spark, sf):
+    """The last quarter of every series validates."""
+    return sampling.tail_validation(_p(spark, sf).select("ticker", "date"), "date", 0.25, "ticker").select("ticker", "date", "role")
+
+
 @reg("chrono_split3", P(CS3 + "SELECT ticker, date, pos, segment FROM sp3"))
 def chrono_split3(spark, sf):
     return _split3(spark, sf).select("ticker", "date", "pos", "segment")

@@ -69,6 +69,17 @@ def mcc(spark, sf):
     return metrics.mcc(pr, "y", "p")
 
 
+@reg("embed_text_float", N(f"""
+WITH ex AS (SELECT doc_id, unnest({TOKENS_SQL}) AS tok FROM news),
+c AS (SELECT doc_id, {BUCKET_SQL.format(dim=32)} AS bucket, count(*) AS c FROM ex GROUP BY 1, 2)
+SELECT doc_id, bucket, CAST(c / sqrt(sum(c * c) OVER (PARTITION BY doc_id)) AS FLOAT) AS value FROM c"""))
+def embed_text_float(spark, sf):
+    """Embeddings as single-precision vectors."""
+    e = text.embed_text(_n(spark, sf), "doc_id", "text", dim=32, dtype="float")
+    return (e.select("doc_id", F.posexplode("embedding").alias("bucket", "value")).where(F.col("value") != 0)
+            .select("doc_id", F.col("bucket").cast("int").alias("bucket"), "value"))
+
+
 @reg("embed_text", N(f"""
 WITH ex AS (SELECT doc_id, unnest({TOKENS_SQL}) AS tok FROM news),
 c AS (SELECT doc_id, {BUCKET_SQL.format(dim=64)} AS bucket, count(*) AS c FROM ex GROUP BY 1, 2)
