@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import clean, encode, metrics, models, sampling, select, series, text, vectors
+from tidemark.plans.prices_q import CS, SCALED, P
 from tidemark.plans.tickets_q import RATING, _rated
 from tidemark.sources import fixtures, io
 from tidemark.sources.fixture_sql import with_views
@@ -285,6 +286,29 @@ def forecast_test(spark, sf, k: int = 15):
     return adj.where(F.col("segment") == "test").select("ticker", "date", F.col("close").alias("actual"), "pred", "adjusted")
 
 
+@reg("trained_forecast_metrics", P(CS + SCALED + """
+, w AS (SELECT *, lag(scaled) OVER (PARTITION BY ticker ORDER BY pos) AS x FROM sc),
+m AS (SELECT regr_slope(scaled, x) AS b, regr_intercept(scaled, x) AS a FROM w WHERE segment = 'train' AND x IS NOT NULL),
+p AS (SELECT w.*, (a + b * x) * (hi - lo) + lo AS pred FROM w, m WHERE x IS NOT NULL),
+bias AS (SELECT ticker, avg(close - pred) AS bias FROM p WHERE segment = 'train' GROUP BY ticker),
+q AS (SELECT segment, 'raw' AS stage, close, pred FROM p
+      UNION ALL SELECT segment, 'adjusted', close, pred + bias FROM p JOIN bias USING (ticker)),
+g AS (SELECT segment, stage, avg(close) AS mean FROM q GROUP BY ALL)
+SELECT segment, stage, count(*) AS n, round(avg((close - pred) * (close - pred)), 1) AS mse,
+       round(1 - sum((close - pred) * (close - pred)) / sum((close - mean) * (close - mean)), 6) AS r2
+FROM q JOIN g USING (segment, stage) GROUP BY ALL"""))
+def trained_forecast_metrics(spark, sf):
+    """MSE and R2 of the fitted one-lag forecast, per segment, before and after the bias correction (K6, K7, F8)."""
+    w = series.lag_windows(_scaled_series(spark, sf).withColumn("y", F.col("scaled")), "ticker", "pos", "scaled", 1)
+    m = models.fit_lag_regressor(w.where(F.col("segment") == "train"), "x", "y")
+    pred = models.forecast(m, w, "x", "pred_scaled").withColumn("pred", encode.inverse_minmax("pred_scaled"))
+    both = series.bias_correct(pred, "ticker", "close", "pred", "segment", "train")
+    long = (both.select("segment", F.lit("raw").alias("stage"), "close", "pred")
+            .unionByName(both.select("segment", F.lit("adjusted").alias("stage"), "close", F.col("adjusted").alias("pred"))))
+    out = metrics.regression_metrics(long, "close", "pred", ["segment", "stage"], digits=9)
+    return out.withColumn("mse", F.round("mse", 1)).withColumn("r2", F.round("r2", 6))
+
+
 @reg("lag_sweep")
 def lag_sweep(spark, sf):
     """One regressor per look-back k on the fit rows; fit and validation MSE on scaled
