@@ -72,3 +72,13 @@ def test_rating_features_hold_the_texts_and_are_scaled_on_train(spark):
     spread = train.std(axis=0, ddof=1)
     assert np.all((np.abs(spread - 1) < 1e-6) | (spread < 1e-9))
     assert all(any(r.raw[4 + 8 * c:12 + 8 * c]) for r in rows for c in (0, 1, 2))
+
+
+def test_text_models_report_and_importances(spark):
+    report = {r.label: r for r in Q["ticket_text_classify"](spark, SF_SMALL).collect()}
+    classes = [r for k, r in report.items() if k not in ("accuracy", "macro avg", "weighted avg")]
+    assert report["accuracy"].support == sum(r.support for r in classes) > 0 and 0 <= report["weighted avg"].f1 <= 1
+    table = {r.model: r for r in Q["model_comparison"](spark, SF_SMALL).collect()}
+    assert set(table) == {"untuned", "tuned", "majority_baseline"} and all(r.loss > 0 for r in table.values())
+    top = Q["booster_importances"](spark, SF_SMALL).collect()
+    assert len(top) == 10 and [r.importance for r in top] == sorted((r.importance for r in top), reverse=True) and sum(r.importance for r in top) <= 1 + 1e-9
