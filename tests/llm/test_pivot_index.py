@@ -63,3 +63,20 @@ def test_recall_near_the_threshold(spark):
     want = int((np.triu(u @ u.T, 1) >= 0.98).sum())
     got = sum(r.n_links for r in P.near_duplicates(frame(spark, rows, "vec_id bigint, embedding array<float>, label int"), "vec_id", "embedding", "label").collect()) // 2
     assert want > 100 and 0.9 * want <= got <= want
+
+
+@pytest.mark.parametrize("kind", ["third", "whole", "axes"])
+def test_recall_in_noisy_families(spark, kind):
+    """A third of the rows, or all, in one family of unequal near copies; families about axes, alike far from all others."""
+    rng = np.random.default_rng(6)
+    family = lambda base, n: base / np.linalg.norm(base) + rng.normal(size=(n, 64)) * 0.14 / 8
+    if kind == "axes":
+        x = np.concatenate([family(np.eye(64)[k], 20) for k in range(40)])
+    else:
+        x = np.concatenate((family(rng.normal(size=64), 500), rng.normal(size=(1000 if kind == "third" else 0, 64))))
+    rows = [(i, v.astype(np.float32).tolist(), 0) for i, v in enumerate(x)]
+    u = np.array([r[1] for r in rows])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = int((np.triu(u @ u.T, 1) >= 0.98).sum())
+    got = sum(r.n_links for r in P.near_duplicates(frame(spark, rows, "vec_id bigint, embedding array<float>, label int"), "vec_id", "embedding", "label").collect()) // 2
+    assert want > 1000 and 0.9 * want <= got <= want

@@ -6,7 +6,11 @@ candidates when they share at least ``SHARED`` of their nearest pivots, that is
 combination of ``SHARED`` pivots. A pair meeting in several lists is handled only in the list of its lowest shared
 pivots. Candidates are verified by the exact cosine.
 
-* Pivots are a bounded sample (``PIVOTS`` distinct vectors per length, by hash); all vectors are indexed.
+* Pivots are picked from a bounded sample (``SAMPLE`` distinct vectors per length, by hash) so that no two have a
+  cosine of ``APART`` or more: a family of near copies holds one pivot, however large it is. Of few pivots any two
+  vectors share ``SHARED``, so a table that is one family is compared whole. All vectors are indexed.
+* A vector whose nearest pivots do not tell it apart is *unsure*: of ``PROBES`` points at the threshold from it,
+  fewer than ``SURE`` would meet it. It is in no list of pivots and is compared with all vectors of its label.
 * Equal vectors of one label are collapsed first, so a vector repeated in a third of all rows is one entry.
 * Long lists are cut into blocks of ``BLOCK`` vectors and worked on block pair by block pair. A task sends link
   counts and a spanning forest of the links it found, never the pairs.
@@ -29,6 +33,10 @@ PIVOTS = 64  # a bit set of 64 bits holds a vector's pivots
 NEAREST = 6
 SHARED = 3
 BLOCK = 512
+SAMPLE = 1024
+APART = 0.7
+PROBES = 16
+SURE = 0.9
 THRESHOLD = 0.98
 
 
@@ -49,13 +57,22 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def pick_pivots(reps: DataFrame, pivots: int = PIVOTS) -> dict[int, np.ndarray]:
-    """Up to ``pivots`` vectors per vector length, by hash."""
-    rows = lowest_per_group(reps, "dim", pivots, [F.xxhash64("vec"), F.col("id")]).select("dim", "vec").collect()
-    out: dict[int, list] = {}
-    for r in rows:
-        out.setdefault(r.dim, []).append(r.vec)
-    return {d: _unit(np.array(v, np.float64)) for d, v in out.items()}
+def pick_pivots(reps: DataFrame, pivots: int = PIVOTS, sample: int = SAMPLE, apart: float = APART) -> dict[int, np.ndarray]:
+    """Up to ``pivots`` vectors per vector length, by hash, with cosines under ``apart`` to each other."""
+    rows = lowest_per_group(reps, "dim", max(pivots, sample), [F.xxhash64("vec"), F.col("id")]).select("dim", "_n", "vec").collect()
+    seen: dict[int, list] = {}
+    for r in sorted(rows, key=lambda r: (r.dim, r._n)):
+        seen.setdefault(r.dim, []).append(r.vec)
+    out = {}
+    for d, v in seen.items():
+        x = _unit(np.array(v, np.float64))
+        free, kept = np.ones(len(x), bool), []
+        while free.any() and len(kept) < pivots:
+            kept.append(int(free.argmax()))
+            free &= x @ x[kept[-1]] < apart
+            free[kept[-1]] = False
+        out[d] = x[kept]
+    return out
 
 
 def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray, nearest: int = NEAREST) -> np.ndarray:
@@ -63,8 +80,35 @@ def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray, nearest: int = NEARE
     return np.argsort(-(vectors @ pivots.T), axis=1, kind="stable")[:, :nearest]
 
 
-def index_keys(reps: DataFrame, pivots: dict[int, np.ndarray], nearest: int = NEAREST, shared: int = SHARED) -> DataFrame:
-    """One row per vector and list: (id, label, dim, vec, copies, mask: the pivots as bits, list: lowest bits of it)."""
+def unsure(x: np.ndarray, pivots: np.ndarray, near: np.ndarray, threshold: float, shared: int = SHARED,
+           probes: int = PROBES, sure: float = SURE) -> np.ndarray:
+    """Which unit vectors share their nearest pivots with too few of the points at cosine ``threshold`` from them."""
+    out = np.zeros(len(x), bool)
+    nearest = near.shape[1]
+    if 2 * nearest - len(pivots) >= min(shared, nearest):  # any two vectors share that many
+        return out
+    g = np.random.default_rng(0).normal(size=(probes, x.shape[1]))
+    toward, length = g @ pivots.T, (g * g).sum(axis=1)
+    away = np.sqrt(max(0.0, 1 - threshold * threshold))
+    for a in range(0, len(x), 2048):
+        part = x[a:a + 2048]
+        cos, along = part @ pivots.T, part @ g.T
+        across = np.sqrt(np.maximum(length - along * along, 1e-12))
+        y = threshold * cos[:, None, :] + (away / across)[:, :, None] * (toward - along[:, :, None] * cos[:, None, :])
+        top = np.argpartition(-y, nearest - 1, axis=2)[:, :, :nearest]
+        own = np.zeros(cos.shape, bool)
+        np.put_along_axis(own, near[a:a + 2048], True, axis=1)
+        met = np.take_along_axis(own[:, None, :], top, axis=2).sum(axis=2) >= shared
+        out[a:a + 2048] = met.mean(axis=1) < sure
+    return out
+
+
+def index_keys(reps: DataFrame, pivots: dict[int, np.ndarray], nearest: int = NEAREST, shared: int = SHARED,
+               threshold: float = THRESHOLD) -> DataFrame:
+    """One row per vector and list: (id, label, dim, vec, copies, mask: the pivots as bits, list: lowest bits of it, hub).
+
+    List 0 holds all vectors; its hubs, the unsure ones, are compared with all of it. Other lists have hubs only.
+    """
     points = reps.sparkSession.sparkContext.broadcast(pivots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,17 +118,21 @@ def index_keys(reps: DataFrame, pivots: dict[int, np.ndarray], nearest: int = NE
                 part = batch.filter(pa.array(dims == d))
                 x = _unit(_matrix(part.column(3)))
                 p = points.value[int(d)]
-                near = np.sort(nearest_pivots(x, p, nearest), axis=1).astype(np.uint64)
+                near = nearest_pivots(x, p, nearest)
+                lost = unsure(x, p, near, threshold, shared)
+                near = np.sort(near, axis=1).astype(np.uint64)
                 mask = np.bitwise_or.reduce(np.uint64(1) << near, axis=1)
                 combos = list(combinations(range(near.shape[1]), min(shared, near.shape[1])))
-                lists = np.stack([np.bitwise_or.reduce(np.uint64(1) << near[:, list(c)], axis=1) for c in combos], axis=1)
-                at = np.repeat(np.arange(len(x)), len(combos))
+                lists = np.stack([np.bitwise_or.reduce(np.uint64(1) << near[~lost][:, list(c)], axis=1) for c in combos], axis=1)
+                at = np.concatenate((np.repeat(np.flatnonzero(~lost), len(combos)), np.arange(len(x))))
+                lists = np.concatenate((lists.ravel(), np.zeros(len(x), np.uint64)))
+                hub = np.concatenate((np.ones(len(at) - len(x), bool), lost))
                 rows = part.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(mask[at].view(np.int64)), pa.array(lists.ravel().view(np.int64))],
-                                                 names=[*part.schema.names, "mask", "list"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(mask[at].view(np.int64)), pa.array(lists.view(np.int64)), pa.array(hub)],
+                                                 names=[*part.schema.names, "mask", "list", "hub"])
 
     return reps.select("id", "label", "dim", "vec", "copies").mapInArrow(
-        run, "id bigint, label string, dim int, vec array<float>, copies bigint, mask bigint, list bigint")
+        run, "id bigint, label string, dim int, vec array<float>, copies bigint, mask bigint, list bigint, hub boolean")
 
 
 def _lowest(x: np.ndarray, n: int) -> np.ndarray:
@@ -100,11 +148,14 @@ def _lowest(x: np.ndarray, n: int) -> np.ndarray:
 def find_links(entries: DataFrame, threshold: float, shared: int = SHARED, block: int = BLOCK) -> DataFrame:
     """(id, links, root): per list and block pair, the copies linked to a vector and a smaller connected id."""
     where = ["label", "dim", "list"]
-    sizes = entries.groupBy(*where).agg(F.count("*").alias("_m")).filter("_m > 1")
-    sizes = sizes.select(*[F.col(c).alias(f"_{c}") for c in where], F.ceil(F.col("_m") / block).cast("int").alias("_blocks"))
+    sizes = entries.groupBy(*where).agg(F.count_if("hub").alias("_h"), F.count("*").alias("_m")).filter("_h > 0 and _m > 1")
+    sizes = sizes.select(*[F.col(c).alias(f"_{c}") for c in where], F.ceil(F.col("_h") / block).cast("int").alias("_hubs"),
+                         F.ceil((F.col("_m") - F.col("_h")) / block).cast("int").alias("_others"))
     on = [F.col(c) == F.col(f"_{c}") for c in where]
-    rows = entries.join(sizes, on).withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
-    rows = rows.withColumn("_o", F.explode(F.expr("sequence(0, _blocks - 1)")))
+    # the hubs' blocks come first and meet every block, the others' blocks meet those of the hubs
+    place = F.when(F.col("hub"), F.expr("pmod(xxhash64(id), _hubs)")).otherwise(F.expr("_hubs + pmod(xxhash64(id), _others)"))
+    rows = entries.join(sizes, on).withColumn("_b", place.cast("int"))
+    rows = rows.withColumn("_o", F.explode(F.expr("sequence(0, IF(hub, _hubs + _others, _hubs) - 1)")))
     rows = rows.withColumn("_pair", F.struct(F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j")))
     group = F.xxhash64("label", "dim", "list", "_pair")
     rows = rows.select(group.alias("g"), "label", F.col("_pair.i").alias("i"), F.col("_pair.j").alias("j"), F.col("_b").alias("b"),
@@ -157,7 +208,7 @@ def near_duplicates(df: DataFrame, key: str, vec: str, label: str, threshold: fl
     live = rows.filter("ok")
     reps = (live.groupBy("label", "vec").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
             .withColumn("dim", F.size("vec"))).checkpoint()
-    found = find_links(index_keys(reps, pick_pivots(reps, pivots), nearest, shared), threshold, shared, block).checkpoint()
+    found = find_links(index_keys(reps, pick_pivots(reps, pivots), nearest, shared, threshold), threshold, shared, block).checkpoint()
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     table = (reps.join(links, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")
