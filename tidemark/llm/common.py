@@ -144,19 +144,19 @@ def texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         a = b
 
 
-def shingles3(h: np.ndarray, woff: np.ndarray) -> Iterator[np.ndarray]:
-    """Per text, the sorted distinct hashes of its 3-word shingles; under three words the whole sequence is one."""
-    s = mix(h[:-2] * A1 + h[1:-1] * A2 + h[2:] * A3) if len(h) >= 3 else np.empty(0, np.uint64)
+def shingles(h: np.ndarray, woff: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """Per text, the sorted distinct hashes of its ``width``-word shingles; with fewer words the whole sequence is one."""
+    by = [A1, A2, A3, *(mix(np.arange(4, width + 1, dtype=np.uint64) * A1) | np.uint64(1))][:width]
+    many = len(h) - width + 1
+    s = mix(sum(h[k:k + many] * x for k, x in enumerate(by))) if many > 0 else np.empty(0, np.uint64)
     for a, b in zip(woff[:-1], woff[1:]):
         n = b - a
-        if n >= 3:
-            x = s[a:b - 2].copy()
+        if n >= width:
+            x = s[a:b - width + 1].copy()
             x.sort()
-            yield x[np.concatenate(([True], x[1:] != x[:-1]))] if n > 3 else x
-        elif n == 2:
-            yield mix(h[a:a + 1] * A1 + h[a + 1:b] * A2 + np.uint64(2))
-        elif n == 1:
-            yield mix(h[a:b] * A1 + np.uint64(1))
+            yield x[np.concatenate(([True], x[1:] != x[:-1]))] if n > width else x
+        elif n:
+            yield mix(sum(h[a + k:a + k + 1] * by[k] for k in range(n)) + np.uint64(n))
         else:
             yield np.empty(0, np.uint64)
 

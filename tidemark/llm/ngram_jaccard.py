@@ -1,7 +1,8 @@
 """N-gram Jaccard join through a token-group matrix.
 
-A document is its set of distinct 3-word shingles; two link when 100 * |A & B| >= 90 * |A | B|. The result is the
-connected components of the links; every link between different sets counts, none is sampled or capped.
+A document is its set of distinct shingles of ``width`` words; two link when 100 * |A & B| >= percent * |A | B| (3 and
+90 unless given; 90 is written below). The result is the connected components of the links; every link between different sets
+counts, none is sampled or capped.
 
 1. *Equal sets* collapse by a 128-bit digest: a text copied to a third of all rows is one set from then on.
 2. *Order.* A count sketch (a fixed number of counters, summed over all documents) orders shingles from rare to
@@ -13,7 +14,7 @@ connected components of the links; every link between different sets counts, non
    members. A query that meets fewer than h of a group's columns has an overlap below its bound with every member,
    so only (query, group) pairs with h shared columns are routed on; all other sets are finished.
 5. *Sift.* Where a query and a group meet, first an eighth of the columns (by hash) is compared: sets whose
-   differences there alone exceed (n + m) / 19 cannot link. Most sets that share a passage only end here.
+   differences there alone exceed (n + m) * 10 / 190 cannot link. Most sets that share a passage only end here.
 6. *Bound and open.* The full sets of the rest are compared with the union of the others' tokens: a query whose
    overlap with that union is under ceil(0.9 n) links with none of them. What remains is opened: all overlaps by
    products of presence matrices, exact comparison, and a spanning forest of the links leaves the task.
@@ -30,9 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import A1, A2, forest, mix, shingles3, small, split_words, texts, whole_groups, with_batches
+from tidemark.llm.common import A1, A2, forest, mix, shingles, small, split_words, texts, whole_groups, with_batches
 from tidemark.llm.components import connected_components
 
+WIDTH = 3
 PERCENT = 90
 SKETCH_BITS = 20
 SKETCH_PARTS = 16
@@ -43,39 +45,44 @@ EXTRA = 32  # one more shared shingle is asked for, and one more put in the pref
 CELLS = 4_000_000  # entries of a presence matrix held at a time
 
 
-def need(n):
+def need(n, percent: int = PERCENT):
     """Least overlap of a set of n shingles with a set it links with."""
-    return -(-PERCENT * n // 100)
+    return -(-percent * n // 100)
 
 
-def lead(n):
+def lead(n, percent: int = PERCENT):
     """Length of the prefix of a set of n shingles."""
-    return n - need(n) + 1 + n // EXTRA
+    return n - need(n, percent) + 1 + n // EXTRA
 
 
-def hits(n):
+def hits(n, percent: int = PERCENT):
     """Least number of prefix shingles that a set of n shares with any set it links with (of need(n) at least)."""
-    return 1 + need(n) // EXTRA
+    return 1 + need(n, percent) // EXTRA
 
 
-def _sets(column: pa.Array) -> Iterator[np.ndarray]:
+def least_size(percent: int = PERCENT) -> int:
+    """Size from which a set links with a larger one; a smaller set links with equal sets only."""
+    return -(-percent // (100 - percent))
+
+
+def _sets(column: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
     for _, _, buf, offs in texts(column):
         h, _, woff = split_words(buf, offs)
-        yield from shingles3(h, woff)
+        yield from shingles(h, woff, width)
 
 
 def _digest(s: np.ndarray) -> tuple[int, int]:
     return int(mix(s * A1).sum(dtype=np.uint64).view(np.int64)), int(mix(s * A2 + np.uint64(1)).sum(dtype=np.uint64).view(np.int64))
 
 
-def count_sketch(df: DataFrame, text: str) -> np.ndarray:
+def count_sketch(df: DataFrame, text: str, width: int = WIDTH) -> np.ndarray:
     """How many documents hold a shingle, summed per hash slot: 2 ** SKETCH_BITS counters, whatever the input."""
     size = (1 << SKETCH_BITS) // SKETCH_PARTS
 
     def count(batches):
         total = np.zeros(1 << SKETCH_BITS, np.int32)
         for batch in batches:
-            for s in _sets(batch.column(0)):
+            for s in _sets(batch.column(0), width):
                 np.add.at(total, s >> np.uint64(64 - SKETCH_BITS), 1)
         parts = total.reshape(SKETCH_PARTS, size)
         yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "counts"])
@@ -102,16 +109,17 @@ def ranked(s: np.ndarray, sketch: np.ndarray) -> np.ndarray:
 _EMPTY = np.empty(0, np.int64)
 
 
-def describe(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, th, n, d1, d2, mins) of every row: text hash, set size, digest and min-hashes. Sets under 9 shingles get
-    no min-hashes: with fewer, nine of ten in common means all."""
+def describe(df: DataFrame, key: str, text: str, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(id, th, n, d1, d2, mins) of every row: text hash, set size, digest and min-hashes. Sets under ``least_size``
+    get no min-hashes: with fewer than 9 shingles, nine of ten in common means all."""
+    floor = least_size(percent)
 
     def run(batches):
         seeds = mix(np.arange(1, MINHASHES + 1, dtype=np.uint64) * A2)
         for batch in batches:
-            sets = list(_sets(batch.column(2)))
+            sets = list(_sets(batch.column(2), width))
             digests = [_digest(s) for s in sets]
-            mins = [mix(np.array([mix(s ^ x).min() for x in seeds], np.uint64) ^ seeds).view(np.int64) if len(s) >= 9 else _EMPTY for s in sets]
+            mins = [mix(np.array([mix(s ^ x).min() for x in seeds], np.uint64) ^ seeds).view(np.int64) if len(s) >= floor else _EMPTY for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()),
                  pa.array([d[1] for d in digests], pa.int64()), pa.array(mins, pa.list_(pa.int64()))], names=["id", "th", "n", "d1", "d2", "mins"])
@@ -125,7 +133,8 @@ def _sample(s: np.ndarray) -> np.ndarray:
     return np.sort((s[(s & np.uint64(7)) == 0] >> np.uint64(3)).astype(np.uint32)).view(np.int32)
 
 
-def set_arrays(df: DataFrame, key: str, text: str, wanted: DataFrame, rows: int, sketch, full: bool) -> DataFrame:
+def set_arrays(df: DataFrame, key: str, text: str, wanted: DataFrame, rows: int, sketch, full: bool,
+               width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Arrays of the sets of ``wanted`` (rid, cid, ...): (cid, tokens from rare to frequent) if ``full``, else
     (cid, n, prefix, sample). The texts of their documents are read again, which is cheaper than to keep all sets."""
     ids = wanted.select(F.col("rid").alias("_r"), F.col("cid").alias("_c")).distinct()
@@ -133,11 +142,11 @@ def set_arrays(df: DataFrame, key: str, text: str, wanted: DataFrame, rows: int,
 
     def run(batches):
         for batch in batches:
-            sets = list(_sets(batch.column(1)))
+            sets = list(_sets(batch.column(1), width))
             digests = [_digest(s) for s in sets]
             order = [ranked(s, sketch.value).view(np.int64) for s in sets]
             arrays = [pa.array(order, pa.list_(pa.int64()))] if full else [
-                pa.array([o[:lead(len(o))] for o in order], pa.list_(pa.int64())), pa.array([_sample(s) for s in sets], pa.list_(pa.int32()))]
+                pa.array([o[:lead(len(o), percent)] for o in order], pa.list_(pa.int64())), pa.array([_sample(s) for s in sets], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()),
                  pa.array([d[1] for d in digests], pa.int64()), *arrays], names=["_c", "n", "d1", "d2", *(["tokens"] if full else ["prefix", "sample"])])
@@ -162,7 +171,7 @@ def assign_groups(sets: DataFrame) -> DataFrame:
     return sets.join(best, "cid", "left").select("cid", "rid", g.alias("g"))
 
 
-def route(sets: DataFrame) -> DataFrame:
+def route(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(cid, i, j): sets that meet in the pair of groups i <= j, from the token-group matrix of (cid, g, n, prefix)."""
     n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     places = sets.select("cid", "g", "n", F.explode("prefix").alias("t")).repartition(n, "t", "g")
@@ -183,7 +192,7 @@ def route(sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["t", "g", "other"])
 
     met = matrix.repartition(n, "t").sortWithinPartitions("t", "g").select("t", "g", "c").mapInArrow(meet, "t bigint, g bigint, other bigint")
-    least = 1 + F.floor(-F.floor(-PERCENT * F.col("n") / 100) / EXTRA)
+    least = 1 + F.floor(-F.floor(-percent * F.col("n") / 100) / EXTRA)
     shared = places.join(met, ["t", "g"]).groupBy("cid", "g", "other").agg(F.count("*").alias("c"), F.max("n").alias("n"))
     return shared.filter(F.col("c") >= least).select("cid", F.least("g", "other").alias("i"), F.greatest("g", "other").alias("j")).distinct()
 
@@ -296,8 +305,9 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def sift(rows: DataFrame) -> DataFrame:
+def sift(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(cid, i, j) of the routed sets that an eighth of the columns does not part from all others they meet."""
+    differ, whole = 100 - percent, 100 + percent  # linked sets differ in at most differ / whole of n + m shingles
 
     def run(batches):
         for batch in whole_groups(batches):
@@ -308,15 +318,15 @@ def sift(rows: DataFrame) -> DataFrame:
                 for part in _groups_of(label):
                     size, length = n[at[part]].astype(np.float64), np.array([len(samples[k]) for k in part], np.float64)
                     apart = length[:, None] + length[None, :] - 2 * _overlaps([samples[k] for k in part])
-                    may = 19 * apart <= size[:, None] + size[None, :]
+                    may = whole * apart <= differ * (size[:, None] + size[None, :])
                     if side is not None:
                         may &= side[part][:, None] != side[part][None, :]
                     np.fill_diagonal(may, False)
                     alive.append(at[part[may.any(axis=1)]])
                 # sets with few columns in the sample may link with sets that share none of them
                 size, length = n[at], np.array([len(x) for x in samples])
-                thin = np.flatnonzero(19 * length <= size)
-                may = 19 * (length[thin][:, None] + length[None, :]) <= size[thin][:, None] + size[None, :]
+                thin = np.flatnonzero(whole * length <= differ * size)
+                may = whole * (length[thin][:, None] + length[None, :]) <= differ * (size[thin][:, None] + size[None, :])
                 if side is not None:
                     may &= side[thin][:, None] != side[None, :]
                 may[np.arange(len(thin)), thin] = False
@@ -327,7 +337,7 @@ def sift(rows: DataFrame) -> DataFrame:
     return _together(rows, "n", "sample").mapInArrow(run, "cid bigint, i bigint, j bigint")
 
 
-def open_group(sets: list[np.ndarray], side: np.ndarray | None) -> np.ndarray | None:
+def open_group(sets: list[np.ndarray], side: np.ndarray | None, percent: int = PERCENT) -> np.ndarray | None:
     """Link matrix of the sets; with ``side``, only between different sides. None: no link."""
     n = np.array([len(s) for s in sets])
     doc = np.repeat(np.arange(len(sets)), n)
@@ -338,12 +348,12 @@ def open_group(sets: list[np.ndarray], side: np.ndarray | None) -> np.ndarray |
         right = np.bincount(column, weights=side[doc])[column]
         others = np.where(side[doc], held[column] - right, right)
     bound = np.bincount(doc, weights=others > 0, minlength=len(sets))
-    opened = np.flatnonzero(bound >= need(n))  # overlap with the union of the sets it could link with
+    opened = np.flatnonzero(bound >= need(n, percent))  # overlap with the union of the sets it could link with
     if len(opened) < 2:
         return None
     overlap = _overlaps([sets[k] for k in opened]).astype(np.float64)
     size = n[opened].astype(np.float64)
-    link = 100 * overlap >= PERCENT * (size[:, None] + size[None, :] - overlap)
+    link = 100 * overlap >= percent * (size[:, None] + size[None, :] - overlap)
     if side is not None:
         link &= side[opened][:, None] != side[opened][None, :]
     np.fill_diagonal(link, False)
@@ -354,7 +364,7 @@ def open_group(sets: list[np.ndarray], side: np.ndarray | None) -> np.ndarray |
     return out
 
 
-def find_links(rows: DataFrame) -> DataFrame:
+def find_links(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): spanning forests of the links of every pair of groups, from (i, j, cid, g, tokens)."""
 
     def run(batches):
@@ -363,10 +373,10 @@ def find_links(rows: DataFrame) -> DataFrame:
             a_out, b_out = [], []
             for at, side, sets in _meetings(batch):
                 sets = [s.view(np.uint64) for s in sets]
-                heads = [s[:len(s) - need(len(s)) + 1] for s in sets]
+                heads = [s[:len(s) - need(len(s), percent) + 1] for s in sets]
                 label = _clusters(np.concatenate(heads), np.repeat(np.arange(len(at)), [len(x) for x in heads]), len(at))
                 for part in _groups_of(label):
-                    link = open_group([sets[k] for k in part], None if side is None else side[part])
+                    link = open_group([sets[k] for k in part], None if side is None else side[part], percent)
                     if link is not None:
                         root = forest(link)
                         moved = root != np.arange(len(root))
@@ -377,29 +387,29 @@ def find_links(rows: DataFrame) -> DataFrame:
     return _together(rows, "tokens").mapInArrow(run, "a bigint, b bigint")
 
 
-def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component_id, text_hash) of every row: set size, smallest key reachable by links, xxhash64.
 
     Null, empty and blank texts have no shingles and link with nothing; so do rows with a null key, whose component
-    is null. Rows repeating a key are documents of their own with that key. Row count is kept.
+    is null. Rows repeating a key are documents of their own with that key. Row count is kept. ``percent`` is 1 to 99.
     """
     spark = df.sparkSession
-    described = describe(df, key, text).checkpoint()
+    described = describe(df, key, text, width, percent).checkpoint()
     classes = (described.filter("n > 0 and id is not null").groupBy("n", "d1", "d2")
                .agg(F.min("id").alias("rid"), F.first("mins").alias("mins")).withColumn("cid", F.xxhash64("n", "d1", "d2"))).checkpoint()
-    groups = assign_groups(classes.filter("n >= 9")).checkpoint()
+    groups = assign_groups(classes.filter(F.col("n") >= least_size(percent))).checkpoint()
     n_groups = groups.count()
-    sketch = spark.sparkContext.broadcast(count_sketch(df, text))
-    able = (set_arrays(df, key, text, groups, n_groups, sketch, False)
+    sketch = spark.sparkContext.broadcast(count_sketch(df, text, width))
+    able = (set_arrays(df, key, text, groups, n_groups, sketch, False, width, percent)
             .join(small(groups.select("cid", "g"), n_groups), "cid")).checkpoint()
-    routes = route(able).checkpoint()
+    routes = route(able, percent).checkpoint()
     met = able.select("cid", "g", "n", "sample").join(small(routes, routes.count()), "cid")
-    left = sift(met).checkpoint()
+    left = sift(met, percent).checkpoint()
     busy = left.select("cid").distinct().join(groups, "cid").checkpoint()
     n_busy = busy.count()
-    full = set_arrays(df, key, text, busy, n_busy, sketch, True).join(small(busy.select("cid", "g"), n_busy), "cid")
+    full = set_arrays(df, key, text, busy, n_busy, sketch, True, width, percent).join(small(busy.select("cid", "g"), n_busy), "cid")
     routed = full.join(small(left, left.count()), "cid")
-    parts = connected_components(find_links(routed)).checkpoint()
+    parts = connected_components(find_links(routed, percent)).checkpoint()
     named = (classes.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid")))
     smallest = named.groupBy("component").agg(F.min("rid").alias("component_id"))
     table = named.select("cid", "component").join(smallest, "component").select("cid", "component_id")
