@@ -45,3 +45,21 @@ def test_sketch_quantiles(spark):
     q25, q75 = 6.50, 11.50  # (400 + i) / 100 at a quarter and three quarters
     assert abs(r.word_length_high - (q75 + 6 * (q75 - q25))) < 0.02 * 7 * 12
     assert abs(r.symbols_high - 0.1) < 1e-9 and r.symbols_low is None
+
+
+def test_every_rule_fails_its_document(spark):
+    clean = " ".join(f"word{k} other{k * 7 % 89}" for k in range(40))
+    planted = {
+        "word_length": " ".join(f"w{k}" + "x" * 40 for k in range(60)),
+        "symbols": " ".join(f"longerword{k} #" for k in range(40)),
+        "dup_lines": "\n".join(f"line{k} " + " ".join(f"wor{k}x{j}" for j in range(8)) + ("\nyes" if k % 2 else "") for k in range(10)),
+        "repeats": f"{' '.join(clean.split()[:16])} {clean}",
+    }
+    # in a group of its own one document in ten repeats a fifth of its words; only the one beyond them fails
+    some = f"{' '.join(clean.split()[:9])} x {clean}"
+    rows = [(i, clean + f" tail{i}", "en", "s") for i in range(300)] + [(1000 + k, t, "en", "s") for k, t in enumerate(planted.values())]
+    rows += [(2000 + i, some if i % 10 == 0 else clean, "en", "t") for i in range(300)] + [(3000, planted["repeats"], "en", "t")]
+    got = {r.doc_id: r for r in Q.apply_rules(frame(spark, rows, "doc_id int, text string, lang string, source string")).collect()}
+    assert [got[1000 + k].failed_rule for k in range(4)] == list(planted) and not any(got[1000 + k].base_failed for k in range(4))
+    assert all(got[i].kept for i in range(300)) and all(got[2000 + i].kept for i in range(300))
+    assert got[2000].n_repeat_words > 0.1 * got[2000].n_words and got[3000].failed_rule == "repeats"

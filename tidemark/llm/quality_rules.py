@@ -5,7 +5,8 @@
    -> rows. Bins of partial sketches add up, so sketches merge in any order and their size does not grow with the
    rows. Sketches exist per (language, source), per language and over all rows.
 3. Fences are q25 - K * IQR and q75 + K * IQR (with a least distance) of the most specific group of at least
-   ``MIN_ROWS`` rows; a joined filter gives every document its verdict.
+   ``MIN_ROWS`` rows; for metrics that are 0 in most documents, where the quartiles say nothing, the upper fence is
+   at least the quantile ``TAIL``. A joined filter gives every document its verdict.
 
 Documents that already fail the fixed base rules take no part in the sketches.
 """
@@ -29,9 +30,11 @@ MIN_ROWS = 200
 RULES = {
     "word_length": ("word_chars / n_words", 6.0, 1.5, 1.5),
     "symbols": ("n_symbols / n_words", 6.0, None, 0.1),
-    "dup_lines": ("n_dup_lines / n_lines", 6.0, None, 0.5),
-    "repeats": ("n_repeat_words / n_words", 6.0, None, 0.5),
+    "dup_lines": ("n_dup_lines / n_lines", 6.0, None, 0.1),
+    "repeats": ("n_repeat_words / n_words", 6.0, None, 0.1),
 }
+TAIL = 0.99
+TAIL_RULES = ("dup_lines", "repeats")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 _GAMMA = math.log((1 + ACCURACY) / (1 - ACCURACY))
 _SPACES = " \t\n\x0b\x0c\r"
@@ -98,14 +101,17 @@ def _bin(x):
 
 
 def _quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """q25 and q75 per (keys, rule) of (keys, rule, bin, n); a group has a bounded number of bins."""
+    """q25, q75 and the upper edge of the bin of ``TAIL`` per (keys, rule) of (keys, rule, bin, n); a group has a bounded
+    number of bins."""
     by = [*keys, "rule"]
     w = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     value = F.when(F.col("bin") == -2**31, 0.0).otherwise(F.exp((F.col("bin") + 0.5) * _GAMMA))
+    edge = F.when(F.col("bin") == -2**31, 0.0).otherwise(F.exp((F.col("bin") + 1) * _GAMMA) * (1 + 1e-9))
     ranked = sketch.withColumn("upto", F.sum("n").over(w)).withColumn("all", F.sum("n").over(Window.partitionBy(*by)))
     return ranked.groupBy(*by).agg(F.max("all").alias("rows"),
                                    F.min(F.when(F.col("upto") >= 0.25 * F.col("all"), value)).alias("q25"),
-                                   F.min(F.when(F.col("upto") >= 0.75 * F.col("all"), value)).alias("q75"))
+                                   F.min(F.when(F.col("upto") >= 0.75 * F.col("all"), value)).alias("q75"),
+                                   F.min(F.when(F.col("upto") >= TAIL * F.col("all"), edge)).alias("tail"))
 
 
 def fences(counts: DataFrame, lang: str = "lang", source: str = "source", min_rows: int = MIN_ROWS) -> DataFrame:
@@ -124,10 +130,11 @@ def fences(counts: DataFrame, lang: str = "lang", source: str = "source", min_ro
         q = _quantiles(merged, keys)
         wide = [F.max("rows").alias("rows")]
         for r, (_, k, below, above) in RULES.items():
-            q25, q75 = (F.max(F.when(F.col("rule") == r, F.col(c))) for c in ("q25", "q75"))
+            q25, q75, tail = (F.max(F.when(F.col("rule") == r, F.col(c))) for c in ("q25", "q75", "tail"))
             wide.append((q25 - F.greatest(k * (q75 - q25), F.lit(below))).alias(f"{r}_low") if below is not None
                         else F.lit(None).cast("double").alias(f"{r}_low"))
-            wide.append((q75 + F.greatest(k * (q75 - q25), F.lit(above))).alias(f"{r}_high"))
+            high = q75 + F.greatest(k * (q75 - q25), F.lit(above))
+            wide.append((F.greatest(high, tail) if r in TAIL_RULES else high).alias(f"{r}_high"))
         levels.append(q.groupBy(*keys).agg(*wide))
     top, by_lang, overall = levels
     names = [f"{r}_{e}" for r in RULES for e in ("low", "high")]
