@@ -152,21 +152,24 @@ def fit(train: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "
     return langs, marks, root @ beta[:-1], beta[-1]
 
 
-def predict(df: DataFrame, model, text: str = "text") -> DataFrame:
+def predict(df: DataFrame, model, text: str = "text", evidence: bool = False) -> DataFrame:
     """Add ``lang_pred`` and ``score`` (0 to 1: softmax of the regression outputs; 0 for ``und``) to every row.
 
-    A null text or one without a letter is ``und``, as is every row if the model knows no language.
+    A null text or one without a letter is ``und``, as is every row if the model knows no language. With ``evidence``
+    also the best regression output itself, which unlike the softmax is low if no language fits (null for ``und``).
     """
     langs, marks, weights, bias = model
-    names = [c for c in df.columns if c not in ("lang_pred", "score")]
+    added = ["lang_pred", "score", *(["evidence"] if evidence else [])]
+    names = [c for c in df.columns if c not in added]
     keep, at = [df.columns.index(c) for c in names], df.columns.index(text)
     shared = df.sparkSession.sparkContext.broadcast((langs, marks, weights.astype(np.float32), bias))
-    schema = df.select(*names, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    schema = df.select(*names, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"),
+                       *([F.lit(None).cast("double").alias("evidence")] if evidence else [])).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, marks, weights, bias = shared.value
         for batch in batches:
-            pred, score = [], []
+            pred, score, raw = [], [], []
             for _, _, buf, offs in texts(batch.column(at)):
                 pieces, owner = [], []
                 for i in range(len(offs) - 1):
@@ -175,8 +178,10 @@ def predict(df: DataFrame, model, text: str = "text") -> DataFrame:
                             pieces.append(w)
                             owner.append(i)
                 total = np.zeros((len(offs) - 1, max(1, len(langs))))
+                output = np.zeros(total.shape)
                 if pieces:
                     z = SHARPNESS * (marks.kernel([grams(w) for w in pieces]) @ weights + bias)
+                    np.add.at(output, np.array(owner), z / SHARPNESS * np.array([len(w) for w in pieces])[:, None])
                     z = np.exp(z - z.max(axis=1, keepdims=True))
                     z *= np.array([len(w) for w in pieces])[:, None] / z.sum(axis=1, keepdims=True)
                     np.add.at(total, np.array(owner), z)
@@ -185,8 +190,9 @@ def predict(df: DataFrame, model, text: str = "text") -> DataFrame:
                 top = total[np.arange(len(total)), best] / np.where(weight > 0, weight, 1)
                 pred += [langs[b] if w > 0 else UNDETERMINED for b, w in zip(best, weight)]
                 score += np.clip(top, 0.0, 1.0).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in keep] + [pa.array(pred, pa.string()), pa.array(score, pa.float64())],
-                                             names=[*names, "lang_pred", "score"])
+                raw += [x / w if w > 0 else None for x, w in zip(output.max(axis=1), weight)]
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in keep] + [pa.array(pred, pa.string()), pa.array(score, pa.float64())]
+                                             + ([pa.array(raw, pa.float64())] if evidence else []), names=[*names, *added])
 
     return with_batches(df).mapInArrow(run, schema)
 
