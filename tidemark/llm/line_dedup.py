@@ -2,7 +2,7 @@
 
 A line goes if it repeats an earlier line, or if an earlier line lies within ``tau`` edits (insertions, deletions,
 substitutions of characters). Earlier means a smaller (doc_id, position). Lines shorter than ``min_chars``
-characters are left alone.
+characters are left alone, or with ``short_repeats`` only go as exact repeats if they hold a word.
 
 1. *Exact repeats* collapse by a grouped minimum: one row per distinct line, with its first place.
 2. *Segment index.* A distinct line r is cut into tau + 1 segments. If s lies within tau edits of r, one segment i
@@ -173,15 +173,17 @@ def near_line_pairs(distinct: DataFrame, tau: int = TAU) -> DataFrame:
     return index.join(probe, on).select(F.least("r", "s").alias("r"), F.greatest("r", "s").alias("s")).distinct()
 
 
-def flag_lines(df: DataFrame, key: str = "doc_id", text: str = "text", tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
+def flag_lines(df: DataFrame, key: str = "doc_id", text: str = "text", tau: int = TAU, min_chars: int = MIN_CHARS,
+               short_repeats: bool = False) -> DataFrame:
     """(k, th, pos, near): every line that goes; ``near`` is true if an earlier line is near it, false for exact repeats."""
-    lines = _lines(df, key, text).filter(F.length("line") >= min_chars)
+    long = F.length("line") >= min_chars
+    lines = _lines(df, key, text).filter(long | F.col("line").rlike(r"[^ \t-\r]") if short_repeats else long)
     place = F.struct("k", "pos")
     repeats = (lines.groupBy("h", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
                .select(F.col("h").alias("dh"), F.col("h2").alias("dh2"), "first")).checkpoint()
     n_repeats = repeats.count()
     same = (F.col("h") == F.col("dh")) & (F.col("h2") == F.col("dh2"))
-    distinct = (lines.join(small(repeats, n_repeats, SMALL_ROWS), same, "left")
+    distinct = (lines.filter(long).join(small(repeats, n_repeats, SMALL_ROWS), same, "left")
                 .filter(F.col("first").isNull() | F.col("first").eqNullSafe(place)).select("h", "h2", "k", "pos", "line"))
     pairs = near_line_pairs(distinct, tau).checkpoint()
     wanted = pairs.select(F.explode(F.array("r", "s")).alias("w")).distinct().checkpoint()
@@ -202,7 +204,8 @@ def flag_lines(df: DataFrame, key: str = "doc_id", text: str = "text", tau: int
         "k", "th", "pos", (F.col("near") & (F.col("first").isNull() | F.col("first").eqNullSafe(place))).alias("near"))
 
 
-def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", tau: int = TAU, min_chars: int = MIN_CHARS,
+                short_repeats: bool = False) -> DataFrame:
     """Remove the flagged lines from ``text``; add n_lines, n_exact and n_near (lines before, removed as repeat, as near).
 
     Row count and all other columns stay (columns of the added names are replaced). A null text stays null with 0
@@ -211,7 +214,7 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", tau: int
     """
     names = [c for c in df.columns if c not in ("n_lines", "n_exact", "n_near")]
     rows = df.select(*names)
-    flagged = flag_lines(rows, key, text, tau, min_chars)
+    flagged = flag_lines(rows, key, text, tau, min_chars, short_repeats)
     drop = (flagged.distinct().groupBy("k", "th").agg(F.collect_list("pos").alias("_drop"), F.count(F.when(F.col("near"), 1)).alias("_near"))
             ).checkpoint()
     size = drop.agg(F.sum(F.size("_drop") + 4)).first()[0] or 0
