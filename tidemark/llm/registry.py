@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import kneser_ney, language_id, line_dedup, mixing, ngram_jaccard, pivot_index, quality_rules, sentencepiece_chunks, sharding, toxicity
+from tidemark.llm import filter_audit, kneser_ney, language_id, line_dedup, mixing, ngram_jaccard, pivot_index, quality_rules, sentencepiece_chunks, sharding, toxicity
 
 QUERIES = {
     "op6_lm_scoring": (kneser_ney.op6_lm_scoring, None),
@@ -15,4 +15,5 @@ QUERIES = {
     "op7_quality_rules": (quality_rules.op7_quality_rules, None),
     "op4_sentencepiece": (sentencepiece_chunks.op4_sentencepiece, None),
     "op8_sharding": (sharding.op8_sharding, sharding.SQL),
+    "op11_filter_audit": (filter_audit.op11_filter_audit, filter_audit.SQL),
 }
