@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import filter_audit, kneser_ney, language_id, line_dedup, mixing, nb_svm, ngram_jaccard, pivot_index, quality_rules, sentencepiece_chunks, sharding, toxicity
+from tidemark.llm import cover_codes, filter_audit, kneser_ney, language_id, line_dedup, mixing, nb_svm, ngram_jaccard, pivot_index, quality_rules, sentencepiece_chunks, sharding, toxicity
 
 QUERIES = {
     "op6_lm_scoring": (kneser_ney.op6_lm_scoring, None),
@@ -17,4 +17,5 @@ QUERIES = {
     "op8_sharding": (sharding.op8_sharding, sharding.SQL),
     "op11_filter_audit": (filter_audit.op11_filter_audit, filter_audit.SQL),
     "op12_quality_classifier": (nb_svm.op12_quality_classifier, None),
+    "op13_vector_codes": (cover_codes.op13_vector_codes, cover_codes.SQL),
 }
