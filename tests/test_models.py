@@ -82,3 +82,37 @@ def test_text_models_report_and_importances(spark):
     assert set(table) == {"untuned", "tuned", "majority_baseline"} and all(r.loss > 0 for r in table.values())
     top = Q["booster_importances"](spark, SF_SMALL).collect()
     assert len(top) == 10 and [r.importance for r in top] == sorted((r.importance for r in top), reverse=True) and sum(r.importance for r in top) <= 1 + 1e-9
+
+
+def test_random_search_is_whole_and_repeats(spark):
+    a = Q["boost_random_search"](spark, SF_SMALL).collect()
+    assert len(a) == 20 and all(-1 <= r.cv_mcc <= 1 for r in a) and len({r.config_id for r in a}) == 20
+    assert set(models.BOOST_SPACE) <= set(a[0].asDict())
+    assert sorted(a) == sorted(Q["boost_random_search"](spark, SF_SMALL).collect())
+
+
+def test_smote_contexts_take_nothing_from_the_held_out_fold(spark):
+    rows = [(i, int(i % 4 == 0), [float(i), float(i * i % 17)], i % 3) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, y int, v array<double>, fold int")
+    out = models.smote_contexts(df, "y", "id", "v", "fold", 3).collect()
+    real = {r.id: r for r in out if r.only is None}
+    assert len(real) == 60
+    for f in range(4):
+        own = [r for r in real.values() if r.fold != f]
+        new = [r for r in out if r.only == f]
+        assert sum(r.y for r in own) + sum(r.y for r in new) == len(own) - sum(r.y for r in own) + sum(1 - r.y for r in new)
+        minority = [r.v for r in own if r.y == 1]
+        for r in new:  # on a line between two rows of its own set
+            assert any(abs((r.v[0] - a[0]) * (b[1] - a[1]) - (r.v[1] - a[1]) * (b[0] - a[0])) < 1e-6 for a in minority for b in minority if a != b)
+
+
+def test_softmax_booster_beats_chance(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 5))
+    y = (x[:, 0] > 0) + (x[:, 1] * x[:, 2] > 0)
+    df = spark.createDataFrame([(i, int(c), [float(a) for a in v]) for i, (v, c) in enumerate(zip(x, y))], "id long, y int, x array<double>")
+    from tidemark.operators import boost
+
+    forest, edges = models.boosted_softmax(df.where("id < 300"), "y", "id", "x", 3, rounds=40)
+    out = boost.predict(df.where("id >= 300"), forest, edges, "x").collect()
+    assert np.mean([r.prediction == r.y for r in out]) > 0.75

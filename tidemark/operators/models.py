@@ -112,47 +112,80 @@ def mcc_evaluator(label: str = "label", pred: str = "prediction"):
     return MCCEvaluator()
 
 
-# The reference's boosting search space, mapped onto MLlib GBT parameters.
+# The boosting search space.
 BOOST_SPACE = {
-    "maxIter": [50, 100, 200, 300],          # n_estimators
-    "maxDepth": [3, 4, 5, 6, 8],             # max_depth
-    "stepSize": [0.01, 0.05, 0.1, 0.2],      # learning_rate
-    "subsamplingRate": [0.6, 0.8, 1.0],      # subsample
-    "featureSubsetStrategy": ["0.6", "0.8", "1.0"],  # colsample_bytree (per node in MLlib)
-    "minInstancesPerNode": [1, 3, 5],        # min_child_weight
-    "minInfoGain": [0.0, 0.1, 0.2],          # gamma
+    "rounds": [50, 100, 200, 300],
+    "depth": [3, 4, 5, 6, 8],
+    "rate": [0.01, 0.05, 0.1, 0.2],
+    "subsample": [0.6, 0.8, 1.0],
+    "colsample": [0.6, 0.8, 1.0],
+    "min_child": [1, 3, 5],
+    "gamma": [0.0, 0.1, 0.2],
 }
+# Classes are balanced by SMOTE if the smallest has less than this share of the largest's rows.
+SMOTE_BELOW = 0.8
 
 
-def boost_random_search(train: DataFrame, label: str, fold_col: str, n_iter: int = 20, seed: int = 42,
-                        space: dict | None = None, parallelism: int = 4, folds: int = 5):
-    """Scaler + boosted trees, ``n_iter`` configurations drawn from the grid by md5
-    order, scored by k-fold MCC on ``fold_col``, refit on all rows (J4).
-    Returns ``(best_model, scores DataFrame(config_id, params..., cv_mcc))``."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import StandardScaler
-    from pyspark.ml.tuning import CrossValidator
+def smote_contexts(train: DataFrame, label: str, key: str, vec: str, fold: str, folds: int, k: int = 5, seed: int = 42) -> DataFrame:
+    """Training rows (key, label, vec, fold, only) plus SMOTE rows for every set they are learned from: the rows outside
+    fold f (``only`` = f) and all rows (``only`` = folds). Real rows have ``only`` null; a synthetic row is made from
+    rows of its own set alone, so that no held-out row leaks into it."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tidemark.operators.vectors import smote
+
+    real = train.select(F.col(key).cast("long").alias(key), F.col(label).cast("int").alias(label), F.col(vec).cast("array<double>").alias(vec),
+                        F.col(fold).cast("int").alias(fold)).checkpoint()
+
+    def balanced(f: int) -> DataFrame | None:
+        part = real.where(F.col(fold) != f)
+        n = [r["count"] for r in part.groupBy(label).count().collect()]  # one row per class
+        if len(n) < 2 or min(n) >= SMOTE_BELOW * max(n):
+            return None
+        new = smote(part, label, key, vec, k, seed + f)
+        return new.select((-(F.col("syn_id") + 1)).alias(key), F.col(label).cast("int").alias(label), vec, F.lit(None).cast("int").alias(fold), F.lit(f).alias("only")).checkpoint()
+
+    with ThreadPoolExecutor(max_workers=3) as pool:
+        made = [m for m in pool.map(balanced, range(folds + 1)) if m is not None]
+    out = real.withColumn("only", F.lit(None).cast("int"))
+    for m in made:
+        out = out.unionByName(m)
+    return out
+
 
+def boost_random_search(train: DataFrame, label: str, key: str, vec: str, fold: str, n_iter: int = 20, seed: int = 42,
+                        space: dict | None = None, folds: int = 5):
+    """Boosted trees: ``n_iter`` configurations drawn from the grid by md5 order, each scored by the mean MCC over
+    ``folds`` folds with SMOTE in the training folds; the best one (the first drawn on ties) is fitted on all rows,
+    balanced likewise (J4). All fits grow together. Trees split on quantile bins, which scaling a feature does not
+    change, so there is no scaler. Returns ``(forest, edges, scores(config_id, parameters, cv_mcc))``."""
+    from tidemark.operators import boost
     from tidemark.operators.sampling import param_grid, param_sample
 
     spark = train.sparkSession
-    space = space or BOOST_SPACE
-    grid = param_grid(spark, space)
+    grid = param_grid(spark, space or BOOST_SPACE)
     picked = [r.asDict() for r in param_sample(grid, n_iter, seed).collect()]  # n_iter rows
-    scaler = StandardScaler(inputCol="features", outputCol="_scaled", withMean=True, withStd=True)
-    gbt = GBTClassifier(featuresCol="_scaled", labelCol=label, seed=seed)
-    maps = []
-    for cfg in picked:
-        maps.append({getattr(gbt, k): (str(v) if k == "featureSubsetStrategy" else v)
-                     for k, v in cfg.items() if k != "config_id"})
-    cv = CrossValidator(estimator=Pipeline(stages=[scaler, gbt]), estimatorParamMaps=maps,
-                        evaluator=mcc_evaluator(label), foldCol=fold_col, numFolds=folds, parallelism=parallelism,
-                        seed=seed)
-    model = cv.fit(train)
-    rows = [(int(c["config_id"]), float(s)) for c, s in zip(picked, model.avgMetrics)]
-    scores = spark.createDataFrame(rows, "config_id int, cv_mcc double").join(grid, "config_id")
-    return model.bestModel, scores
+    configs = [boost.Params(**{k: v for k, v in c.items() if k != "config_id"}) for c in picked]
+    rows = smote_contexts(train, label, key, vec, fold, folds, seed=seed)
+    edges = boost.bin_edges(rows.where(F.col("only").isNull()), vec)
+    blocks = boost.make_blocks(rows, edges, vec, label, key, fold, "only")
+    _, seen = boost.fit_many(blocks, [boost.Fit(p, f, seed) for p in configs for f in range(folds)], len(edges), 2, keep=False)
+    means = [sum(boost.matthews(c) for c in seen[k * folds:(k + 1) * folds]) / folds for k in range(len(configs))]
+    best = max(range(len(configs)), key=lambda k: (means[k], -k))
+    (forest,), _ = boost.fit_many(blocks, [boost.Fit(configs[best], folds, seed)], len(edges), 2)
+    scores = spark.createDataFrame([(c["config_id"], m) for c, m in zip(picked, means)], "config_id long, cv_mcc double").join(grid, "config_id")
+    return forest, edges, scores
+
+
+def boosted_softmax(train: DataFrame, label: str, key: str, features: str, n_classes: int, rounds: int = 100, depth: int = 3, rate: float = 0.1,
+                    seed: int = 42):
+    """One multiclass booster (softmax, one tree per class and round) on an array column (J3): ``(forest, edges)``."""
+    from tidemark.operators import boost
+
+    edges = boost.bin_edges(train, features)
+    blocks = boost.make_blocks(train, edges, features, label, key)
+    (forest,), _ = boost.fit_many(blocks, [boost.Fit(boost.Params(rounds=rounds, depth=depth, rate=rate), seed=seed)], len(edges), n_classes)
+    return forest, edges
 
 
 # ---- J9: MLP grid -----------------------------------------------------------------------------------
