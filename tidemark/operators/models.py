@@ -188,22 +188,34 @@ def boosted_softmax(train: DataFrame, label: str, key: str, features: str, n_cla
     return forest, edges
 
 
-# ---- J9: MLP grid -----------------------------------------------------------------------------------
+# ---- J9: network grid ---------------------------------------------------------------------------------
+
+# The network search space.
+NETWORK_SPACE = {
+    "rate": [1e-4, 5e-4, 1e-3],
+    "hidden": [(128, 64), (256, 128), (128, 64, 32)],
+    "dropout": [0.0, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9],
+    "batch": [32, 64, 128],
+}
 
-def mlp_grid(train: DataFrame, valid: DataFrame, label: str, n_features: int, n_classes: int,
-             hidden: list, block_sizes: list, seed: int = 42, max_iter: int = 100) -> DataFrame:
-    """Fit one MLP per (hidden layers, block size), score validation MCC; a metrics
-    table ``(config_id, hidden, block_size, val_mcc)`` in enumeration order."""
-    spark = train.sparkSession
+
+def network_grid(df: DataFrame, label: str, key: str, vec: str, role: str, train: str, width: int, n_classes: int, space: dict | None = None,
+                 epochs: int = 50, patience: int = 0, seed: int = 42):
+    """Train a network for every combination of ``space`` (in enumeration order), judged on the rows whose ``role`` is
+    not ``train``. Returns the states and a table ``(config_id, rate, hidden, dropout, batch, epochs, val_accuracy, val_mcc)``."""
+    from itertools import product
+
+    from tidemark.operators import network
+
+    space = space or NETWORK_SPACE
+    configs = [network.Config(**dict(zip(space, c)), epochs=epochs, patience=patience, seed=seed) for c in product(*space.values())]
+    states = network.fit_many(network.make_blocks(df, vec, label, key, role, train), configs, width, n_classes)
     rows = []
-    cid = 0
-    for h in hidden:
-        for b in block_sizes:
-            m = mlp(train, label, [n_features, *h, n_classes], seed=seed, max_iter=max_iter, block_size=b)
-            score = _mcc_value(m.transform(valid), label, "prediction")
-            rows.append((cid, "-".join(map(str, h)), int(b), score))
-            cid += 1
-    return spark.createDataFrame(rows, "config_id int, hidden string, block_size int, val_mcc double")
+    for k, s in enumerate(states):
+        at = {e: (acc, mcc) for e, _, acc, mcc in s.history}.get(s.best_epoch, (None, None))
+        rows.append((k, float(s.config.rate), "-".join(map(str, s.config.hidden)), float(s.config.dropout), s.config.batch, len(s.history), *at))
+    schema = "config_id int, rate double, hidden string, dropout double, batch int, epochs int, val_accuracy double, val_mcc double"
+    return states, df.sparkSession.createDataFrame(rows, schema)
 
 
 # ---- J10: bagging -------------------------------------------------------------------------------------
