@@ -10,7 +10,7 @@ import dataclasses
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import boost, clean, encode, metrics, models, network, sampling, select, series, text, vectors
+from tidemark.operators import boost, clean, encode, lagfit, metrics, models, network, sampling, select, series, text, vectors
 from tidemark.plans.prices_q import CS, SCALED, P
 from tidemark.plans.tickets_q import RATING, _rated
 from tidemark.sources import fixtures, io
@@ -321,9 +321,8 @@ def _scaled_series(spark, sf):
 @reg("forecast_train")
 def forecast_train(spark, sf, k: int = 15):
     s = _scaled_series(spark, sf)
-    tr = s.where(F.col("segment") == "train").drop("pos")
-    tr = series.positions(tr, "ticker", "date", "tpos")
-    w = series.lag_windows(tr.withColumn("y", F.col("scaled")), "ticker", "tpos", "scaled", k)
+    tr = s.where(F.col("segment") == "train")  # the prefix of each series, so the series' positions hold
+    w = series.lag_windows(tr.withColumn("y", F.col("scaled")), "ticker", "pos", "scaled", k)
     m = models.fit_lag_regressor(w, "x", "y")
     out = models.forecast(m, w, "x", "pred_scaled")
     return out.select("ticker", "date", F.col("close").alias("actual"),
@@ -366,27 +365,41 @@ def trained_forecast_metrics(spark, sf):
     return out.withColumn("mse", F.round("mse", 1)).withColumn("r2", F.round("r2", 6))
 
 
+def _lag_products(spark, sf, ks):
+    """Summed products of the scaled training values, the last fifth of each series' training rows as validation."""
+    # the train segment is the prefix of each series, so its series positions are kept
+    tr = _scaled_series(spark, sf).where(F.col("segment") == "train").drop("segment").withColumnRenamed("pos", "_p")
+    fv = series.split_by_position(tr, "ticker", "_p", 0.8, out="seg", labels=("fit", "val"), seg_pos="spos")
+    return lagfit.lag_products(fv, "ticker", "seg", "spos", "scaled", ks)
+
+
 @reg("lag_sweep")
 def lag_sweep(spark, sf):
-    """One regressor per look-back k on the fit rows; fit and validation MSE on scaled
+    """One regressor over all series per look-back, from one aggregate of the fit rows; fit and validation MSE on scaled
     values; the smallest validation MSE wins (first k on ties) (F6)."""
-    s = _scaled_series(spark, sf)
-    # the train segment is the prefix of each series, so its series positions are kept
-    tr = s.where(F.col("segment") == "train").drop("segment").withColumnRenamed("pos", "_p")
-    fv = series.split_by_position(tr, "ticker", "_p", 0.8, out="seg", labels=("fit", "val"), seg_pos="spos")
-    spos = fv.drop("_p").cache()
-    rows = []
-    for k in series.LAG_GRID:
-        w = series.lag_windows(spos.withColumn("y", F.col("scaled")), ["ticker", "seg"], "spos", "scaled", k).cache()
-        fit_w = w.where(F.col("seg") == "fit")
-        if fit_w.isEmpty():
-            continue
-        m = models.fit_lag_regressor(fit_w, "x", "y")
-        p = models.forecast(m, w, "x", "p")
-        err = (F.col("y") - F.col("p"))
-        r = p.groupBy().agg(F.avg(F.when(F.col("seg") == "fit", err * err)).alias("fit_mse"),
-                            F.avg(F.when(F.col("seg") == "val", err * err)).alias("val_mse")).first()
-        rows.append((k, r["fit_mse"], r["val_mse"]))
-    table = spark.createDataFrame(rows, "k int, fit_mse double, val_mse double")
-    best = table.where(F.col("val_mse").isNotNull()).orderBy("val_mse", "k").first()
-    return table.withColumn("selected", F.col("k") == F.lit(best["k"] if best else -1))
+    out = lagfit.sweep(_lag_products(spark, sf, series.LAG_GRID), None, "seg", series.LAG_GRID)
+    return out.select("k", "fit_mse", "val_mse", "selected")
+
+
+@reg("lag_sweep_series")
+def lag_sweep_series(spark, sf):
+    """``lag_sweep`` with a regressor of its own for every series, from the same aggregate."""
+    out = lagfit.sweep(_lag_products(spark, sf, series.LAG_GRID), "ticker", "seg", series.LAG_GRID)
+    return out.select("ticker", "k", "n_fit", "n_val", "fit_mse", "val_mse", "selected")
+
+
+@reg("lag_fit_one", P(CS + SCALED + """
+, tr AS (SELECT * FROM sc WHERE segment = 'train'),
+fv AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY ticker ORDER BY date) <=
+       floor(count(*) OVER (PARTITION BY ticker) * CAST(0.8 AS DOUBLE)) THEN 'fit' ELSE 'val' END AS seg FROM tr),
+w AS (SELECT *, lag(scaled) OVER (PARTITION BY ticker, seg ORDER BY date) AS x FROM fv),
+m AS (SELECT ticker, regr_slope(scaled, x) AS b, regr_intercept(scaled, x) AS a FROM w WHERE seg = 'fit' AND x IS NOT NULL GROUP BY ticker),
+e AS (SELECT ticker, seg, a, b, (scaled - a - b * x) * (scaled - a - b * x) AS se FROM w JOIN m USING (ticker) WHERE x IS NOT NULL)
+SELECT ticker, round(any_value(a), 7) AS intercept, round(any_value(b), 7) AS slope, count(*) FILTER (seg = 'fit') AS n_fit,
+       count(*) FILTER (seg = 'val') AS n_val, round(avg(se) FILTER (seg = 'fit'), 9) AS fit_mse, round(avg(se) FILTER (seg = 'val'), 9) AS val_mse
+FROM e GROUP BY ticker"""))
+def lag_fit_one(spark, sf):
+    """The one-lag regressor of every series: intercept, slope, rows and errors."""
+    out = lagfit.sweep(_lag_products(spark, sf, [1]), "ticker", "seg", [1])
+    return out.select("ticker", F.round(F.col("beta")[0], 7).alias("intercept"), F.round(F.col("beta")[1], 7).alias("slope"), "n_fit", "n_val",
+                      F.round("fit_mse", 9).alias("fit_mse"), F.round("val_mse", 9).alias("val_mse"))
