@@ -44,7 +44,7 @@ def chunk_products(values: np.ndarray, halo: np.ndarray, ks: Sequence[int]) -> l
 
 
 def lag_products(df: DataFrame, by, segment: str, pos: str, value: str, ks: Sequence[int], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """(by, segment, band, i, j, s): the summed products per series, segment and band, i <= j.
+    """(by, segment, _band, _i, _j, _sum): the summed products per series, segment and band, i <= j.
 
     ``pos`` is a 1-based position inside (by, segment); look-backs do not reach into another segment.
     """
@@ -56,18 +56,18 @@ def lag_products(df: DataFrame, by, segment: str, pos: str, value: str, ks: Sequ
     def run(table: pa.Table) -> pa.Table:
         t = table.sort_by("_pos")
         values = t.column("_v").to_numpy().astype(np.float64)  # nulls become NaN
-        parts = {c: [] for c in ("band", "i", "j", "s")}
+        parts = {c: [] for c in ("_band", "_i", "_j", "_sum")}
         for band, sums in chunk_products(values, t.column("_halo").to_numpy(zero_copy_only=False).astype(bool), ks):
             i, j = np.triu_indices(len(sums))
             for c, x in zip(parts, (np.full(len(i), band), i, j, sums[i, j])):
                 parts[c].append(x)
-        n = sum(map(len, parts["s"]))
+        n = sum(map(len, parts["_sum"]))
         cols = {c: pa.array([table.column(c)[0].as_py()] * n, table.schema.field(c).type) for c in keys}
-        cols |= {c: pa.array(np.concatenate(parts[c]) if n else [], pa.int32()) for c in ("band", "i", "j")}
-        return pa.table(cols | {"s": pa.array(np.concatenate(parts["s"]) if n else [], pa.float64())})
+        cols |= {c: pa.array(np.concatenate(parts[c]) if n else [], pa.int32()) for c in ("_band", "_i", "_j")}
+        return pa.table(cols | {"_sum": pa.array(np.concatenate(parts["_sum"]) if n else [], pa.float64())})
 
-    sent = rows.groupBy(*keys, "_chunk").applyInArrow(run, f"{types}, band int, i int, j int, s double")
-    return sent.groupBy(*keys, "band", "i", "j").agg(F.sum("s").alias("s"))
+    sent = rows.groupBy(*keys, "_chunk").applyInArrow(run, f"{types}, _band int, _i int, _j int, _sum double")
+    return sent.groupBy(*keys, "_band", "_i", "_j").agg(F.sum("_sum").alias("_sum"))
 
 
 def normal_equations(bands: dict[int, np.ndarray], k: int) -> np.ndarray:
@@ -98,12 +98,12 @@ def sweep(products: DataFrame, by, segment: str, ks: Sequence[int], fit: str = "
     """
     by = _list(by)
     types = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in products.select(*by).schema.fields)
-    summed = products.groupBy(*by, F.col(segment).alias("_seg"), "band", "i", "j").agg(F.sum("s").alias("s"))
+    summed = products.groupBy(*by, F.col(segment).alias("_seg"), "_band", "_i", "_j").agg(F.sum("_sum").alias("_sum"))
     summed = summed if by else summed.withColumn("_all", F.lit(0))
 
     def run(table: pa.Table) -> pa.Table:
         bands: dict[str, dict[int, np.ndarray]] = {fit: {}, val: {}}
-        seg, band, i, j, s = (table.column(c).to_numpy(zero_copy_only=False) for c in ("_seg", "band", "i", "j", "s"))
+        seg, band, i, j, s = (table.column(c).to_numpy(zero_copy_only=False) for c in ("_seg", "_band", "_i", "_j", "_sum"))
         for name in bands:
             for b in np.unique(band[seg == name]):
                 at = (seg == name) & (band == b)

@@ -10,7 +10,7 @@ import dataclasses
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import boost, clean, encode, lagfit, metrics, models, network, sampling, select, series, text, vectors
+from tidemark.operators import boost, clean, encode, lagfit, metrics, models, network, recurrent, sampling, select, series, text, vectors
 from tidemark.plans.prices_q import CS, SCALED, P
 from tidemark.plans.tickets_q import RATING, _rated
 from tidemark.sources import fixtures, io
@@ -403,3 +403,25 @@ def lag_fit_one(spark, sf):
     out = lagfit.sweep(_lag_products(spark, sf, [1]), "ticker", "seg", [1])
     return out.select("ticker", F.round(F.col("beta")[0], 7).alias("intercept"), F.round(F.col("beta")[1], 7).alias("slope"), "n_fit", "n_val",
                       F.round("fit_mse", 9).alias("fit_mse"), F.round("val_mse", 9).alias("val_mse"))
+
+
+# Layers, dropout and batch size of the recurrent forecaster.
+RECURRENT = {"hidden": (50, 50, 50), "dropout": 0.2, "batch": 32}
+
+
+@reg("recurrent_forecast")
+def recurrent_forecast(spark, sf, k: int = 15, epochs: int = 100):
+    """Three stacked recurrent layers over the ``k`` scaled values before a row, learned from the first four fifths of
+    each series' training windows and stopped after 5 epochs without a smaller error on the others; every test row is
+    forecast from windows that reach back into the training rows, scaled back and corrected by the training bias (J1, F7, F8)."""
+    s = _scaled_series(spark, sf)
+    w = series.lag_windows(s.withColumn("y", F.col("scaled")), "ticker", "pos", "scaled", k)
+    w = series.split_by_position(w.where(F.col("segment") == "train").withColumn("_p", F.col("pos") - k), "ticker", "_p", 0.8, out="role",
+                                 labels=("train", "valid"), seg_pos="_q").select("ticker", "pos", "role").join(w, ["ticker", "pos"], "right").checkpoint()
+    windows = w.where(F.col("role").isNotNull()).withColumn("id", F.xxhash64("ticker", "pos"))
+    config = network.Config(**RECURRENT, rate=1e-3, epochs=epochs, patience=5, seed=42)
+    model = recurrent.start(config.hidden, config.seed)
+    (state,) = network.fit_models(network.make_blocks(windows, "x", "y", "id", "role", "train"), [config], [model])
+    pred = recurrent.forecast(w, model if state.best_flat is None else model.shaped(state.best_flat), "x", "pred_scaled").withColumn("pred", encode.inverse_minmax("pred_scaled"))
+    adj = series.bias_correct(pred, "ticker", "close", "pred", "segment", "train")
+    return adj.where(F.col("segment") == "test").select("ticker", "date", F.col("close").alias("actual"), "pred", "adjusted")
