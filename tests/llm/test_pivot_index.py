@@ -80,3 +80,37 @@ def test_recall_in_noisy_families(spark, kind):
     want = int((np.triu(u @ u.T, 1) >= 0.98).sum())
     got = sum(r.n_links for r in P.near_duplicates(frame(spark, rows, "vec_id bigint, embedding array<float>, label int"), "vec_id", "embedding", "label").collect()) // 2
     assert want > 1000 and 0.9 * want <= got <= want
+
+
+@pytest.mark.parametrize("cosine", [0.5, 0.8])
+def test_common_direction_is_taken_off(spark, cosine):
+    """Vectors with a common direction, as trained encoders give: most are told apart, and near pairs are found."""
+    rng = np.random.default_rng(2)
+    c = np.eye(64)[0]
+    r = rng.normal(size=(2000, 64))
+    r[:, 0] = 0
+    x = np.sqrt(cosine) * c + np.sqrt(1 - cosine) * r / np.linalg.norm(r, axis=1, keepdims=True)
+    x = np.concatenate((x, x[:400] + rng.normal(size=(400, 64)) * 0.15 / 8))
+    rows = [(i, v.astype(np.float32).tolist(), 0) for i, v in enumerate(x)]
+    u = np.array([r[1] for r in rows])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = int((np.triu(u @ u.T, 1) >= 0.98).sum())
+    df = frame(spark, rows, "vec_id bigint, embedding array<float>, label int")
+    got = sum(r.n_links for r in P.near_duplicates(df, "vec_id", "embedding", "label").collect()) // 2
+    assert want > 300 and 0.9 * want <= got <= want
+    reps = df.selectExpr("vec_id AS id", "CAST(label AS string) AS label", "embedding AS vec", "1L AS copies", "64 AS dim")
+    placed = P.with_means(reps)
+    signed = P.signatures(placed, P.pick_pivots(placed))
+    assert signed.filter("lost").count() < 0.3 * len(rows)
+
+
+def test_signs_drop_no_pair_at_the_threshold():
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=(20_000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    g = rng.normal(size=a.shape)
+    g -= (g * a).sum(axis=1, keepdims=True) * a
+    b = 0.98 * a + np.sqrt(1 - 0.98**2) * g / np.linalg.norm(g, axis=1, keepdims=True)
+    planes = np.random.default_rng(1).normal(size=(64, P.BITS))
+    assert (((a @ planes > 0) != (b @ planes > 0)).sum(axis=1) <= P.most_differences(0.98)).all()
+    assert 10 < P.most_differences(0.98) < 30
