@@ -60,3 +60,19 @@ def test_without_labels(spark):
     model = X.fit(docs, spark.createDataFrame([], "doc_id bigint, toxic int"))
     assert {(r.score, r.predicted) for r in X.find_toxic(docs, model).collect()} == {(0.5, 0)}
     assert X.find_toxic(docs.limit(0), model).collect() == []
+
+
+def test_calibration_sees_every_segment(spark):
+    """Texts of hundreds of toxic passages: the curve is fitted to the evidence that scoring uses, however many there are."""
+    rng = np.random.default_rng(0)
+    plain, bad = [f"word{k}" for k in range(300)], [f"slur{k}" for k in range(8)]
+    rows = []
+    for k in range(120):
+        passages = (200 if k % 4 else 3) if k % 2 else 0
+        parts = [" ".join(rng.choice(plain, 15)) + (" " + " ".join(rng.choice(bad, 3)) if i < passages else "") for i in range(210)]
+        rows.append((k, " ".join(parts), int(k % 2)))
+    docs = frame(spark, [r[:2] for r in rows], "doc_id bigint, text string")
+    model = X.fit(docs, frame(spark, [(r[0], r[2]) for r in rows], "doc_id bigint, toxic int"))
+    out = {r.doc_id: r for r in X.find_toxic(docs, model).collect()}
+    assert all(out[k].predicted == y for k, _, y in rows)
+    assert model.slope > 0

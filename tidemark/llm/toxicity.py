@@ -171,18 +171,20 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                     part = slice(woff[i], woff[i + 1])
                     found = segments(_token_scores(shared.value[fold[a + i]], words[part], stems[part]))
                     out[0].append(woff[i + 1] - woff[i])
-                    out[1].append(sorted((s for _, _, s in found), reverse=True)[:64])
+                    out[1].append([s for _, _, s in found])
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.float64()))],
                                              names=["y", "fold", "n", "s"])
 
-    seen = rows.mapInArrow(best, "y int, fold int, n bigint, s array<double>").filter("n > 0").collect()
-    top = np.array([max(r.s, default=0.0) for r in seen])
-    y, n = np.array([r.y for r in seen]), np.array([float(r.n) for r in seen])
-    rate = np.array([folds[r.fold].rate for r in seen])
-    clean = (y == 0) & (top > 0)  # K by maximum likelihood on the clean documents whose best segment is positive
-    whole.k = float(min(1.0, max(1, clean.sum()) / max((n[y == 0] * np.exp(-rate[y == 0] * top[y == 0])).sum(), 1.0)))
-    x = np.array([_evidence([(0, 0, s) for s in r.s], r.n, folds[r.fold].rate, whole.k) for r in seen])
-    whole.intercept, whole.slope = _logistic(np.log1p(x), y)
+    seen = rows.mapInArrow(best, "y int, fold int, n bigint, s array<double>").filter("n > 0")
+    seen = seen.withColumn("rate", F.element_at(F.array(*[F.lit(float(f.rate)) for f in folds]), F.col("fold") + 1))
+    seen = seen.withColumn("top", F.coalesce(F.array_max("s"), F.lit(0.0))).checkpoint()
+    # K by maximum likelihood on the clean documents whose best segment is positive
+    clean, chance = seen.filter("y = 0").agg(F.count_if(F.col("top") > 0), F.coalesce(F.sum(F.col("n") * F.exp(-F.col("rate") * F.col("top"))), F.lit(0.0))).first()
+    whole.k = float(min(1.0, max(1, clean) / max(chance, 1.0)))
+    least = F.log(F.greatest(F.lit(whole.k) * F.col("n"), F.lit(1e-9)))
+    x = F.aggregate("s", F.lit(0.0), lambda a, s: a + F.greatest(F.lit(0.0), F.col("rate") * s - least))
+    got = seen.select(x.alias("x"), "y").orderBy("x", "y").toArrow()  # two numbers for each of the bounded number of rows
+    whole.intercept, whole.slope = _logistic(np.log1p(got.column("x").to_numpy()), got.column("y").to_numpy())
     return whole
 
 
