@@ -46,3 +46,21 @@ def test_empty_and_clashing_columns(spark):
     assert sharding.assign_shards(df, "k", F.col("b"), 10).collect() == []
     one = frame(spark, [(1, 5, "x", 9)], "k bigint, b int, shard string, page int")
     assert [(r.shard, r.page) for r in sharding.assign_shards(one, "k", F.col("b"), 10).collect()] == [("", 0)]
+
+
+def test_names_used_inside_and_one_scan(spark):
+    names = ["_h", "_b", "_c0", "_d0", "_depth", "_g", "_per", "_rn", "_row"]
+    df = frame(spark, [(i % 40, 7) for i in range(100)], "k bigint, b int").select("k", "b", *[F.lit(c).alias(c) for c in names])
+    rows = sharding.assign_shards(df, "k", F.col("b"), 20).collect()
+    assert len(rows) == 100 and all(r[c] == c for r in rows for c in names)
+    _check(rows, 20)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    src = spark.range(500).selectExpr("id AS k", "10 AS b").mapInArrow(counted, "k bigint, b int")
+    sharding.assign_shards(src, "k", F.col("b"), 100).collect()
+    assert seen.value <= 2 * 500  # once for the sizes, once for the result

@@ -59,12 +59,14 @@ def assign_shards(df: DataFrame, key: str, size: Column, limit: int) -> DataFram
         raise ValueError("limit must be positive")
     spark = df.sparkSession
     names = [c for c in df.columns if c not in ("shard", "page", "oversized")]
-    rows = df.select(*names, hash_bits(F.col(key)).alias("_h"), F.coalesce(size, F.lit(0)).cast("bigint").alias("_b"))
-    total = rows.agg(F.sum("_b")).first()[0] or 0
+    # the given columns travel as one struct, so that none of their names meets one of the names used here
+    rows = df.select(F.struct(*names).alias("_row"), hash_bits(F.col(key)).alias("_h"), F.coalesce(size, F.lit(0)).cast("bigint").alias("_b"))
+    sizes = rows.select("_h", "_b").checkpoint()  # the splits are decided on these narrow rows; sizes are measured once
+    total = sizes.agg(F.sum("_b")).first()[0] or 0
     high = min(BITS, max(4, math.ceil(math.log2(max(total / limit, 1))) + 4))
-    low, base, directory = 0, rows, []
+    low, base, directory = 0, sizes, []
     while True:
-        cells = base.groupBy(_prefix(F.col("_h"), high).alias("cell")).agg(F.sum("_b").alias("b"))
+        cells = base.groupBy(_prefix(F.col("_h"), high).alias("cell")).agg(F.sum("_b").alias("b")).checkpoint()
         leaves = _leaves(cells, low, high, limit).checkpoint()
         n, deeper = leaves.agg(F.count("*"), F.count(F.when(F.col("depth").isNull(), 1))).first()
         directory.append((high, leaves, n))
@@ -78,7 +80,7 @@ def assign_shards(df: DataFrame, key: str, size: Column, limit: int) -> DataFram
         side = leaves.select(F.col("cell").alias(f"_c{k}"), F.col("depth").alias(f"_d{k}"))
         out = out.join(small(side, n), _prefix(F.col("_h"), bits) == F.col(f"_c{k}"), "left")
         depth = F.coalesce(depth, F.col(f"_d{k}"))
-    out = out.select(*names, "_h", "_b", depth.alias("_depth"))
+    out = out.select("_row", "_h", "_b", depth.alias("_depth"))
     d = F.coalesce(F.col("_depth"), F.lit(BITS))
     shard = F.when(d == 0, "").otherwise(F.substring(F.lpad(F.bin("_h"), BITS, "0"), F.lit(1), d))
     if deeper:
@@ -89,7 +91,7 @@ def assign_shards(df: DataFrame, key: str, size: Column, limit: int) -> DataFram
         out = out.filter("_depth is not null").withColumn("page", F.lit(0)).unionByName(paged)
     else:
         out = out.withColumn("page", F.lit(0))
-    return out.select(*names, shard.alias("shard"), "page", (F.col("_b") > limit).alias("oversized"))
+    return out.select("_row.*", shard.alias("shard"), "page", (F.col("_b") > limit).alias("oversized"))
 
 
 def write_shards(df: DataFrame, path: str) -> None:
