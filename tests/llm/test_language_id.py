@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import SF, frame
@@ -43,3 +44,22 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert [r.lang_pred for r in rows if r.doc_id is None][0] in model[0]
     none = L.fit(docs.limit(0))
     assert {r.lang_pred for r in L.predict(odd, none).collect()} == {"und"}
+
+
+def test_a_letter_at_a_cut_is_found(spark):
+    text = "1" * 511 + "漢" + "1" * 600
+    assert all(w.tobytes().decode() or True for w in L.windows(np.frombuffer(text.encode(), np.uint8)))  # whole characters only
+    docs = frame(spark, [(k, "the cat sat on the mat " * 5, "en") for k in range(8)], "doc_id bigint, text string, lang string")
+    odd = frame(spark, [(1, text), (2, "1" * 2000)], "doc_id bigint, text string")
+    assert {r.doc_id: r.lang_pred for r in L.predict(odd, L.fit(docs)).collect()} == {1: "en", 2: "und"}
+
+
+def test_fifty_languages(spark):
+    rng = np.random.default_rng(0)
+    rows = []
+    for k in range(50):
+        letters = [chr(0x4E00 + 20 * k + i) for i in range(20)]
+        rows += [(100 * k + i, " ".join("".join(rng.choice(letters, 3)) for _ in range(40)), f"lang{k:02d}") for i in range(6)]
+    df = frame(spark, rows, "doc_id bigint, text string, lang string")
+    out = L.predict(df, L.fit(df, landmarks=4)).collect()
+    assert sum(r.lang == r.lang_pred for r in out) >= 0.95 * len(out)

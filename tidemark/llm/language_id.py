@@ -28,6 +28,7 @@ LANDMARKS = 24
 FIT_ROWS = 1500
 RIDGE = 1e-3
 SHARPNESS = 4.0
+FIT_PARTS = 8
 WINDOW = 512
 UNDETERMINED = "und"
 
@@ -68,6 +69,9 @@ def windows(buf: np.ndarray, size: int = WINDOW) -> list[np.ndarray]:
     snapped = cuts.copy()
     snapped[found] = spaces[at[found]]
     cuts = np.unique(np.where(snapped - cuts < size, snapped, cuts))
+    while (inside := (cuts < len(buf)) & ((buf[np.minimum(cuts, len(buf) - 1)] & 0xC0) == 0x80)).any():
+        cuts = np.where(inside, cuts + 1, cuts)  # no cut inside a character
+    cuts = np.unique(cuts)
     return np.split(buf, cuts[(cuts > 0) & (cuts < len(buf))])
 
 
@@ -122,33 +126,47 @@ def fit(train: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "
     def sets_of(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), batch.column(2), pa.array(_picked_grams(batch.column(0), batch.column(3)), pa.list_(pa.int32()))],
-                names=["lang", "n", "grams"])
+                [*batch.columns[1:], pa.array(_picked_grams(batch.column(0), batch.column(3)), pa.list_(pa.int32()))], names=["lang", "n", "k", "grams"])
 
-    chosen = with_batches(rows.filter(F.col("_n") <= landmarks)).mapInArrow(sets_of, "lang string, n int, grams array<int>").collect()
-    chosen = sorted(((r.lang, r.n, np.array(r.grams, np.uint32)) for r in chosen if len(r.grams)), key=lambda r: (r[0], r[1], r[2].tobytes()))
+    schema = f"lang string, n int, k {picked.schema['_k'].dataType.simpleString()}, grams array<int>"
+    # gram sets of a bounded number of windows, in few partitions of a fixed order: each sends one sum
+    sets = with_batches(rows).mapInArrow(sets_of, schema).repartition(FIT_PARTS, "k").sortWithinPartitions("k", "lang", F.hash("grams")).checkpoint()
+    chosen = sets.filter((F.col("n") <= landmarks) & (F.size("grams") > 0)).collect()
+    chosen = sorted(((r.lang, r.n, np.array(r.grams, np.uint32)) for r in chosen), key=lambda r: (r[0], r[1], r[2].tobytes()))
     marks = Landmarks([s for _, _, s in chosen])
-    shared = spark.sparkContext.broadcast(marks)
-
-    def kernel_rows(batches):
-        for batch in batches:
-            k = shared.value.kernel(_picked_grams(batch.column(0), batch.column(3)))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(k), pa.list_(pa.float32()))], names=["lang", "k"])
-
-    fitted = with_batches(rows).mapInArrow(kernel_rows, "lang string, k array<float>").collect()
-    langs = sorted({r.lang for r in fitted})
+    found = {r.lang: r["count"] for r in sets.groupBy("lang").count().collect()}  # one row per language
+    langs = sorted(found)
     if not chosen or not langs:
         return [], marks, np.zeros((0, 0)), np.zeros(0)
-    k = np.array([r.k for r in fitted], np.float64)
-    at = np.array([langs.index(r.lang) for r in fitted])
+    shared = spark.sparkContext.broadcast((marks, {name: i for i, name in enumerate(langs)}, found))
+
+    def moments(batches):
+        marks, number, found = shared.value
+        m = marks.matrix.shape[1] + 1
+        square, cross, seen = np.zeros((m, m)), np.zeros((m, len(number))), False
+        for batch in batches:
+            lists = batch.column(3)
+            k = np.hstack([marks.kernel([np.array(g, np.uint32) for g in lists.to_pylist()]).astype(np.float64), np.ones((len(lists), 1))])
+            names = batch.column(0).to_pylist()
+            weight = np.array([1 / found[x] for x in names])  # languages count alike however many rows they have
+            y = np.where(np.array([number[x] for x in names])[:, None] == np.arange(len(number)), 1.0, -1.0)
+            square += (k * weight[:, None]).T @ k
+            cross += (k * weight[:, None]).T @ y
+            seen = True
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([square.tobytes()], pa.binary()), pa.array([cross.tobytes()], pa.binary())], names=["square", "cross"])
+
+    sums = with_batches(sets.select("lang", "n", "k", "grams")).mapInArrow(moments, "square binary, cross binary").collect()  # at most FIT_PARTS rows
+    size = marks.matrix.shape[1] + 1
+    square = sum(np.frombuffer(bytes(r.square)).reshape(size, size) for r in sums)
+    cross = sum(np.frombuffer(bytes(r.cross)).reshape(size, len(langs)) for r in sums)
     values, vectors = np.linalg.eigh(marks.kernel([s for _, _, s in chosen]).astype(np.float64))
     good = values > values[-1] * 1e-6
     root = vectors[:, good] / np.sqrt(values[good])
-    phi = np.hstack([k @ root, np.ones((len(k), 1))])
-    weight = (1 / np.bincount(at, minlength=len(langs)))[at]  # languages count alike however many rows they have
-    y = np.where(at[:, None] == np.arange(len(langs)), 1.0, -1.0)
-    gram = (phi * weight[:, None]).T @ phi + ridge * np.eye(phi.shape[1])
-    beta = np.linalg.solve(gram, (phi * weight[:, None]).T @ y)
+    turn = np.zeros((size, root.shape[1] + 1))  # kernel rows and the constant, turned into Nyström features
+    turn[:-1, :-1], turn[-1, -1] = root, 1.0
+    gram = turn.T @ square @ turn + ridge * np.eye(turn.shape[1])
+    beta = np.linalg.solve(gram, turn.T @ cross)
     return langs, marks, root @ beta[:-1], beta[-1]
 
 
