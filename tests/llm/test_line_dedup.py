@@ -34,9 +34,9 @@ def _plain(rows, tau, least):
     first = {}
     for k, t in sorted((r for r in rows if r[1] is not None), key=lambda r: (r[0] is not None, r[0] or 0)):
         for p, x in enumerate(t.split("\n")):
-            if len(x) >= least:
+            if len(x) >= least or x.strip(" \t\n\x0b\x0c\r"):
                 first.setdefault(x, (k, p))
-    lines = list(first)  # in order of their first places
+    lines = [x for x in first if len(x) >= least]  # in order of their first places
     near = {b for j, b in enumerate(lines) for a in lines[:j] if abs(len(a) - len(b)) <= tau and _edits(a, b) <= tau}
     out = []
     for k, t in rows:
@@ -66,6 +66,23 @@ def test_equals_comparing_all_lines(spark, tau):
     assert got == sorted(_plain(rows, tau, 12), key=str)
 
 
+def test_short_lines_go_as_exact_repeats_only(spark):
+    rows = [(1, "Ietzte.\n\nAll rights\n  \n"), (2, "Ietzte.\nAll right\n\n  \nAll rights"), (3, "Ietzte.")]
+    df = frame(spark, rows, "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_exact, r.n_near, r.text) for r in L.dedup_lines(df).collect()}
+    assert got == {1: (0, 0, rows[0][1]), 2: (2, 0, "All right\n\n  "), 3: (1, 0, "")}
+    assert {r.doc_id: r.n_exact for r in L.dedup_lines(df, short_repeats=False).collect()} == {1: 0, 2: 0, 3: 0}
+
+
+def test_clashing_names(spark):
+    names = ["k", "th", "_drop", "_near", "_h", "h", "line", "pos", "_row", "_key", "_text"]
+    text = "one long line that repeats itself here\n" * 2
+    df = frame(spark, [(1, text), (2, text)], "doc_id bigint, text string").select("doc_id", "text", *[F.lit(c).alias(c) for c in names])
+    out = L.dedup_lines(df)
+    rows = out.collect()
+    assert out.columns[:-3] == df.columns and all(r[c] == c for r in rows for c in names) and sorted(r.n_exact for r in rows) == [1, 2]
+
+
 def test_empty_table(spark):
     assert L.dedup_lines(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
 

@@ -2,7 +2,7 @@
 
 A line goes if it repeats an earlier line, or if an earlier line lies within ``tau`` edits (insertions, deletions,
 substitutions of characters). Earlier means a smaller (doc_id, position). Lines shorter than ``min_chars``
-characters are left alone, or with ``short_repeats`` only go as exact repeats if they hold a word.
+characters only go as exact repeats if they hold a word (not at all without ``short_repeats``).
 
 1. *Exact repeats* collapse by a grouped minimum: one row per distinct line, with its first place.
 2. *Segment index.* A distinct line r is cut into tau + 1 segments. If s lies within tau edits of r, one segment i
@@ -174,7 +174,7 @@ def near_line_pairs(distinct: DataFrame, tau: int = TAU) -> DataFrame:
 
 
 def flag_lines(df: DataFrame, key: str = "doc_id", text: str = "text", tau: int = TAU, min_chars: int = MIN_CHARS,
-               short_repeats: bool = False) -> DataFrame:
+               short_repeats: bool = True) -> DataFrame:
     """(k, th, pos, near): every line that goes; ``near`` is true if an earlier line is near it, false for exact repeats."""
     long = F.length("line") >= min_chars
     lines = _lines(df, key, text).filter(long | F.col("line").rlike(r"[^ \t-\r]") if short_repeats else long)
@@ -205,7 +205,7 @@ def flag_lines(df: DataFrame, key: str = "doc_id", text: str = "text", tau: int
 
 
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", tau: int = TAU, min_chars: int = MIN_CHARS,
-                short_repeats: bool = False) -> DataFrame:
+                short_repeats: bool = True) -> DataFrame:
     """Remove the flagged lines from ``text``; add n_lines, n_exact and n_near (lines before, removed as repeat, as near).
 
     Row count and all other columns stay (columns of the added names are replaced). A null text stays null with 0
@@ -213,19 +213,20 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", tau: int
     text each gets the same result; a null id is earlier than any other.
     """
     names = [c for c in df.columns if c not in ("n_lines", "n_exact", "n_near")]
-    rows = df.select(*names)
-    flagged = flag_lines(rows, key, text, tau, min_chars, short_repeats)
+    # the given columns travel as one struct, so that none of their names meets one of the names used here
+    rows = df.select(F.struct(*names).alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_text"))
+    flagged = flag_lines(rows, "_key", "_text", tau, min_chars, short_repeats)
     drop = (flagged.distinct().groupBy("k", "th").agg(F.collect_list("pos").alias("_drop"), F.count(F.when(F.col("near"), 1)).alias("_near"))
             ).checkpoint()
     size = drop.agg(F.sum(F.size("_drop") + 4)).first()[0] or 0
-    joined = rows.withColumn("_h", F.xxhash64(text)).join(
-        small(drop, size, 4 * SMALL_ROWS), F.col(key).eqNullSafe(F.col("k")) & (F.col("_h") == F.col("th")), "left")
-    parts = F.split(text, "\n")
+    joined = rows.withColumn("_h", F.xxhash64("_text")).join(
+        small(drop, size, 4 * SMALL_ROWS), F.col("_key").eqNullSafe(F.col("k")) & (F.col("_h") == F.col("th")), "left")
+    parts = F.split("_text", "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_drop"))
-    cleaned = F.when(F.col("_drop").isNull(), F.col(text)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
-    n = F.when(F.col(text).isNull(), 0).otherwise(F.size(parts))
+    cleaned = F.when(F.col("_drop").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
+    n = F.when(F.col("_text").isNull(), 0).otherwise(F.size(parts))
     near = F.coalesce("_near", F.lit(0))
-    return joined.select(*[cleaned.alias(c) if c == text else F.col(c) for c in names], n.cast("bigint").alias("n_lines"),
+    return joined.select(*[cleaned.alias(c) if c == text else F.col("_row")[c].alias(c) for c in names], n.cast("bigint").alias("n_lines"),
                          (F.coalesce(F.size("_drop"), F.lit(0)) - near).cast("bigint").alias("n_exact"), near.cast("bigint").alias("n_near"))
 
 
@@ -241,8 +242,10 @@ def dedup_sql(docs: str = "documents") -> str:
     Lines within one edit are found by their one-character deletions, independently of the segment index.
     """
     return f"""ln AS MATERIALIZED (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM {docs}),
-el AS (SELECT *, min((doc_id, pos)) OVER (PARTITION BY line) AS fst FROM ln WHERE length(line) >= {MIN_CHARS}),
-u AS MATERIALIZED (SELECT doc_id, pos, line, length(line) AS n, row_number() OVER (ORDER BY doc_id, pos) AS id FROM el WHERE fst = (doc_id, pos)),
+el AS (SELECT *, min((doc_id, pos)) OVER (PARTITION BY line) AS fst FROM ln
+ WHERE length(line) >= {MIN_CHARS} OR regexp_matches(line, '[^\x20\x09-\x0D]')),
+u AS MATERIALIZED (SELECT doc_id, pos, line, length(line) AS n, row_number() OVER (ORDER BY doc_id, pos) AS id FROM el
+ WHERE fst = (doc_id, pos) AND length(line) >= {MIN_CHARS}),
 v AS MATERIALIZED (SELECT id, n, k, hash(left(line, k - 1) || substr(line, k + 1)) AS hv FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM u)),
 pr AS (SELECT a.id AS x, b.id AS y FROM v a JOIN v b ON a.hv = b.hv AND a.k = b.k AND a.n = b.n AND a.id < b.id
  UNION SELECT least(a.id, u.id), greatest(a.id, u.id) FROM v a JOIN u ON a.hv = hash(u.line) AND a.n = u.n + 1),
