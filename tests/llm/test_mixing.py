@@ -37,3 +37,10 @@ def test_tokens_and_topics(spark):
     df = spark.createDataFrame([(None,), ("",), (" \t\n",), ("a b\x0bc ",), ("| a | b |",), ("x" * 500,)], "t string")
     got = [tuple(r) for r in df.select(mixing.n_tokens(F.col("t")), mixing.form_topic(F.col("t"))).collect()]
     assert got == [(0, "list"), (0, "list"), (0, "list"), (3, "list"), (5, "table"), (1, "prose")]
+
+
+def test_clashing_names(spark):
+    names = ["_w", "_p", "_v_lang", "_g_lang", "_row", "tokens"]
+    df = frame(spark, [(i, "s", "ab"[i % 2], 3 + i) for i in range(20)], "doc_id bigint, source string, lang string, n bigint").select("*", *[F.lit(c).alias(c) for c in names])
+    rows = mixing.mix(df, ["source", "lang"], "n", temper={"source": 1.0, "lang": 1.0}).collect()
+    assert len(rows) == 20 and all(r[c] == c for r in rows for c in names)

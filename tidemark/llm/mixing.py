@@ -86,8 +86,10 @@ def mix(df: DataFrame, dims: list[str], tokens: str, key: str = "doc_id", temper
     Rows that repeat an id are drawn alike. An empty table gives an empty result.
     """
     names = [c for c in df.columns if c not in ("probability", "sampled", "weight")]
-    rows = df.select(*names)
-    cells = rows.groupBy(*dims).agg(F.sum(F.col(tokens)).cast("bigint").alias("tokens")).checkpoint()
+    # the given columns travel as one struct, so that none of their names meets one of the names used here
+    rows = df.select(F.struct(*names).alias("_row"))
+    own = {c: F.col("_row")[c] for c in names}
+    cells = rows.groupBy(*[own[d].alias(d) for d in dims]).agg(F.sum(own[tokens]).cast("bigint").alias("tokens")).checkpoint()
     live = cells.filter("tokens > 0")
     goals = targets or {d: tempered_targets(live, d, (temper or TEMPER)[d]) for d in dims}
     raked = rake(cells, dims, goals, rounds).withColumn("_ratio", F.col("weight") / F.col("tokens"))
@@ -96,13 +98,13 @@ def mix(df: DataFrame, dims: list[str], tokens: str, key: str = "doc_id", temper
                         (F.col("_ratio") / F.lit(top or 1.0)).alias("_p"))
     on = None
     for d in dims:
-        same = F.col(d).eqNullSafe(F.col(f"_v_{d}"))
+        same = own[d].eqNullSafe(F.col(f"_v_{d}"))
         on = same if on is None else on & same
     weighed = rows.join(small(side, n), on, "left")
-    none = F.coalesce(F.col(tokens), F.lit(0)) <= 0
+    none = F.coalesce(own[tokens], F.lit(0)) <= 0
     p = F.when(none, 1.0).otherwise(F.coalesce(F.col("_p"), F.lit(0.0)))
-    return weighed.select(*names, F.when(none, 0.0).otherwise(F.coalesce(F.col("_w"), F.lit(0.0))).alias("weight"),
-                          p.alias("probability"), (unit_draw(F.col(key), seed) < p).alias("sampled"))
+    return weighed.select("_row.*", F.when(none, 0.0).otherwise(F.coalesce(F.col("_w"), F.lit(0.0))).alias("weight"),
+                          p.alias("probability"), (unit_draw(own[key], seed) < p).alias("sampled"))
 
 
 DIMS = ["source", "lang", "topic"]
