@@ -63,3 +63,11 @@ def test_every_rule_fails_its_document(spark):
     assert [got[1000 + k].failed_rule for k in range(4)] == list(planted) and not any(got[1000 + k].base_failed for k in range(4))
     assert all(got[i].kept for i in range(300)) and all(got[2000 + i].kept for i in range(300))
     assert got[2000].n_repeat_words > 0.1 * got[2000].n_words and got[3000].failed_rule == "repeats"
+
+
+def test_clashing_names(spark):
+    names = ["_lang", "_source", "symbols_high", "_row", "rows", "_rows", "_l", "_text"]
+    df = frame(spark, [(k, "word " * (60 + k), "en", "s") for k in range(5)], "doc_id bigint, text string, lang string, source string")
+    df = df.selectExpr("*", *[f"'{c}' AS {c}" for c in names])
+    rows = Q.apply_rules(df).collect()
+    assert len(rows) == 5 and all(r[c] == c for r in rows for c in names) and sorted(r.n_words for r in rows) == [60, 61, 62, 63, 64]

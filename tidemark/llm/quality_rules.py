@@ -156,21 +156,21 @@ def apply_rules(df: DataFrame, text: str = "text", lang: str = "lang", source: s
     """
     added = {*COUNTS, "base_failed", "failed_rule", "kept"}
     names = [c for c in df.columns if c not in added]
-    counted = count_features(df.select(*names), text)
+    kept = [c for c in names if c != text]
+    # the given columns travel as one struct, so that none of their names meets one of the names used here
+    counted = count_features(df.select(F.struct(*kept).alias("_row") if kept else F.lit(None).alias("_row"), F.col(lang).alias("_lang"), F.col(source).alias("_source"),
+                                       F.col(text).alias("_text")), "_text")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
     counted = counted.withColumn("base_failed", failed).checkpoint()
-    limits = fences(counted.filter(~F.col("base_failed")), lang, source, min_rows).checkpoint()
-    limits = limits.withColumnRenamed("lang", "_lang").withColumnRenamed("source", "_source")
-    joined = counted.join(small(limits, limits.count()),
-                          F.col(lang).eqNullSafe(F.col("_lang")) & F.col(source).eqNullSafe(F.col("_source")), "left")
+    limits = fences(counted.filter(~F.col("base_failed")), "_lang", "_source", min_rows).checkpoint()
+    joined = counted.join(small(limits, limits.count()), F.col("_lang").eqNullSafe(F.col("lang")) & F.col("_source").eqNullSafe(F.col("source")), "left")
     broken = F.lit(None).cast("string")
     for r, (metric, _, below, _) in reversed(RULES.items()):
         x = F.expr(metric)
         out_of = (x > F.col(f"{r}_high")) | (x < F.col(f"{r}_low") if below is not None else F.lit(False))
         broken = F.when(F.coalesce(out_of, F.lit(False)), F.lit(r)).otherwise(broken)
     broken = F.when(F.col("base_failed"), F.lit(None).cast("string")).otherwise(broken)
-    kept = [c for c in names if c != text]
-    return joined.select(*kept, *COUNTS, "base_failed", broken.alias("failed_rule")).withColumn(
+    return joined.select(*(["_row.*"] if kept else []), *COUNTS, "base_failed", broken.alias("failed_rule")).withColumn(
         "kept", ~F.col("base_failed") & F.col("failed_rule").isNull())
 
 
