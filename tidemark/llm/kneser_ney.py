@@ -40,6 +40,7 @@ from tidemark.session import ensure_checkpoint_dir
 
 SHARD_BYTES = 16 << 20  # text per shard
 FLUSH = 2_000_000  # counted entries a task holds before it sends them
+MOST_WORDS = (1 << 32) - 1  # an id has 32 bits, one id is the unknown word's
 END = np.uint64(0x3C2F733E3C2F733E)
 _RUN = "kind int, shard bigint, keys binary, counts binary"
 
@@ -299,6 +300,8 @@ def train(df: DataFrame, text: str = "text") -> Model:
     for r in got:
         sizes[r.shard] = r.words
     model.base = np.concatenate(([0], np.cumsum(sizes)))
+    if model.vocabulary >= MOST_WORDS:
+        raise ValueError(f"{model.vocabulary} different words; a bigram key holds {MOST_WORDS} at most")
     model.train_tokens = sum(r.tokens for r in got)
     often = model.train_tokens / (4 * model.shards)
     model.hot = np.array(sorted(model.base[r.shard] + i for r in got for i, n in zip(r.top, r.top_n) if n > often), np.uint64)
