@@ -36,10 +36,27 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
-def with_batches(df: DataFrame, rows: int = 512) -> DataFrame:
-    """Keep the Arrow batches of long texts small (a session setting read when the query is planned)."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df
+class Batched:
+    """A DataFrame whose ``mapInArrow`` hands its function batches of at most ``rows`` rows.
+
+    Spark bounds the bytes of a batch (64 MB); the arrays that the operators make of a batch are several times its size.
+    """
+
+    def __init__(self, df: DataFrame, rows: int):
+        self.df, self.rows = df, rows
+
+    def mapInArrow(self, func, schema) -> DataFrame:  # noqa: N802
+        rows = self.rows
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return func(b.slice(a, rows) for b in batches for a in range(0, b.num_rows, rows))
+
+        return self.df.mapInArrow(run, schema)
+
+
+def with_batches(df: DataFrame, rows: int = 512) -> Batched:
+    """Keep the Arrow batches of long texts small, without a change to the session's settings."""
+    return Batched(df, rows)
 
 
 def lowest_per_group(df: DataFrame, by: str, k: int, order: list[str | Column], salts: int = 16) -> DataFrame:

@@ -215,50 +215,6 @@ def _clusters(token: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
     return label
 
 
-def open_group(sets: list[np.ndarray], side: np.ndarray | None) -> np.ndarray | None:
-    """Link matrix of the sets (ranked, any order); with ``side``, only between different sides. None: no link."""
-    n = np.array([len(s) for s in sets])
-    doc = np.repeat(np.arange(len(sets)), n)
-    tokens, column = np.unique(np.concatenate(sets), return_inverse=True)
-    held = np.bincount(column)
-    if side is not None:
-        right = np.bincount(column, weights=side[doc])
-        others = np.where(side[doc], held[column] - right[column], right[column])
-    else:
-        others = held[column] - 1
-    bound = np.bincount(doc, weights=others > 0, minlength=len(sets))
-    opened = bound >= need(n)  # overlap with the union of the sets it could link with
-    if opened.sum() < 2:
-        return None
-    keep = opened[doc]
-    held = np.bincount(column[keep], minlength=len(tokens))
-    keep &= held[column] > 1
-    number = np.cumsum(held > 1) - 1
-    rows = np.cumsum(opened) - 1
-    d, c = rows[doc[keep]], number[column[keep]]
-    m, width = int(opened.sum()), int((held > 1).sum())
-    overlap = np.zeros((m, m), np.float32)
-    step = max(1, CELLS // m)
-    order = np.argsort(c, kind="stable")
-    d, c = d[order], c[order]
-    for a in range(0, width, step):
-        lo, hi = np.searchsorted(c, [a, a + step])
-        present = np.zeros((m, min(step, width - a)), np.float32)
-        present[d[lo:hi], c[lo:hi] - a] = 1
-        overlap += present @ present.T
-    size = n[opened].astype(np.float64)
-    link = 100 * overlap.astype(np.float64) >= PERCENT * (size[:, None] + size[None, :] - overlap)
-    if side is not None:
-        link &= side[opened][:, None] != side[opened][None, :]
-    np.fill_diagonal(link, False)
-    if not link.any():
-        return None
-    out = np.zeros((len(sets), len(sets)), bool)
-    at = np.flatnonzero(opened)
-    out[np.ix_(at, at)] = link
-    return out
-
-
 def _meetings(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray | None, list[np.ndarray]]]:
     """Per pair of groups in a batch of (p, i, j, cid, g, ..., array): rows, side of each (None: one group), arrays."""
     p, i, j, cid, g = (batch.column(k).to_numpy() for k in range(5))
