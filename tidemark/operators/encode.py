@@ -54,6 +54,20 @@ def factorize(df: DataFrame, col: str, order_key: str, code: str = "code") -> Da
     return apply_codes(df, fit_factorize(df, col, order_key, code), col, code)
 
 
+def factorize_columns(df: DataFrame, codes: dict[str, str], order_key: str) -> DataFrame:
+    """``factorize`` of several columns (column -> name of its codes) from one pass over ``df``: the first appearances
+    of all columns' values, held as text, come from one aggregate."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in codes])
+    firsts = (df.select(F.col(order_key).alias("_k"), F.explode(pairs).alias("_p")).where(F.col("_p.v").isNotNull())
+              .groupBy(F.col("_p.c").alias("_c"), F.col("_p.v").alias("_v")).agg(F.min("_k").alias("_first")))
+    fitted = ordered_index(firsts, ["_c"], [F.col("_first"), F.col("_v")], name="_rn").checkpoint()
+    for c, code in codes.items():
+        own = fitted.where(F.col("_c") == c).select("_v", (F.col("_rn") - 1).cast("int").alias(code))
+        df = _join_small(df.withColumn("_v", F.col(c).cast("string")), own, ["_v"], null_safe=False)
+        df = df.withColumn(code, F.coalesce(F.col(code), F.lit(-1)).cast("int")).drop("_v")
+    return df
+
+
 # ---- C3 / C4: sorted label codes and the class map --------------------------------------------
 
 def fit_label_encoder(df: DataFrame, col: str, code: str = "code") -> DataFrame:

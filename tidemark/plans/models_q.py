@@ -10,7 +10,7 @@ import dataclasses
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import boost, clean, encode, lagfit, metrics, models, network, recurrent, sampling, select, series, text, vectors
+from tidemark.operators import boost, clean, encode, kernel, lagfit, metrics, models, network, recurrent, sampling, select, series, text, vectors
 from tidemark.plans.prices_q import CS, SCALED, P
 from tidemark.plans.tickets_q import RATING, _rated
 from tidemark.sources import fixtures, io
@@ -40,8 +40,7 @@ def _ticket_rows(spark, sf, test_frac=0.25, seed=42):
     r = _rated(spark, sf)
     e = text.embed_columns(r, "ticket_id", TEXT_COLUMNS, dim=TEXT_DIM, out="_e")
     r = r.select("ticket_id", "customer_age", "customer_gender", "ticket_priority", "resolution_duration", RATING)
-    r = encode.factorize(r, "customer_gender", "ticket_id", "gender_code")
-    r = encode.factorize(r, "ticket_priority", "ticket_id", "priority_code")
+    r = encode.factorize_columns(r, {"customer_gender": "gender_code", "ticket_priority": "priority_code"}, "ticket_id")
     fitted = encode.fit_label_encoder(r, RATING, "label")
     r = encode.apply_codes(r, fitted, RATING, "label").withColumn("label", F.col("label").cast("double"))
     r = r.na.fill(0.0, subset=["resolution_duration"])
@@ -161,6 +160,16 @@ def svc_classify(spark, sf):
     return _pred_out(m, d.where(F.col("split") == "valid"), "vec_id", "gold")
 
 
+@reg("rbf_svc_classify")
+def rbf_svc_classify(spark, sf):
+    """Support vectors with a Gaussian kernel by random Fourier features, on the vectors."""
+    v = fixtures.vectors(spark, sf).withColumn("gold", F.col("gold").cast("double")).checkpoint()
+    train = v.where(F.col("split") == "train")
+    gamma = kernel.scale_gamma(train, "embedding")
+    m = models.linear_svc(kernel.as_features(train, "embedding", gamma), "gold", reg_param=1e-3)
+    return _pred_out(m, kernel.as_features(v.where(F.col("split") == "valid"), "embedding", gamma), "vec_id", "gold")
+
+
 @reg("mlp_classify")
 def mlp_classify(spark, sf):
     d = _vec_split(spark, sf)

@@ -215,9 +215,7 @@ def _fact_sql(col, src, code):
     + _fact_sql(RATING, "rated", "r")))
 def factorize(spark, sf):
     r = _rated(spark, sf).select("ticket_id", "customer_gender", "ticket_priority", RATING)
-    r = encode.factorize(r, "customer_gender", "ticket_id", "gender_code")
-    r = encode.factorize(r, "ticket_priority", "ticket_id", "priority_code")
-    r = encode.factorize(r, RATING, "ticket_id", "rating_code")
+    r = encode.factorize_columns(r, {"customer_gender": "gender_code", "ticket_priority": "priority_code", RATING: "rating_code"}, "ticket_id")
     return r.select("ticket_id", "gender_code", "priority_code", "rating_code")
 
 
