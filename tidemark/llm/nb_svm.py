@@ -204,10 +204,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
 
     def labelled(marks: DataFrame) -> DataFrame:
-        return with_batches(rows.join(marks, F.col("_key") == F.col("_k")))
+        return rows.join(marks, F.col("_key") == F.col("_k"))
 
     every = labelled(small(marked, marked.count()))
-    got = every.select("_text", "_y", "_fit").mapInArrow(_count, "bin int, n0 bigint, n1 bigint").groupBy("bin").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
+    got = with_batches(every.select("_text", "_y", "_fit")).mapInArrow(_count, "bin int, n0 bigint, n1 bigint").groupBy("bin").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
     at, counts = got.column("bin").to_numpy(), np.zeros((2, 1 << BITS))
     real = at >= 0
     for y in (0, 1):
@@ -224,10 +224,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.list_(pa.int32()))], names=["piece", "id", "y", "calibrate", "bins"])
 
     hashed = F.xxhash64(F.lit(12), "_k")
-    table = (labelled(F.broadcast(marked.filter("_fit")))
-             .select("_text", F.pmod(hashed, F.lit(pieces)).cast("int").alias("piece"), hashed.alias("id"), F.col("_y").alias("y"),
-                     (F.pmod(F.xxhash64(F.lit(13), "_k"), F.lit(CALIBRATE)) == 0).alias("calibrate"))
-             .mapInArrow(features, "piece int, id bigint, y int, calibrate boolean, bins array<int>")
+    chosen = labelled(F.broadcast(marked.filter("_fit"))).select(
+        "_text", F.pmod(hashed, F.lit(pieces)).cast("int").alias("piece"), hashed.alias("id"), F.col("_y").alias("y"),
+        (F.pmod(F.xxhash64(F.lit(13), "_k"), F.lit(CALIBRATE)) == 0).alias("calibrate"))
+    table = (with_batches(chosen).mapInArrow(features, "piece int, id bigint, y int, calibrate boolean, bins array<int>")
              .repartition(pieces, "piece").sortWithinPartitions("piece", "id", F.xxhash64("bins"))).checkpoint()
     w, margins, y = solve(table, ratio)
     return Model(ratio, w, *logistic(margins, (y > 0).astype(float)))
