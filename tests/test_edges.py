@@ -54,6 +54,36 @@ def test_exact_quantiles_match_numpy(spark):
     assert all(abs(q[f"q_{i}"] - ref[i]) < 1e-12 for i in range(4))
 
 
+def test_narrowed_quantiles_of_groups_with_ties_and_infinities(spark):
+    rng = np.random.default_rng(1)
+    groups = {
+        "heavy": np.concatenate([np.zeros(4000), rng.exponential(size=2500), [1e300, -1e300]]),
+        "spread": np.exp(rng.normal(size=5000) * 40),
+        "equal": np.full(3000, 2.5),
+        "few": np.array([1.0, 2.0]),
+        "one": np.array([7.0]),
+        "ends": np.concatenate([np.full(900, -np.inf), rng.integers(0, 50, 3000), np.full(900, np.inf)]),
+        None: rng.integers(0, 5, 2000).astype(float),
+    }
+    rows = [(g, float(x)) for g, xs in groups.items() for x in xs]
+    df = spark.createDataFrame(rows, "g string, _v double").repartition(7)
+    qs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
+    got = {r.g: [r[f"q_{i}"] for i in range(len(qs))] for r in profile._narrowed_quantiles(df, qs, ["g"], gather=20).collect()}
+    assert set(got) == set(groups)
+    for g, xs in groups.items():
+        xs = np.sort(xs)
+        for q, x in zip(qs, got[g]):
+            h = (len(xs) - 1) * q
+            a, b = xs[int(np.floor(h))], xs[int(np.ceil(h))]
+            ref = a if a == b else a + (b - a) * (h - np.floor(h))
+            assert x == ref or abs(x - ref) <= 1e-12 * abs(ref), (g, q, x, ref)
+
+
+def test_quantiles_of_no_rows(spark):
+    df = spark.createDataFrame([(None,), (float("nan"),)], "x double")
+    assert tuple(profile.exact_quantiles(df, "x", [0.5]).first()) == (None,)
+
+
 def test_ties_and_leaderboard(spark):
     m = spark.createDataFrame([(0, 0.5), (1, 0.7), (2, 0.7), (3, 0.1)], "config_id int, mcc double")
     lb = {r.config_id: r.position for r in select.leaderboard(m, "mcc", "config_id").collect()}
@@ -148,6 +178,27 @@ def test_bootstrap_sizes_and_determinism(spark):
     assert key(a) == key(b)
 
 
+def test_bootstrap_counts_equal_the_draws(spark):
+    df = spark.createDataFrame([(i,) for i in range(50)], "id long")
+    drawn = {(r.id, r.replicate): r["count"] for r in sampling.bootstrap(df, "id", 3, 7).groupBy("id", "replicate").count().collect()}
+    rows = sampling.bootstrap_counts(df.repartition(5), "id", 3, 7).collect()
+    assert len(rows) == 50
+    assert all(r.draws == [drawn.get((r.id, k), 0) for k in range(3)] for r in rows)
+    assert sampling.bootstrap_counts(df.limit(0), "id", 3, 7).collect() == []
+
+
+def test_knn_copies_count_as_rows(spark):
+    import random
+    rng = random.Random(3)
+    train = [(i, [rng.random(), rng.random()], rng.randint(0, 1), rng.choice([1, 1, 2, 4, 9])) for i in range(60)]
+    q = spark.createDataFrame([(1000 + i, [rng.random(), rng.random()]) for i in range(40)], "id long, embedding array<double>")
+    once = spark.createDataFrame(train, "id long, embedding array<double>, y int, c int")
+    spread = spark.createDataFrame([(i * 100 + j, v, y) for i, v, y, c in train for j in range(c)], "id long, embedding array<double>, y int")
+    a = vectors.knn_classify(q, once, 5, "id", "id", "y", copies="c").collect()
+    b = vectors.knn_classify(q, spread, 5, "id", "id", "y").collect()
+    assert sorted(a) == sorted(b) and len(a) == 40
+
+
 @pytest.mark.parametrize("arrival", ["descending", "shuffled"])
 @pytest.mark.parametrize("block_rows", [4, 7, 64, 16384])
 def test_knn_ties_do_not_depend_on_arrival_or_blocks(spark, arrival, block_rows):

@@ -53,10 +53,11 @@ def forecast(model, windows: DataFrame, x: str = "x", out: str = "pred") -> Data
 
 # ---- J2-J8: classifiers ---------------------------------------------------------------------------
 
-def random_forest(train: DataFrame, label: str, num_trees: int = 100, seed: int = 42, max_depth: int = 5):
+def random_forest(train: DataFrame, label: str, num_trees: int = 100, seed: int = 42, max_depth: int = 5, weight: str | None = None):
     from pyspark.ml.classification import RandomForestClassifier
 
-    return RandomForestClassifier(labelCol=label, numTrees=num_trees, seed=seed, maxDepth=max_depth).fit(train)
+    rf = RandomForestClassifier(labelCol=label, numTrees=num_trees, seed=seed, maxDepth=max_depth)
+    return (rf.setWeightCol(weight) if weight else rf).fit(train)
 
 
 def boosted_ovr(train: DataFrame, label: str, rounds: int = 100, seed: int = 42, parallelism: int = 4):
@@ -77,10 +78,11 @@ def logistic(train: DataFrame, label: str, reg_param: float = 0.0, weight: str |
     return lr.fit(train)
 
 
-def linear_svc(train: DataFrame, label: str, reg_param: float = 0.0, max_iter: int = 100):
+def linear_svc(train: DataFrame, label: str, reg_param: float = 0.0, max_iter: int = 100, weight: str | None = None):
     from pyspark.ml.classification import LinearSVC
 
-    return LinearSVC(labelCol=label, regParam=reg_param, maxIter=max_iter).fit(train)
+    svc = LinearSVC(labelCol=label, regParam=reg_param, maxIter=max_iter)
+    return (svc.setWeightCol(weight) if weight else svc).fit(train)
 
 
 def mlp(train: DataFrame, label: str, layers, seed: int = 42, max_iter: int = 100, block_size: int = 128):
@@ -225,27 +227,28 @@ def bagging_votes(train: DataFrame, score: DataFrame, key: str, label: str, repl
                   parallelism: int = 4) -> DataFrame:
     """Long vote table ``(key, family, replicate, pred)``: every family is fitted on
     each bootstrap replicate (seed + replicate) and predicts ``score``. The
+    replicates are weights on one checkpointed copy of the training rows (a row drawn
+    three times weighs three; for the neighbours it stands there three times). The
     replicate x family fits are independent Spark jobs submitted from a few
     driver threads, so they share the cluster instead of queueing."""
     from concurrent.futures import ThreadPoolExecutor
 
-    from tidemark.operators.sampling import bootstrap
+    from tidemark.operators.sampling import bootstrap_counts
     from tidemark.operators.vectors import knn_classify
 
     spark = train.sparkSession
-    boots = bootstrap(train, key, replicates, seed).checkpoint(eager=True)
+    drawn = bootstrap_counts(train, key, replicates, seed, "_draws").checkpoint(eager=True)
 
     def one(task):
         r, fam = task
-        sample = boots.where(F.col("replicate") == r).drop("replicate")
+        sample = drawn.withColumn("_w", F.col("_draws")[r].cast("double")).where(F.col("_w") > 0).drop("_draws")
         if fam == "knn":
-            ref = sample.withColumn("_rid", F.col("draw")).select("_rid", knn_vec, label)
-            pr = knn_classify(score.select(key, knn_vec), ref, 5, key, "_rid", label, knn_vec)
+            pr = knn_classify(score.select(key, knn_vec), sample.select(key, knn_vec, label, "_w"), 5, key, key, label, knn_vec, copies="_w")
             v = pr.select(key, F.col("pred").cast("int").alias("pred"))
         else:
             fit = {"lr": logistic, "svc": linear_svc,
-                   "rf": lambda d, lab: random_forest(d, lab, 100, seed + r)}[fam]
-            m = fit(sample, label)
+                   "rf": lambda d, lab, weight: random_forest(d, lab, 100, seed + r, weight=weight)}[fam]
+            m = fit(sample, label, weight="_w")
             v = m.transform(score).select(key, F.col("prediction").cast("int").alias("pred"))
         v = v.withColumn("family", F.lit(fam)).withColumn("replicate", F.lit(r))
         return v.checkpoint(eager=True)  # small: one vote per scored row

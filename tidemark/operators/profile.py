@@ -9,11 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordering import ordered_index
-
 
 def value_counts(df: DataFrame, col: str, name: str = "count") -> DataFrame:
     """Count per non-null value, most frequent first, then by value."""
@@ -69,42 +67,69 @@ def crosstab(df: DataFrame, a: str, b: str, values: Sequence | None = None,
     return out.na.fill(0, subset=names).orderBy(a)
 
 
-def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[str] = (),
-                    n: int | None = None) -> DataFrame:
-    """Exact linear-interpolation quantiles (pandas / DuckDB ``quantile_cont``).
+# Values of one group that a task may sort for one quantile; sketches narrow the interval until it holds no more.
+GATHER_ROWS = 65_536
+_GRID, _ACCURACY = 1_000, 10_000
+
 
-    Values are ranked with a range shuffle (``ordered_index``), so no task holds a
-    whole group; only the <= 2 rows around each quantile position are kept and
-    interpolated. Result: one row per group with columns ``q_<i>``. ``n`` (the
-    non-null count, ungrouped case) skips a counting pass when the caller has it.
+def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Exact linear-interpolation quantiles (pandas / DuckDB ``quantile_cont``) of all groups at once.
+
+    The values are written once to the checkpoint folder and never exchanged. An interval around each quantile's
+    ranks starts as the whole line. While more than ``GATHER_ROWS`` values lie inside it, a mergeable sketch of the
+    values inside gives a grid of 1,000 approximate quantiles, the interval shrinks to the few grid steps that must
+    hold the ranks, and one aggregate counts the values below, at and between its ends exactly. A round leaves less
+    than a hundredth of the values, so 10^12 need five; equal values sit on an end, however many they are. The rest
+    is counted by value and read off. Result: one row per group with columns ``q_<i>``; without ``by`` one row, null
+    if there is no value.
     """
-    by = list(by)
-    vals = df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col))).select(*by, F.col(col).cast("double").alias("_v"))
-    ranked = ordered_index(vals, by, [F.col("_v")], name="_r")
-    sizes = vals.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")) if by else vals.agg(F.count(F.lit(1)).alias("_n"))
-    # position h = (n-1) q (0-based); keep ranks floor(h)+1 and ceil(h)+1
-    if by:
-        from tidemark.operators.encode import _join_small
-        joined = _join_small(ranked, sizes, by, how="inner")
-    else:
-        n = sizes.first()[0] if n is None else n
-        joined = ranked.withColumn("_n", F.lit(n))
-    aggs = []
-    for i, q in enumerate(qs):
-        h = (F.col("_n") - 1) * F.lit(float(q))
-        lo = F.floor(h) + 1
-        hi = F.ceil(h) + 1
-        frac = h - F.floor(h)
-        v_lo = F.max(F.when(F.col("_r") == lo, F.col("_v")))
-        v_hi = F.max(F.when(F.col("_r") == hi, F.col("_v")))
-        aggs.append((v_lo + (v_hi - v_lo) * F.max(frac)).alias(f"q_{i}"))
-    keep = None
-    for q in qs:
-        h = (F.col("_n") - 1) * F.lit(float(q))
-        c = (F.col("_r") == F.floor(h) + 1) | (F.col("_r") == F.ceil(h) + 1)
-        keep = c if keep is None else keep | c
-    picked = joined.where(keep)
-    return picked.groupBy(*by).agg(*aggs) if by else picked.agg(*aggs)
+    vals = df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double"))).select(*by, F.col(col).cast("double").alias("_v"))
+    return _narrowed_quantiles(vals.checkpoint(eager=True), qs, list(by))
+
+
+def _narrowed_quantiles(vals: DataFrame, qs: Sequence[float], by: list[str], gather: int = GATHER_ROWS) -> DataFrame:
+    from tidemark.operators.encode import _join_small
+
+    keys = by or ["_g"]
+    if not by:
+        vals = vals.withColumn("_g", F.lit(0))
+    v, lo, hi = F.col("_v"), F.col("_lo"), F.col("_hi")
+    first_in, first_hi = F.col("_below") + F.col("_at"), F.col("_below") + F.col("_at") + F.col("_in")
+    counts = [F.count(F.when(v < lo, 1)).alias("_below"), F.count(F.when(v == lo, 1)).alias("_at"),
+              F.count(F.when((v > lo) & (v < hi), 1)).alias("_in"), F.count(F.when(v == hi, 1)).alias("_top")]
+    h = (F.col("_n") - 1) * F.element_at(F.array(*[F.lit(float(q)) for q in qs]), F.col("_q") + 1)
+    ranks = [F.floor(h).alias("_r0"), F.ceil(h).alias("_r1"), (h - F.floor(h)).alias("_frac")]  # from 0
+    sizes = (vals.withColumn("_lo", F.lit(float("-inf"))).withColumn("_hi", F.lit(float("inf")))
+             .groupBy(*keys, "_lo", "_hi").agg(F.count(F.lit(1)).alias("_n"), *counts))
+    bounds = (sizes.withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(len(qs) - 1)))).select("*", *ranks).drop("_n")
+              .checkpoint(eager=True))
+    fixed = [*keys, "_q", "_r0", "_r1", "_frac"]
+    inside = (F.col("_r1") >= first_in) & (F.col("_r0") < first_hi)  # a rank lies between the ends
+    wide = inside & (F.col("_in") > gather)
+    while not bounds.where(wide).isEmpty():
+        todo = bounds.where(wide)
+        within = _join_small(vals, todo, keys, how="inner").where((v > lo) & (v < hi))
+        grid = within.groupBy(*keys, "_q").agg(F.percentile_approx("_v", [k / _GRID for k in range(_GRID + 1)], _ACCURACY).alias("_grid"))
+        # 0-based ranks among the values inside; one grid step to either side is ten times the sketch's rank error
+        r0, r1 = F.greatest(F.col("_r0") - first_in, F.lit(0)), F.least(F.col("_r1") - first_in, F.col("_in") - 1)
+        left = F.floor(r0 * F.lit(float(_GRID)) / F.col("_in")).cast("int") - 1
+        right = F.ceil((r1 + 1) * F.lit(float(_GRID)) / F.col("_in")).cast("int") + 1
+        new_lo = F.when((left < 0) | (F.col("_r0") < first_in), lo).otherwise(F.get("_grid", left))
+        new_hi = F.when((right > _GRID) | (F.col("_r1") >= first_hi), hi).otherwise(F.get("_grid", right))
+        moved = _join_small(todo, grid, [*keys, "_q"], how="inner").select(*fixed, new_lo.alias("_lo"), new_hi.alias("_hi")).checkpoint(eager=True)
+        counted = _join_small(vals, moved, keys, how="inner").groupBy(*fixed, "_lo", "_hi").agg(*counts)
+        bounds = bounds.where(~wide).unionByName(counted).checkpoint(eager=True)
+    left = _join_small(vals, bounds.where(inside), keys, how="inner").where((v > lo) & (v < hi))
+    by_value = left.groupBy(*fixed, "_below", "_at", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    upto = first_in + F.sum("_c").over(Window.partitionBy(*keys, "_q").orderBy("_v"))  # at most ``gather`` rows
+    read = (by_value.withColumn("_upto", upto).groupBy(*keys, "_q")
+            .agg(*[F.min(F.when(F.col("_upto") > F.col(k), v)).alias(f"{k}_v") for k in ("_r0", "_r1")]))
+    both = _join_small(bounds, read, [*keys, "_q"], how="left")
+    v0, v1 = [F.when(F.col(k) < first_in, lo).when(F.col(k) >= first_hi, hi).otherwise(F.col(f"{k}_v")) for k in ("_r0", "_r1")]
+    missed = (F.col("_r0") < F.col("_below")) | (F.col("_r1") >= first_hi + F.col("_top"))  # beyond the sketch's error bound
+    value = F.when(missed, F.raise_error(F.lit("a quantile lies outside its interval"))).when(v0 == v1, v0).otherwise(v0 + (v1 - v0) * F.col("_frac"))
+    aggs = [F.max(F.when(F.col("_q") == i, value)).alias(f"q_{i}") for i in range(len(qs))]
+    return both.groupBy(*by).agg(*aggs) if by else both.agg(*aggs)
 
 
 def describe(df: DataFrame, col: str, digits: int | None = 2, exact: bool = True) -> DataFrame:
@@ -114,14 +139,14 @@ def describe(df: DataFrame, col: str, digits: int | None = 2, exact: bool = True
     """
     x = F.col(col).cast("double")
     # the cleaned value column is written once to the checkpoint folder: moments,
-    # ranking and counting then read n doubles instead of recomputing the input plan
+    # quantiles then read n doubles instead of recomputing the input plan
     vals = df.select(x.alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan(F.col("_x"))).checkpoint(eager=True)
     v = F.col("_x")
     moments = vals.agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
                        F.min(v).alias("min"), F.max(v).alias("max"))
     m = moments.first()
     if exact:
-        qs = exact_quantiles(vals, "_x", [0.25, 0.5, 0.75], n=m["count"]).select(
+        qs = _narrowed_quantiles(vals.select(F.col("_x").alias("_v")), [0.25, 0.5, 0.75], []).select(
             F.col("q_0").alias("p25"), F.col("q_1").alias("p50"), F.col("q_2").alias("p75"))
     else:
         qs = vals.agg(F.percentile_approx(v, [0.25, 0.5, 0.75], 10000).alias("_p")).select(

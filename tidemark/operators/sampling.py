@@ -32,6 +32,15 @@ def kfold_assign(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42
     return idx.withColumn(out, ((F.col("_rn") - 1) % F.lit(k)).cast("int")).drop("_rn")
 
 
+def _draws(spark: SparkSession, n: int, replicates: int, seed: int) -> DataFrame:
+    """``(replicate, draw, _pick)``: draw j of replicate r picks dense index ``int(md5('<seed+r>:<j>')[0:15], 16) mod n + 1``."""
+    draws = spark.range(n * replicates).select(
+        (F.col("id") / F.lit(n)).cast("long").cast("int").alias("replicate"),
+        (F.col("id") % F.lit(n)).alias("draw"))
+    h = F.md5(F.concat((F.col("replicate") + F.lit(seed)).cast("string"), F.lit(":"), F.col("draw").cast("string")))
+    return draws.withColumn("_pick", F.conv(F.substring(h, 1, 15), 16, 10).cast("long") % F.lit(n) + 1)
+
+
 def bootstrap(df: DataFrame, key: str, replicates: int = 10, seed: int = 42) -> DataFrame:
     """``replicates`` samples with replacement of the same size as ``df``.
 
@@ -45,14 +54,25 @@ def bootstrap(df: DataFrame, key: str, replicates: int = 10, seed: int = 42) ->
     n = df.count()
     if n == 0:
         return idx.drop("_idx").withColumn("replicate", F.lit(0)).withColumn("draw", F.lit(0).cast("long")).limit(0)
-    draws = spark.range(n * replicates).select(
-        (F.col("id") / F.lit(n)).cast("long").cast("int").alias("replicate"),
-        (F.col("id") % F.lit(n)).alias("draw"))
-    h = F.md5(F.concat((F.col("replicate") + F.lit(seed)).cast("string"), F.lit(":"), F.col("draw").cast("string")))
-    draws = draws.withColumn("_pick", F.conv(F.substring(h, 1, 15), 16, 10).cast("long") % F.lit(n) + 1)
+    draws = _draws(spark, n, replicates, seed)
     return draws.join(idx, draws["_pick"] == idx["_idx"]).drop("_pick", "_idx")
 
 
+def bootstrap_counts(df: DataFrame, key: str, replicates: int = 10, seed: int = 42, out: str = "draws") -> DataFrame:
+    """The samples of ``bootstrap`` as multiplicities: every row once, with an int array ``out`` of how often each
+    replicate draws it (zeros included). Fits read one table by weight instead of ``replicates`` copies of the rows;
+    only (replicate, index) pairs are exchanged."""
+    idx = ordered_index(df, None, [F.col(key)], name="_idx")
+    n = idx.count()
+    none = F.array_repeat(F.lit(0), replicates)
+    if n == 0:
+        return idx.drop("_idx").withColumn(out, none)
+    per_row = _draws(df.sparkSession, n, replicates, seed).groupBy("_pick").agg(
+        F.array(*[F.count(F.when(F.col("replicate") == r, True)).cast("int") for r in range(replicates)]).alias("_drawn"))
+    joined = idx.join(per_row, F.col("_idx") == F.col("_pick"), "left")
+    return joined.withColumn(out, F.coalesce("_drawn", none)).drop("_idx", "_pick", "_drawn")
+
+
 def class_weights(df: DataFrame, label: str, mode: str = "balanced", out: str = "weight") -> DataFrame:
     """Per-class loss weights (R5): ``balanced`` = n / (k * n_c); ``uniform`` = 1."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))

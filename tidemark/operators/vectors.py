@@ -118,11 +118,16 @@ def knn(queries: DataFrame, reference: DataFrame, k: int, qkey: str, rkey: str,
 
 
 def knn_classify(queries: DataFrame, train: DataFrame, k: int, qkey: str, rkey: str, label: str,
-                 vec: str = "embedding") -> DataFrame:
-    """Majority label of the k nearest training rows; smaller label on ties."""
+                 vec: str = "embedding", copies: str | None = None) -> DataFrame:
+    """Majority label of the k nearest training rows; smaller label on ties (J7). With ``copies`` a training row
+    stands there that many times (at least once) and takes as many of the k places."""
     nn = knn(queries, train, k, qkey, rkey, vec)
-    lab = train.select(F.col(rkey).alias("r_id"), F.col(label).alias("_lab"))
-    votes = nn.join(lab, "r_id").groupBy("q_id", "_lab").agg(F.count(F.lit(1)).alias("_v"))
+    lab = train.select(F.col(rkey).alias("r_id"), F.col(label).alias("_lab"), (F.col(copies) if copies else F.lit(1)).cast("long").alias("_c"))
+    near = nn.join(lab, "r_id")
+    if copies:  # at most k rows a query
+        before = F.coalesce(F.sum("_c").over(Window.partitionBy("q_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        near = near.withColumn("_c", F.least(F.col("_c"), F.lit(k) - before)).where(F.col("_c") > 0)
+    votes = near.groupBy("q_id", "_lab").agg(F.sum("_c").alias("_v"))
     best = votes.groupBy("q_id").agg(F.max_by(F.col("_lab"), F.struct(F.col("_v"), -F.col("_lab"))).alias("pred"))
     return best.select(F.col("q_id").alias(qkey), "pred")
 

@@ -168,6 +168,20 @@ def bootstrap(spark, sf):
     return sampling.bootstrap(tr, "vec_id", 10, 42).select("replicate", "draw", "vec_id")
 
 
+@reg("bootstrap_counts", V(f"""
+WITH tr AS (SELECT vec_id FROM vectors WHERE split = 'train'),
+idx AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS i, count(*) OVER () AS n FROM tr),
+nn AS (SELECT max(n) AS n FROM idx),
+r AS (SELECT CAST(range AS INT) AS replicate FROM range(10)),
+d AS (SELECT replicate, range AS draw FROM r, range((SELECT n FROM nn))),
+c AS (SELECT replicate, {H.format(s="CAST(replicate + 42 AS VARCHAR) || ':' || CAST(draw AS VARCHAR)")} % (SELECT n FROM nn) + 1 AS i, count(*) AS c FROM d GROUP BY 1, 2)
+SELECT vec_id, replicate, CAST(coalesce(c, 0) AS INT) AS draws FROM idx CROSS JOIN r LEFT JOIN c USING (i, replicate)"""))
+def bootstrap_counts(spark, sf):
+    """How often each replicate draws each training row (R4 as weights)."""
+    d = sampling.bootstrap_counts(_train(spark, sf).select("vec_id"), "vec_id", 10, 42)
+    return d.select("vec_id", F.posexplode("draws").alias("replicate", "draws"))
+
+
 def _feature_mcc(spark, sf):
     tr = _train(spark, sf).select("vec_id", "gold", F.posexplode("embedding").alias("config_id", "v"))
     pr = tr.select("config_id", F.col("gold").alias("y"), (F.col("v") > 0).cast("int").alias("p"))
