@@ -10,7 +10,7 @@ import dataclasses
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import boost, clean, encode, kernel, lagfit, metrics, models, network, recurrent, sampling, select, series, text, vectors
+from tidemark.operators import boost, clean, encode, kernel, lagfit, metrics, models, network, recurrent, sampling, select, series, svd_text, text, vectors
 from tidemark.plans.prices_q import CS, SCALED, P
 from tidemark.plans.tickets_q import RATING, _rated
 from tidemark.sources import fixtures, io
@@ -267,6 +267,16 @@ def text_classify(spark, sf):
     return _pred_out(m, n.where(F.col("split") == "valid"), "doc_id", "gold")
 
 
+@reg("svd_text_classify")
+def svd_text_classify(spark, sf):
+    """Dense text encoder learned from the training texts, then logistic regression on its vectors."""
+    n = fixtures.news(spark, sf).withColumn("gold", F.col("gold").cast("double"))
+    model = svd_text.fit_text_svd(n.where(F.col("split") == "train"), "text")
+    d = n.select("doc_id", "gold", "split").join(svd_text.encode_text(n, "doc_id", "text", model), "doc_id")
+    d = models.as_vector(d, "embedding").checkpoint()
+    return _pred_out(models.logistic(d.where(F.col("split") == "train"), "gold"), d.where(F.col("split") == "valid"), "doc_id", "gold")
+
+
 @reg("ticket_text_classify")
 def ticket_text_classify(spark, sf):
     """Rating from the ticket's text template, on all rated tickets with a stratified fifth held out: the held-out
