@@ -84,6 +84,21 @@ def test_text_models_report_and_importances(spark):
     assert len(top) == 10 and [r.importance for r in top] == sorted((r.importance for r in top), reverse=True) and sum(r.importance for r in top) <= 1 + 1e-9
 
 
+def test_bagging_fits_by_weight_vote_like_fits_on_copies(spark):
+    from pyspark.ml.functions import array_to_vector
+    from tidemark.operators import sampling
+
+    v = fixtures.vectors(spark, SF_SMALL).select("vec_id", "split", F.col("gold").cast("double").alias("gold"), F.slice("embedding", 1, 4).alias("e"))
+    v = v.withColumn("features", array_to_vector(F.col("e").cast("array<double>")))
+    tr, va = v.where("split = 'train'"), v.where("split = 'valid'")
+    votes = models.bagging_votes(tr, va, "vec_id", "gold", 2, 42, knn_vec="e", families=("lr", "knn")).collect()
+    assert len(votes) == 4 * va.count() and {r.pred for r in votes} <= {0, 1}
+    copies = sampling.bootstrap(tr, "vec_id", 1, 42)
+    on_copies = {r.vec_id: r.prediction for r in models.logistic(copies, "gold").transform(va).collect()}
+    same = [r.pred == on_copies[r.vec_id] for r in votes if r.family == "lr" and r.replicate == 0]
+    assert np.mean(same) >= 0.95
+
+
 def test_random_search_is_whole_and_repeats(spark):
     a = Q["boost_random_search"](spark, SF_SMALL).collect()
     assert len(a) == 20 and all(-1 <= r.cv_mcc <= 1 for r in a) and len({r.config_id for r in a}) == 20
