@@ -75,7 +75,8 @@ _GRID, _ACCURACY = 1_000, 10_000
 def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Exact linear-interpolation quantiles (pandas / DuckDB ``quantile_cont``) of all groups at once.
 
-    The values are written once to the checkpoint folder and never exchanged. An interval around each quantile's
+    The values are written once to the checkpoint folder and not exchanged, as long as the intervals (one per group
+    and quantile) are few enough to be broadcast. An interval around each quantile's
     ranks starts as the whole line. While more than ``GATHER_ROWS`` values lie inside it, a mergeable sketch of the
     values inside gives a grid of 1,000 approximate quantiles, the interval shrinks to the few grid steps that must
     hold the ranks, and one aggregate counts the values below, at and between its ends exactly. A round leaves less
