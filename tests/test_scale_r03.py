@@ -31,3 +31,22 @@ def test_booster_blocks_follow_cells_and_cores(spark):
     assert boost.make_blocks(df, edges, "x", "y", "id").count() == 1  # 70 kB of bins
     many = boost.make_blocks(df, edges, "x", "y", "id", block_rows=60_000)
     assert many.count() == spark.sparkContext.defaultParallelism and many.rdd.getNumPartitions() == many.count()
+
+
+def test_configurations_are_dealt_by_their_cost():
+    states = [network.State(network.Config(batch=b), np.zeros(n), np.zeros(0), np.zeros(0)) for n in (1_000, 50_000) for b in (32, 64, 128) for _ in range(8)]
+    dealt = network.deal(states, range(len(states)), 4)
+    assert sorted(k for part in dealt for k in part) == list(range(len(states)))
+    load = [sum((1 + len(states[k].flat) / 12_000) / states[k].config.batch for k in part) for part in dealt]
+    assert max(load) <= 1.1 * min(load)
+
+
+def test_slices_train_what_one_task_a_block_trains(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, int(v[0] > 0), [float(a) for a in v], "train" if i % 3 else "valid") for i, v in enumerate(rng.normal(size=(240, 3)))]
+    blocks = network.make_blocks(spark.createDataFrame(rows, "id long, y int, x array<double>, split string"), "x", "y", "id", "split", "train", block_rows=120)
+    configs = [network.Config((4,), rate=r, batch=16, epochs=3) for r in (0.01, 0.05, 0.1)]
+    together = network.fit_many(blocks, configs, 3, 2)
+    for c, s in zip(configs, together):
+        (one,) = network.fit_many(blocks, [c], 3, 2)  # one configuration: one slice
+        assert np.array_equal(one.flat, s.flat) and one.history == s.history
