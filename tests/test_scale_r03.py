@@ -50,3 +50,26 @@ def test_slices_train_what_one_task_a_block_trains(spark, monkeypatch):
     for c, s in zip(configs, together):
         (one,) = network.fit_many(blocks, [c], 3, 2)  # one configuration: one slice
         assert np.array_equal(one.flat, s.flat) and one.history == s.history
+
+
+def test_pca_reads_its_rows_twice_and_keeps_digits(spark):
+    n, seen = 400, spark.sparkContext.accumulator(0)
+    x = np.random.default_rng(1).normal(size=(n, 5)) * [5, 3, 1, 1, 1] + 1e6
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "id long, v array<double>").repartition(7)
+
+    def watched(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    got = {r.id: (r.pca_0, r.pca_1) for r in vectors.pca2(df.mapInArrow(watched, df.schema), "id", "v").collect()}
+    assert seen.value == 2 * n
+    xc = x - x.mean(0)
+    ref = xc @ np.linalg.eigh(np.cov(xc, rowvar=False))[1][:, ::-1][:, :2]
+    g = np.array([got[i] for i in range(n)])
+    assert all(min(np.abs(g[:, j] - ref[:, j]).max(), np.abs(g[:, j] + ref[:, j]).max()) < 1e-6 for j in range(2))
+
+
+@pytest.mark.parametrize("n,rows,want", [(1_000, 97, 11), (150_000, 97, 32), (800_000, 97, 49), (800_000, 16_384, 49), (0, 97, 1)])
+def test_small_blocks_do_not_multiply(n, rows, want):
+    assert vectors.block_count(n, rows) == want

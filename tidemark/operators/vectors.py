@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,60 +31,68 @@ from tidemark.functions.vec import lerp
 from tidemark.operators.ordering import ordered_index
 
 BLOCK_ROWS = 16_384      # rows of one side in a cogroup (16k x 64 doubles = 8 MB)
-QUERY_SLICE = 256        # queries per screening slice (256 x 16k doubles = 32 MB)
+MAX_BLOCKS = 32          # blocks of one side that small ``block_rows`` may ask for
+SCREEN_CELLS = 1 << 20   # (query, reference) pairs of a screening slice (8 MB of doubles)
+MOMENT_ROWS = 4096       # vectors whose moments are taken by one matrix product
+MERGE = 32               # sets of moments that one task adds up
 DIST_DIGITS = 9          # distances are compared after rounding; ties broken by id
 KNN_SCHEMA = "q_id long, rank int, r_id long, dist double"
 
 
 def _block_topk(k: int, exclude_self: bool):
     """Per cogroup: the k nearest references of every query in the group."""
-    import numpy as np
-    import pandas as pd
-
-    def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or r.empty:
-            return pd.DataFrame({"q_id": pd.Series([], "int64"), "rank": pd.Series([], "int32"),
-                                 "r_id": pd.Series([], "int64"), "dist": pd.Series([], "float64")})
-        qv = np.stack(q["v"].to_numpy()).astype(np.float64)
-        rv = np.stack(r["v"].to_numpy()).astype(np.float64)
-        qid = q["id"].to_numpy(np.int64)
-        rid = r["id"].to_numpy(np.int64)
-        rn2 = np.einsum("ij,ij->i", rv, rv)
-        rmax = float(rn2.max())
-        out_q, out_rank, out_r, out_d = [], [], [], []
-        for s in range(0, len(qv), QUERY_SLICE):
-            qs, qi = qv[s:s + QUERY_SLICE], qid[s:s + QUERY_SLICE]
-            qn2 = np.einsum("ij,ij->i", qs, qs)
-            # screening distances by the matrix product (one BLAS call per slice)
-            d2 = qn2[:, None] + rn2[None, :] - 2.0 * (qs @ rv.T)
-            if exclude_self:
-                d2[qi[:, None] == rid[None, :]] = np.inf
-            kk = min(k, d2.shape[1])
-            kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1:kk]
-            # margin far above the float error of the screen plus the 9-digit rounding,
-            # so every true top-k entry is a candidate
-            margin = 1e-9 * (qn2[:, None] + rmax) + 1e-8 * np.sqrt(np.maximum(kth, 0.0)) + 1e-12
-            rows, cols = np.nonzero(d2 <= kth + margin)
-            # exact distances of the candidates, summed left to right like a sequential loop
-            diff = qs[rows] - rv[cols]
-            acc = np.zeros(len(rows))
-            for j in range(diff.shape[1]):
-                acc += diff[:, j] * diff[:, j]
-            dv = np.round(np.sqrt(acc), DIST_DIGITS)
-            o = np.lexsort((rid[cols], dv, rows))  # per query: distance, then reference id
-            rows, cols, dv = rows[o], cols[o], dv[o]
-            rank = np.arange(len(rows)) - np.searchsorted(rows, rows) + 1
-            keep = rank <= kk
-            out_q.append(qi[rows[keep]])
-            out_rank.append(rank[keep].astype(np.int32))
-            out_r.append(rid[cols[keep]])
-            out_d.append(dv[keep])
+    import pyarrow as pa
+
+    def run(q: pa.Table, r: pa.Table) -> pa.Table:
+        out_q, out_rank, out_r, out_d = [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int64)], [np.empty(0)]
+        if q.num_rows and r.num_rows:
+            qv, rv = _matrix(q.column("v").combine_chunks()), _matrix(r.column("v").combine_chunks())
+            qid, rid = q.column("id").to_numpy(), r.column("id").to_numpy()
+            rn2 = np.einsum("ij,ij->i", rv, rv)
+            rmax = float(rn2.max())
+            step = max(1, SCREEN_CELLS // len(rv))
+            for s in range(0, len(qv), step):
+                qs, qi = qv[s:s + step], qid[s:s + step]
+                qn2 = np.einsum("ij,ij->i", qs, qs)
+                # screening distances by the matrix product (one BLAS call per slice)
+                d2 = qs @ rv.T
+                d2 *= -2.0
+                d2 += rn2
+                d2 += qn2[:, None]
+                if exclude_self:
+                    d2[qi[:, None] == rid[None, :]] = np.inf
+                kk = min(k, d2.shape[1])
+                kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1:kk]
+                # margin far above the float error of the screen plus the 9-digit rounding,
+                # so every true top-k entry is a candidate
+                margin = 1e-9 * (qn2[:, None] + rmax) + 1e-8 * np.sqrt(np.maximum(kth, 0.0)) + 1e-12
+                rows, cols = np.nonzero(d2 <= kth + margin)
+                # exact distances of the candidates, summed left to right like a sequential loop
+                acc = np.zeros(len(rows))
+                for j in range(qv.shape[1]):
+                    gap = qs[rows, j] - rv[cols, j]
+                    acc += gap * gap
+                dv = np.round(np.sqrt(acc), DIST_DIGITS)
+                o = np.lexsort((rid[cols], dv, rows))  # per query: distance, then reference id
+                rows, cols, dv = rows[o], cols[o], dv[o]
+                rank = np.arange(len(rows)) - np.searchsorted(rows, rows) + 1
+                keep = rank <= kk
+                out_q.append(qi[rows[keep]])
+                out_rank.append(rank[keep].astype(np.int32))
+                out_r.append(rid[cols[keep]])
+                out_d.append(dv[keep])
         cat = np.concatenate
-        return pd.DataFrame({"q_id": cat(out_q), "rank": cat(out_rank), "r_id": cat(out_r), "dist": cat(out_d)})
+        return pa.table({"q_id": cat(out_q), "rank": cat(out_rank), "r_id": cat(out_r), "dist": cat(out_d)})
 
     return run
 
 
+def block_count(n: int, block_rows: int) -> int:
+    """Blocks of a side with ``n`` rows: of ``block_rows`` rows, but more than ``MAX_BLOCKS`` only if these would hold over
+    ``BLOCK_ROWS`` rows. Every row meets every block of the other side, so small blocks would multiply what is shuffled."""
+    return max(1, min(math.ceil(n / block_rows), max(MAX_BLOCKS, math.ceil(n / BLOCK_ROWS))))
+
+
 def knn(queries: DataFrame, reference: DataFrame, k: int, qkey: str, rkey: str, vec: str = "embedding",
         exclude_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The k nearest reference rows of every query row by Euclidean distance (exact).
@@ -95,8 +104,7 @@ def knn(queries: DataFrame, reference: DataFrame, k: int, qkey: str, rkey: str,
     n_q, n_r = queries.count(), reference.count()
     if n_q == 0 or n_r == 0 or k <= 0:
         return spark.createDataFrame([], KNN_SCHEMA)
-    bq = max(1, math.ceil(n_q / block_rows))
-    br = max(1, math.ceil(n_r / block_rows))
+    bq, br = block_count(n_q, block_rows), block_count(n_r, block_rows)
 
     def side(df, key, nb, other_nb, own, other):
         out = df.select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"),
@@ -109,7 +117,7 @@ def knn(queries: DataFrame, reference: DataFrame, k: int, qkey: str, rkey: str,
     q = side(queries, qkey, bq, br, "qb", "rb")
     r = side(reference, rkey, br, bq, "rb", "qb")
     part = (q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb"))
-            .applyInPandas(_block_topk(k, exclude_self), KNN_SCHEMA))
+            .applyInArrow(_block_topk(k, exclude_self), KNN_SCHEMA))
     if br == 1:
         return part
     w = Window.partitionBy("q_id").orderBy("dist", "r_id")
@@ -190,18 +198,79 @@ def centroid(df: DataFrame, vec: str, dim: int) -> list[float]:
     return [float(row[f"c{i}"]) if row[f"c{i}"] is not None else 0.0 for i in range(dim)]
 
 
+def _moments(column):
+    """Rows, mean and centred second moments of a batch's vectors."""
+    x = _matrix(column)
+    mean = x.mean(axis=0)
+    return len(x), mean, (x - mean).T @ (x - mean)
+
+
+def _add_moments(a, b):
+    """Moments of two sets of rows together, without the cancellation of raw sums."""
+    if a is None:
+        return b
+    n, gap = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + gap * (b[0] / n), a[2] + b[2] + np.outer(gap, gap) * (a[0] * b[0] / n)
+
+
+def _matrix(column):
+    """Rows x width of an Arrow list column; every vector must have the first one's length."""
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    if len(sizes) == 0 or not (sizes == sizes[0]).all():
+        raise ValueError("vectors are null or of different lengths")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(sizes), -1)
+
+
+def mean_and_covariance(df: DataFrame, vec: str):
+    """Mean vector and covariance (n - 1) of all rows by one pass: a task sends one set of moments, ``MERGE`` of them are
+    added up in a task, the rest on the driver. ``None`` for an empty table."""
+    import pickle
+
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    schema = "part bigint, found binary"
+
+    def run(batches):
+        found = None
+        for batch in batches:
+            for start in range(0, batch.num_rows, MOMENT_ROWS):
+                found = _add_moments(found, _moments(batch.column(0).slice(start, MOMENT_ROWS)))
+        if found is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([pickle.dumps(found)], pa.binary())], names=["part", "found"])
+
+    def merged(table):
+        found = None
+        for x in table.sort_by("part").column("found"):  # a fixed order
+            found = _add_moments(found, pickle.loads(x.as_py()))
+        return pa.table({"part": pa.array([table.column("_to")[0].as_py()], pa.int64()), "found": pa.array([pickle.dumps(found)], pa.binary())})
+
+    tasks = df.select(F.col(vec).cast("array<double>").alias(vec)).mapInArrow(run, schema)
+    rows = tasks.withColumn("_to", F.expr(f"part div {MERGE}")).groupBy("_to").applyInArrow(merged, schema).collect()  # one row per MERGE tasks
+    found = None
+    for r in sorted(rows, key=lambda r: r.part):
+        found = _add_moments(found, pickle.loads(bytes(r.found)))
+    return None if found is None else (found[1], found[2] / max(found[0] - 1, 1))
+
+
 def pca2(df: DataFrame, key: str, vec: str, k: int = 2, out: str = "pca") -> DataFrame:
-    """Centred projection on the k leading principal axes (I3). MLlib PCA does not
-    centre, so the mean is removed first; each axis is signed so its
-    largest-magnitude loading is positive."""
-    import numpy as np
-    from pyspark.ml.feature import PCA, StandardScaler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    v = df.select(key, array_to_vector(F.col(vec).cast("array<double>")).alias("_v"))
-    centred = StandardScaler(withMean=True, withStd=False, inputCol="_v", outputCol="_c").fit(v).transform(v)
-    model = PCA(k=k, inputCol="_c", outputCol="_p").fit(centred)
-    pc = model.pc.toArray()
-    signs = [1.0 if pc[np.argmax(np.abs(pc[:, j])), j] >= 0 else -1.0 for j in range(k)]
-    proj = vector_to_array(F.col("_p"))
-    return model.transform(centred).select(key, *[(proj[j] * F.lit(signs[j])).alias(f"{out}_{j}") for j in range(k)])
+    """Centred projection on the k leading principal axes (I3), each signed so that its largest-magnitude loading is
+    positive. The rows are read twice: for the covariance and for the projection."""
+    import pyarrow as pa
+
+    names = [f"{out}_{j}" for j in range(k)]
+    schema = df.select(key, *[F.lit(0.0).alias(n) for n in names]).schema
+    found = mean_and_covariance(df, vec)
+    if found is None:
+        return df.sparkSession.createDataFrame([], schema)
+    mean, cov = found
+    pc = np.linalg.eigh(cov)[1][:, ::-1][:, :k]
+    pc = pc * np.where(pc[np.abs(pc).argmax(axis=0), np.arange(k)] >= 0, 1.0, -1.0)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                p = (_matrix(batch.column(1)) - mean) @ pc
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(p[:, j])) for j in range(k)]], names=[key, *names])
+
+    return df.select(key, F.col(vec).cast("array<double>").alias(vec)).mapInArrow(run, schema)
