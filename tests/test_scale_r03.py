@@ -73,3 +73,10 @@ def test_pca_reads_its_rows_twice_and_keeps_digits(spark):
 @pytest.mark.parametrize("n,rows,want", [(1_000, 97, 11), (150_000, 97, 32), (800_000, 97, 49), (800_000, 16_384, 49), (0, 97, 1)])
 def test_small_blocks_do_not_multiply(n, rows, want):
     assert vectors.block_count(n, rows) == want
+
+
+def test_feature_partitions_follow_the_rows(spark, monkeypatch):
+    before = models_q._ticket_rows(spark, SF_SMALL).rdd.getNumPartitions()
+    monkeypatch.setattr(models_q, "PART_BYTES", 1 << 16)
+    d = models_q._ticket_rows(spark, SF_SMALL)
+    assert d.rdd.getNumPartitions() == -(-d.count() * 8 * models_q.N_FEATURES // (1 << 16)) > before
