@@ -75,6 +75,15 @@ def test_small_blocks_do_not_multiply(n, rows, want):
     assert vectors.block_count(n, rows) == want
 
 
+def test_compressed_tickets_are_read_again(spark, tmp_path):
+    rows = [(1, 'a "quoted"\nline', 2.5), (2, None, None), (3, "x,y" * 2000, 0.0)]
+    df = spark.createDataFrame(rows, "id long, text string, x double")
+    for compression in ("gzip", "none"):
+        path = io.write_csv(df, str(tmp_path / compression), compression=compression)
+        assert bool(glob.glob(f"{path}/*.csv.gz")) == (compression == "gzip")
+        assert sorted(tuple(r) for r in io.read_csv(spark, path, df.schema).collect()) == rows
+
+
 def test_feature_partitions_follow_the_rows(spark, monkeypatch):
     before = models_q._ticket_rows(spark, SF_SMALL).rdd.getNumPartitions()
     monkeypatch.setattr(models_q, "PART_BYTES", 1 << 16)

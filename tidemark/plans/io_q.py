@@ -22,7 +22,7 @@ def reg(name, sql=None):
 @reg("scan_csv_roundtrip", with_views("SELECT * FROM tickets", "tickets"))
 def scan_csv_roundtrip(spark, sf):
     path = io.scratch_path(spark, "tickets-csv")
-    io.write_csv(fixtures.tickets(spark, sf), path)
+    io.write_csv(fixtures.tickets(spark, sf), path, compression="gzip")
     return io.read_csv(spark, path, io.TICKET_SCHEMA)
 
 

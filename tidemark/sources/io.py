@@ -60,15 +60,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 # ---- A1 / A2: CSV ---------------------------------------------------------------------------
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, pattern: str = "*.csv") -> DataFrame:
-    """Every ``*.csv`` under ``path`` (not just the first found), header row,
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, pattern: str = "*.{csv,csv.gz}") -> DataFrame:
+    """Every ``*.csv`` or ``*.csv.gz`` under ``path`` (not just the first found), header row,
     quoted multi-line text, all columns nullable."""
     return (spark.read.schema(schema).options(**CSV_OPTIONS).option("pathGlobFilter", pattern)
             .option("recursiveFileLookup", "true").csv(path))
 
 
-def write_csv(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> str:
-    w = df.write.mode("overwrite").options(**CSV_OPTIONS)
+def write_csv(df: DataFrame, path: str, partition_by: Sequence[str] = (), compression: str = "none") -> str:
+    """With ``compression`` "gzip" the files are ``*.csv.gz``; multi-line CSV is read a file a task in either case."""
+    w = df.write.mode("overwrite").options(**CSV_OPTIONS).option("compression", compression)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.csv(path)
