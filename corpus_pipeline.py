@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import language_id, line_dedup, mixing, ngram_jaccard, sentencepiece_chunks
-from tidemark.llm.common import lowest_per_group, small
+from tidemark.llm.common import small
 from tidemark.session import ensure_checkpoint_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -25,17 +25,16 @@ COPY_WORDS, COPY_PERCENT = 5, 80
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents without a language: no letter at all, or none that fits like its own documents do."""
-    model = language_id.fit(docs.select("doc_id", "text", "lang"))
+    model = language_id.fit(docs.select("doc_id", "text", "lang"), fit_rows=None)
     if not model[0]:
         return docs.select(COLUMNS)  # nothing to learn from: nothing to reject by
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    picked = lowest_per_group(known.select("doc_id", "lang"), "lang", language_id.FIT_ROWS, [F.xxhash64("doc_id"), F.col("doc_id")])
-    sample = known.select("doc_id", "lang", "text").join(F.broadcast(picked.select(F.col("doc_id").alias("_k")).distinct()), F.col("doc_id") == F.col("_k"))
-    own = language_id.predict(sample.select("lang", "text"), model, evidence=True).filter("lang_pred = lang")
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/corpus-{uuid.uuid4().hex}/scored"
+    language_id.predict(docs.select(COLUMNS), model, evidence=True).write.parquet(folder)  # scored once, read for the quantiles and the rows
+    scored = spark.read.parquet(folder)
+    own = scored.filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.col("lang_pred") == F.col("lang")))
     rows = own.groupBy("lang").agg(F.percentile_approx("evidence", F.lit(LANG_TAIL), F.lit(10_000)).alias("low")).collect()
     low = {r.lang: min(0.0, r.low - LANG_SLACK) for r in rows}
     fence = F.coalesce(*[F.when(F.col("lang_pred") == name, x) for name, x in sorted(low.items())], F.lit(0.0))
-    scored = language_id.predict(docs.select(COLUMNS), model, evidence=True)
     return scored.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("evidence") >= fence)).select(COLUMNS)
 
 

@@ -63,3 +63,41 @@ def test_fifty_languages(spark):
     df = frame(spark, rows, "doc_id bigint, text string, lang string")
     out = L.predict(df, L.fit(df, landmarks=4)).collect()
     assert sum(r.lang == r.lang_pred for r in out) >= 0.95 * len(out)
+
+
+def test_whole_fit_learns_from_every_window_of_every_text(spark):
+    """Against the same regression by dense algebra, on texts of several windows and of a language with few rows."""
+    import numpy as np
+
+    from tidemark.llm import language_id as L
+
+    rng = np.random.default_rng(5)
+    vocab = {"aa": ["uno", "dos", "tres", "perro"], "bb": ["eins", "zwei", "drei", "hund"]}
+    rows = [(i, " ".join(rng.choice(vocab[g], 10 + 400 * (i % 3 == 0))), g) for i, g in enumerate(["aa"] * 40 + ["bb"] * 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    langs, marks, weights, bias = L.fit(df, landmarks=3, fit_rows=None)
+    sets, w, y = [], [], []
+    for _, text, g in rows:
+        buf = np.frombuffer(text.encode(), np.uint8)
+        for piece in L.windows(buf):
+            sets.append(L.grams(piece))
+            w.append(len(piece) / len(buf) / sum(r[2] == g for r in rows))
+            y.append([1.0 if g == name else -1.0 for name in langs])
+    assert langs == ["aa", "bb"] and len(sets) > len(rows)
+    k, w, y = np.hstack([marks.kernel(sets), np.ones((len(sets), 1))]).astype(float), np.array(w)[:, None], np.array(y)
+    # at the optimum of ridge regression on Nyström features the gradient in feature space is ridge * beta; the fitted values show it
+    fitted = k @ np.vstack([weights, bias])
+    assert np.sign(fitted).tolist() == np.sign(y).tolist()
+    inner = marks.kernel([s for s in _columns(marks)]).astype(float)
+    values, vectors = np.linalg.eigh(inner)
+    good = values > values[-1] * 1e-6
+    turn = np.zeros((k.shape[1], good.sum() + 1))
+    turn[:-1, :-1], turn[-1, -1] = vectors[:, good] / np.sqrt(values[good]), 1.0
+    phi = k @ turn
+    beta = np.linalg.solve(phi.T @ (phi * w) + L.RIDGE * np.eye(phi.shape[1]), phi.T @ (y * w))
+    assert np.allclose(phi @ beta, fitted, atol=1e-5)
+
+
+def _columns(marks):
+    """Gram sets of the landmarks, read back from their matrix."""
+    return [marks.ids[marks.matrix[:, j] > 0] for j in range(marks.matrix.shape[1])]

@@ -3,8 +3,8 @@
 A text is the set of its byte n-grams of length 1 to 3 (A-Z folded, other ASCII non-letters read as spaces): the
 blended-spectrum presence kernel is k(x, y) = |X & Y| / sqrt(|X| |Y|). Nyström landmarks (``LANDMARKS`` texts per
 language) turn it into finite features, and kernel ridge regression, one language against the rest, is solved in
-closed form from at most ``FIT_ROWS`` texts per language, both chosen by a hash of the id. Those two bounds are
-parameters; they fix the size of everything that reaches the driver (gram sets of the landmarks, kernel rows of
+closed form from at most ``FIT_ROWS`` texts per language, both chosen by a hash of the id, or from all windows of all
+texts (``fit_rows=None``, as the pipeline does). Those two bounds are parameters; they fix the size of everything that reaches the driver (gram sets of the landmarks, kernel rows of
 the fit texts). Scoring is a presence matrix times the landmark matrix per batch, over all rows, with no shuffle.
 
 Presence says nothing about how much of a text is in a language, so a long foreign quotation would decide a text.
@@ -112,14 +112,16 @@ def _picked_grams(column: pa.Array, keys: pa.Array) -> list[np.ndarray]:
 
 
 def fit(train: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
-        landmarks: int = LANDMARKS, fit_rows: int = FIT_ROWS, ridge: float = RIDGE):
+        landmarks: int = LANDMARKS, fit_rows: int | None = FIT_ROWS, ridge: float = RIDGE):
     """Fit on rows with a language and a text. Returns (languages, Landmarks, weights, bias); no rows, no languages.
 
     The sample is the ``fit_rows`` rows of lowest key hash per language, its first ``landmarks`` the landmarks.
+    With ``fit_rows`` None only the landmarks are chosen so, and the regression learns from every window with a letter of
+    every row; a text counts once, its windows by their length. Sums of a fixed size leave the tasks.
     """
     spark = train.sparkSession
     known = train.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
-    picked = (lowest_per_group(known.select(key, lang), lang, fit_rows, [F.xxhash64(key), F.col(key)])
+    picked = (lowest_per_group(known.select(key, lang), lang, landmarks if fit_rows is None else fit_rows, [F.xxhash64(key), F.col(key)])
               .select(F.col(key).alias("_k"), F.col("_n")).dropDuplicates(["_k"]))
     rows = known.select(key, text, lang).join(F.broadcast(picked), F.col(key) == F.col("_k")).select(text, lang, "_n", "_k")
 
@@ -134,7 +136,8 @@ def fit(train: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "
     chosen = sets.filter((F.col("n") <= landmarks) & (F.size("grams") > 0)).collect()
     chosen = sorted(((r.lang, r.n, np.array(r.grams, np.uint32)) for r in chosen), key=lambda r: (r[0], r[1], r[2].tobytes()))
     marks = Landmarks([s for _, _, s in chosen])
-    found = {r.lang: r["count"] for r in sets.groupBy("lang").count().collect()}  # one row per language
+    counted = sets.groupBy("lang") if fit_rows is not None else known.groupBy(F.col(lang).alias("lang"))
+    found = {r.lang: r["count"] for r in counted.count().collect()}  # one row per language
     langs = sorted(found)
     if not chosen or not langs:
         return [], marks, np.zeros((0, 0)), np.zeros(0)
@@ -156,7 +159,43 @@ def fit(train: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([square.tobytes()], pa.binary()), pa.array([cross.tobytes()], pa.binary())], names=["square", "cross"])
 
-    sums = with_batches(sets.select("lang", "n", "k", "grams")).mapInArrow(moments, "square binary, cross binary").collect()  # at most FIT_PARTS rows
+    def all_moments(batches):
+        from pyspark import TaskContext
+
+        marks, number, found = shared.value
+        m = marks.matrix.shape[1] + 1
+        square, cross = np.zeros((m, m)), np.zeros((m, len(number)))
+        for batch in batches:
+            names = batch.column(1).to_pylist()
+            for a, _, buf, offs in texts(batch.column(0)):
+                sets, weight, of = [], [], []
+                for i in range(len(offs) - 1):
+                    for w in windows(buf[offs[i]:offs[i + 1]]):
+                        if has_letter(w):
+                            sets.append(grams(w))
+                            weight.append(len(w) / (offs[i + 1] - offs[i]) / found[names[a + i]])
+                            of.append(number[names[a + i]])
+                for b in range(0, len(sets), 4096):
+                    k = np.hstack([marks.kernel(sets[b:b + 4096]).astype(np.float64), np.ones((len(sets[b:b + 4096]), 1))])
+                    y = np.where(np.array(of[b:b + 4096])[:, None] == np.arange(len(number)), 1.0, -1.0)
+                    weighted = (k * np.array(weight[b:b + 4096])[:, None]).T
+                    square += weighted @ k
+                    cross += weighted @ y
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([square.tobytes()], pa.binary()), pa.array([cross.tobytes()], pa.binary())],
+                                         names=["part", "square", "cross"])
+
+    def merged(table: pa.Table) -> pa.Table:
+        t = table.sort_by("part")
+        added = [sum(np.frombuffer(x.as_buffer()) for x in t.column(c)).tobytes() for c in ("square", "cross")]
+        return pa.table({"part": t.column("part").slice(0, 1), **{c: pa.array([x], pa.binary()) for c, x in zip(("square", "cross"), added)}})
+
+    if fit_rows is None:
+        schema = "part bigint, square binary, cross binary"
+        sums = (with_batches(known.select(text, lang)).mapInArrow(all_moments, schema).withColumn("_to", F.col("part") % FIT_PARTS)
+                .groupBy("_to").applyInArrow(lambda t: merged(t.drop(["_to"])), schema).collect())  # at most FIT_PARTS rows
+        sums = sorted(sums, key=lambda r: r.part)
+    else:
+        sums = with_batches(sets.select("lang", "n", "k", "grams")).mapInArrow(moments, "square binary, cross binary").collect()  # at most FIT_PARTS rows
     size = marks.matrix.shape[1] + 1
     square = sum(np.frombuffer(bytes(r.square)).reshape(size, size) for r in sums)
     cross = sum(np.frombuffer(bytes(r.cross)).reshape(size, len(langs)) for r in sums)
