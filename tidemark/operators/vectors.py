@@ -35,8 +35,39 @@ MAX_BLOCKS = 32          # blocks of one side that small ``block_rows`` may ask
 SCREEN_CELLS = 1 << 20   # (query, reference) pairs of a screening slice (8 MB of doubles)
 MOMENT_ROWS = 4096       # vectors whose moments are taken by one matrix product
 MERGE = 32               # sets of moments that one task adds up
+SHARED_ROWS = 16         # nearest rows, beyond four times k, that the replicates of a block choose theirs from
 DIST_DIGITS = 9          # distances are compared after rounding; ties broken by id
 KNN_SCHEMA = "q_id long, rank int, r_id long, dist double"
+DRAWN_SCHEMA = f"replicate int, {KNN_SCHEMA}"
+
+
+def _nearest(qs, qi, rv, rid, rn2, rmax, k, exclude_self):
+    """(query position, reference position, distance) of the k nearest references of every query, by query, rounded
+    distance and reference id."""
+    qn2 = np.einsum("ij,ij->i", qs, qs)
+    # screening distances by the matrix product (one BLAS call per slice)
+    d2 = qs @ rv.T
+    d2 *= -2.0
+    d2 += rn2
+    d2 += qn2[:, None]
+    if exclude_self:
+        d2[qi[:, None] == rid[None, :]] = np.inf
+    kk = min(k, d2.shape[1])
+    kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1:kk]
+    # margin far above the float error of the screen plus the 9-digit rounding,
+    # so every true top-k entry is a candidate
+    margin = 1e-9 * (qn2[:, None] + rmax) + 1e-8 * np.sqrt(np.maximum(kth, 0.0)) + 1e-12
+    rows, cols = np.nonzero(d2 <= kth + margin)
+    # exact distances of the candidates, summed left to right like a sequential loop
+    acc = np.zeros(len(rows))
+    for j in range(qs.shape[1]):
+        gap = qs[rows, j] - rv[cols, j]
+        acc += gap * gap
+    dv = np.round(np.sqrt(acc), DIST_DIGITS)
+    o = np.lexsort((rid[cols], dv, rows))  # per query: distance, then reference id
+    rows, cols, dv = rows[o], cols[o], dv[o]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows) + 1 <= kk
+    return rows[keep], cols[keep], dv[keep]
 
 
 def _block_topk(k: int, exclude_self: bool):
@@ -53,46 +84,82 @@ def _block_topk(k: int, exclude_self: bool):
             step = max(1, SCREEN_CELLS // len(rv))
             for s in range(0, len(qv), step):
                 qs, qi = qv[s:s + step], qid[s:s + step]
-                qn2 = np.einsum("ij,ij->i", qs, qs)
-                # screening distances by the matrix product (one BLAS call per slice)
-                d2 = qs @ rv.T
-                d2 *= -2.0
-                d2 += rn2
-                d2 += qn2[:, None]
-                if exclude_self:
-                    d2[qi[:, None] == rid[None, :]] = np.inf
-                kk = min(k, d2.shape[1])
-                kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1:kk]
-                # margin far above the float error of the screen plus the 9-digit rounding,
-                # so every true top-k entry is a candidate
-                margin = 1e-9 * (qn2[:, None] + rmax) + 1e-8 * np.sqrt(np.maximum(kth, 0.0)) + 1e-12
-                rows, cols = np.nonzero(d2 <= kth + margin)
-                # exact distances of the candidates, summed left to right like a sequential loop
-                acc = np.zeros(len(rows))
-                for j in range(qv.shape[1]):
-                    gap = qs[rows, j] - rv[cols, j]
-                    acc += gap * gap
-                dv = np.round(np.sqrt(acc), DIST_DIGITS)
-                o = np.lexsort((rid[cols], dv, rows))  # per query: distance, then reference id
-                rows, cols, dv = rows[o], cols[o], dv[o]
-                rank = np.arange(len(rows)) - np.searchsorted(rows, rows) + 1
-                keep = rank <= kk
-                out_q.append(qi[rows[keep]])
-                out_rank.append(rank[keep].astype(np.int32))
-                out_r.append(rid[cols[keep]])
-                out_d.append(dv[keep])
+                rows, cols, dv = _nearest(qs, qi, rv, rid, rn2, rmax, k, exclude_self)
+                out_q.append(qi[rows])
+                out_rank.append((np.arange(len(rows)) - np.searchsorted(rows, rows) + 1).astype(np.int32))
+                out_r.append(rid[cols])
+                out_d.append(dv)
         cat = np.concatenate
         return pa.table({"q_id": cat(out_q), "rank": cat(out_rank), "r_id": cat(out_r), "dist": cat(out_d)})
 
     return run
 
 
+def _block_topk_drawn(k: int):
+    """Per cogroup and replicate: the k nearest of the references that the replicate draws (``w``, a count for each).
+
+    The distances are computed once. The replicates choose from the nearest references of all; a query for which too few
+    of these are drawn is compared with all that its replicate draws."""
+    import pyarrow as pa
+
+    def run(q: pa.Table, r: pa.Table) -> pa.Table:
+        out = [[np.empty(0, np.int32)], [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int64)], [np.empty(0)]]
+
+        def put(replicate, ids, rank, found, dv):
+            for column, x in zip(out, (np.full(len(ids), replicate, np.int32), ids, rank.astype(np.int32), found, dv)):
+                column.append(x)
+
+        if q.num_rows and r.num_rows:
+            qv, rv = _matrix(q.column("v").combine_chunks()), _matrix(r.column("v").combine_chunks())
+            drawn = _matrix(r.column("w").combine_chunks()) > 0
+            qid, rid = q.column("id").to_numpy(), r.column("id").to_numpy()
+            rn2 = np.einsum("ij,ij->i", rv, rv)
+            rmax = float(rn2.max())
+            step = max(1, SCREEN_CELLS // len(rv))
+            for s in range(0, len(qv), step):
+                qs, qi = qv[s:s + step], qid[s:s + step]
+                rows, cols, dv = _nearest(qs, qi, rv, rid, rn2, rmax, 4 * k + SHARED_ROWS, False)
+                first = np.searchsorted(rows, np.arange(len(qs)))
+                for j in range(drawn.shape[1]):
+                    mine = drawn[cols, j]
+                    upto = np.concatenate(([0], np.cumsum(mine)))
+                    rank = upto[1:] - upto[first[rows]]
+                    have = np.bincount(rows[mine], minlength=len(qs))
+                    few = have < min(k, int(drawn[:, j].sum()))
+                    keep = mine & (rank <= k) & ~few[rows]
+                    put(j, qi[rows[keep]], rank[keep], rid[cols[keep]], dv[keep])
+                    if few.any():
+                        own = np.flatnonzero(drawn[:, j])
+                        x, c, d = _nearest(qs[few], qi[few], rv[own], rid[own], rn2[own], rmax, k, False)
+                        put(j, qi[few][x], np.arange(len(x)) - np.searchsorted(x, x) + 1, rid[own[c]], d)
+        return pa.table(dict(zip(("replicate", "q_id", "rank", "r_id", "dist"), map(np.concatenate, out))))
+
+    return run
+
+
 def block_count(n: int, block_rows: int) -> int:
     """Blocks of a side with ``n`` rows: of ``block_rows`` rows, but more than ``MAX_BLOCKS`` only if these would hold over
     ``BLOCK_ROWS`` rows. Every row meets every block of the other side, so small blocks would multiply what is shuffled."""
     return max(1, min(math.ceil(n / block_rows), max(MAX_BLOCKS, math.ceil(n / BLOCK_ROWS))))
 
 
+def _meeting(queries: DataFrame, n_q: int, reference: DataFrame, n_r: int, qkey: str, rkey: str, vec: str, block_rows: int, draws: str | None = None):
+    """Cogroups in which every block of queries meets every block of references, and the number of reference blocks."""
+    bq, br = block_count(n_q, block_rows), block_count(n_r, block_rows)
+
+    def side(df, key, nb, other_nb, own, other, *more):
+        out = df.select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"),
+                        F.pmod(F.xxhash64(F.col(key)), F.lit(nb)).cast("int").alias(own), *more)
+        if other_nb == 1:
+            return out.withColumn(other, F.lit(0))
+        # each row meets every block of the other side once
+        return out.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_nb - 1))))
+
+    q = side(queries, qkey, bq, br, "qb", "rb")
+    r = side(reference, rkey, br, bq, "rb", "qb", *([F.col(draws).alias("w")] if draws else []))
+    return q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")), br
+
+
 def knn(queries: DataFrame, reference: DataFrame, k: int, qkey: str, rkey: str, vec: str = "embedding",
         exclude_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The k nearest reference rows of every query row by Euclidean distance (exact).
@@ -104,20 +171,8 @@ def knn(queries: DataFrame, reference: DataFrame, k: int, qkey: str, rkey: str,
     n_q, n_r = queries.count(), reference.count()
     if n_q == 0 or n_r == 0 or k <= 0:
         return spark.createDataFrame([], KNN_SCHEMA)
-    bq, br = block_count(n_q, block_rows), block_count(n_r, block_rows)
-
-    def side(df, key, nb, other_nb, own, other):
-        out = df.select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"),
-                        F.pmod(F.xxhash64(F.col(key)), F.lit(nb)).cast("int").alias(own))
-        if other_nb == 1:
-            return out.withColumn(other, F.lit(0))
-        # each row meets every block of the other side once
-        return out.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_nb - 1))))
-
-    q = side(queries, qkey, bq, br, "qb", "rb")
-    r = side(reference, rkey, br, bq, "rb", "qb")
-    part = (q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb"))
-            .applyInArrow(_block_topk(k, exclude_self), KNN_SCHEMA))
+    groups, br = _meeting(queries, n_q, reference, n_r, qkey, rkey, vec, block_rows)
+    part = groups.applyInArrow(_block_topk(k, exclude_self), KNN_SCHEMA)
     if br == 1:
         return part
     w = Window.partitionBy("q_id").orderBy("dist", "r_id")
@@ -132,14 +187,47 @@ def knn_classify(queries: DataFrame, train: DataFrame, k: int, qkey: str, rkey:
     nn = knn(queries, train, k, qkey, rkey, vec)
     lab = train.select(F.col(rkey).alias("r_id"), F.col(label).alias("_lab"), (F.col(copies) if copies else F.lit(1)).cast("long").alias("_c"))
     near = nn.join(lab, "r_id")
-    if copies:  # at most k rows a query
-        before = F.coalesce(F.sum("_c").over(Window.partitionBy("q_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        near = near.withColumn("_c", F.least(F.col("_c"), F.lit(k) - before)).where(F.col("_c") > 0)
-    votes = near.groupBy("q_id", "_lab").agg(F.sum("_c").alias("_v"))
-    best = votes.groupBy("q_id").agg(F.max_by(F.col("_lab"), F.struct(F.col("_v"), -F.col("_lab"))).alias("pred"))
+    best = _copies_vote(near, k, ["q_id"]) if copies else _vote(near, ["q_id"])
     return best.select(F.col("q_id").alias(qkey), "pred")
 
 
+def _copies_vote(near: DataFrame, k: int, by: list[str]) -> DataFrame:
+    """``_vote`` of the first k copies by rank (at most k rows a query have any)."""
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*by).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return _vote(near.withColumn("_c", F.least(F.col("_c"), F.lit(k) - before)).where(F.col("_c") > 0), by)
+
+
+def _vote(near: DataFrame, by: list[str]) -> DataFrame:
+    votes = near.groupBy(*by, "_lab").agg(F.sum("_c").alias("_v"))
+    return votes.groupBy(*by).agg(F.max_by(F.col("_lab"), F.struct(F.col("_v"), -F.col("_lab"))).alias("pred"))
+
+
+def knn_drawn(queries: DataFrame, reference: DataFrame, k: int, qkey: str, rkey: str, draws: str, vec: str = "embedding",
+              block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``knn`` for every bootstrap replicate at once: ``draws`` is an array that tells how often each replicate draws the
+    reference row (0: not at all). Output ``(replicate, q_id, rank, r_id, dist)``; distances are computed once for all."""
+    n_q, n_r = queries.count(), reference.count()
+    if n_q == 0 or n_r == 0 or k <= 0:
+        return queries.sparkSession.createDataFrame([], DRAWN_SCHEMA)
+    groups, br = _meeting(queries, n_q, reference, n_r, qkey, rkey, vec, block_rows, draws)
+    part = groups.applyInArrow(_block_topk_drawn(k), DRAWN_SCHEMA)
+    if br == 1:
+        return part
+    w = Window.partitionBy("q_id", "replicate").orderBy("dist", "r_id")
+    return (part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .select("replicate", "q_id", F.col("rank").cast("int").alias("rank"), "r_id", "dist"))
+
+
+def knn_classify_drawn(queries: DataFrame, train: DataFrame, k: int, qkey: str, rkey: str, label: str, draws: str,
+                       vec: str = "embedding") -> DataFrame:
+    """``knn_classify`` for every bootstrap replicate at once: ``(replicate, <qkey>, pred)``. A training row stands in a
+    replicate as often as its array ``draws`` tells."""
+    nn = knn_drawn(queries, train, k, qkey, rkey, draws, vec)
+    lab = train.select(F.col(rkey).alias("r_id"), F.col(label).alias("_lab"), F.col(draws).alias("_d"))
+    near = nn.join(lab, "r_id").withColumn("_c", F.get("_d", F.col("replicate")).cast("long")).where(F.col("_c") > 0).drop("_d")
+    return _copies_vote(near, k, ["replicate", "q_id"]).withColumnRenamed("q_id", qkey).select("replicate", qkey, "pred")
+
+
 def smote(df: DataFrame, label: str, key: str, vec: str = "embedding", k: int = 5, seed: int = 42,
           block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Synthetic rows until every class has as many rows as the largest one.
