@@ -67,3 +67,8 @@ def test_bagging_compares_queries_with_rows_once(spark, monkeypatch):
     df = _drawn_rows(spark).drop("d")
     votes = models.bagging_votes(df.where("id % 3 > 0"), df.where("id % 3 = 0"), "id", "y", 4, 42, knn_vec="v", families=("knn",)).collect()
     assert len(calls) == 1 and len(votes) == 4 * 30 and {r.replicate for r in votes} == {0, 1, 2, 3}
+
+
+def test_one_vs_rest_fits_share_the_memory():
+    assert models.fits_at_once(0, 0) == models.fits_at_once(37_000, 452) == 4
+    assert models.fits_at_once(2_240_000, 452) == 1 and models.fits_at_once(1_000_000, 452) == 2
