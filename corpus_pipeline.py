@@ -28,14 +28,19 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language_id.fit(docs.select("doc_id", "text", "lang"), fit_rows=None)
     if not model[0]:
         return docs.select(COLUMNS)  # nothing to learn from: nothing to reject by
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/corpus-{uuid.uuid4().hex}/scored"
-    language_id.predict(docs.select(COLUMNS), model, evidence=True).write.parquet(folder)  # scored once, read for the quantiles and the rows
-    scored = spark.read.parquet(folder)
-    own = scored.filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.col("lang_pred") == F.col("lang")))
-    rows = own.groupBy("lang").agg(F.percentile_approx("evidence", F.lit(LANG_TAIL), F.lit(10_000)).alias("low")).collect()
-    low = {r.lang: min(0.0, r.low - LANG_SLACK) for r in rows}
+    rows = docs.select(COLUMNS)
+    # The evidence follows from the text alone, so it is kept by the text's hashes and the texts are not written twice.
+    own = (F.col("text").isNotNull() & F.col("doc_id").isNotNull()).alias("own")
+    hashed = rows.select("text", "lang", own, F.xxhash64("text").alias("_h"), F.hash("text").alias("_g"))
+    scored = language_id.predict(hashed, model, evidence=True).drop("text", "score").checkpoint()
+    by_lang = scored.filter(F.col("own") & (F.col("lang_pred") == F.col("lang"))).groupBy("lang")
+    rows_of = by_lang.agg(F.percentile_approx("evidence", F.lit(LANG_TAIL), F.lit(10_000)).alias("low")).collect()  # one row per language
+    low = {r.lang: min(0.0, r.low - LANG_SLACK) for r in rows_of}
     fence = F.coalesce(*[F.when(F.col("lang_pred") == name, x) for name, x in sorted(low.items())], F.lit(0.0))
-    return scored.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("evidence") >= fence)).select(COLUMNS)
+    kept = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("evidence") >= fence)
+    gone = scored.filter(~F.coalesce(kept, F.lit(False))).select("_h", "_g").distinct().checkpoint()
+    on = (F.xxhash64("text") == F.col("_h")) & (F.hash("text") == F.col("_g"))
+    return rows.filter(F.col("text").isNotNull()).join(small(gone, gone.count()), on, "left_anti")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,6 +43,7 @@ GROUP_TOKENS = 256_000
 GROUP_SETS = 2048
 EXTRA = 32  # one more shared shingle is asked for, and one more put in the prefix, per so many of the set
 CELLS = 4_000_000  # entries of a presence matrix held at a time
+PAIRS = 500_000  # pairs of sets that are judged at a time
 
 
 def need(n, percent: int = PERCENT):
@@ -241,8 +242,9 @@ def _groups_of(label: np.ndarray) -> Iterator[np.ndarray]:
             yield order[x:y]
 
 
-def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections, by products of presence matrices over the tokens that at least two sets hold."""
+def _overlaps(sets: list[np.ndarray], side: np.ndarray | None = None) -> np.ndarray:
+    """Sizes of all intersections, by products of presence matrices over the tokens that at least two sets hold. With
+    ``side``, only of the sets of the one side (rows) with those of the other (columns)."""
     doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, column = np.unique(np.concatenate(sets), return_inverse=True)
     held = np.bincount(column)
@@ -252,15 +254,42 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(c, kind="stable")
     d, c = d[order], c[order]
     m, width = len(sets), int((held > 1).sum())
-    out, step = np.zeros((m, m), np.float32), max(1, CELLS // m)
+    x, y = _sides(m, side)
+    out, step = np.zeros((len(x), len(y)), np.float32), max(1, CELLS // m)
     for a in range(0, width, step):
         lo, hi = np.searchsorted(c, [a, a + step])
         present = np.zeros((m, min(step, width - a)), np.float32)
         present[d[lo:hi], c[lo:hi] - a] = 1
-        out += present @ present.T
+        out += present @ present.T if side is None else present[x] @ present[y].T
     return out
 
 
+def _sides(m: int, side: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the sets that may link: all with all, or those of one side with those of the other."""
+    return (np.arange(m), np.arange(m)) if side is None else (np.flatnonzero(~side), np.flatnonzero(side))
+
+
+def _slices(n: int, others: int) -> Iterator[slice]:
+    """Cut ``n`` rows so that a slice meets the ``others`` in at most about ``PAIRS`` pairs."""
+    step = max(1, PAIRS // max(1, others))
+    return (slice(a, a + step) for a in range(0, n, step))
+
+
+def _unparted(size: np.ndarray, length: np.ndarray, shared: np.ndarray, side: np.ndarray | None, percent: int) -> np.ndarray:
+    """Which sets (``size`` shingles, ``length`` of them in the sample) their samples do not part from all others."""
+    x, y = _sides(len(size), side)
+    alive = np.zeros(len(size), bool)
+    for at in _slices(len(x), len(y)):
+        rows = x[at]
+        apart = length[rows][:, None] + length[y][None, :] - 2 * shared[at]
+        may = (100 + percent) * apart <= (100 - percent) * (size[rows][:, None] + size[y][None, :])
+        if side is None:
+            may[np.arange(len(rows)), rows] = False
+        alive[rows] |= may.any(axis=1)
+        alive[y] |= may.any(axis=0)
+    return alive
+
+
 def sift(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(cid, i, j) of the routed sets that an eighth of the columns does not part from all others they meet."""
     differ, whole = 100 - percent, 100 + percent  # linked sets differ in at most differ / whole of n + m shingles
@@ -273,20 +302,18 @@ def sift(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
                 label = _clusters(np.concatenate(samples), np.repeat(np.arange(len(at)), [len(x) for x in samples]), len(at))
                 for part in _groups_of(label):
                     size, length = n[at[part]].astype(np.float64), np.array([len(samples[k]) for k in part], np.float64)
-                    apart = length[:, None] + length[None, :] - 2 * _overlaps([samples[k] for k in part])
-                    may = whole * apart <= differ * (size[:, None] + size[None, :])
-                    if side is not None:
-                        may &= side[part][:, None] != side[part][None, :]
-                    np.fill_diagonal(may, False)
-                    alive.append(at[part[may.any(axis=1)]])
+                    own = None if side is None else side[part]
+                    alive.append(at[part[_unparted(size, length, _overlaps([samples[k] for k in part], own), own, percent)]])
                 # sets with few columns in the sample may link with sets that share none of them
                 size, length = n[at], np.array([len(x) for x in samples])
                 thin = np.flatnonzero(whole * length <= differ * size)
-                may = whole * (length[thin][:, None] + length[None, :]) <= differ * (size[thin][:, None] + size[None, :])
-                if side is not None:
-                    may &= side[thin][:, None] != side[None, :]
-                may[np.arange(len(thin)), thin] = False
-                alive += [at[thin[may.any(axis=1)]], at[may.any(axis=0)]]
+                for cut in _slices(len(thin), len(at)):
+                    some = thin[cut]
+                    may = whole * (length[some][:, None] + length[None, :]) <= differ * (size[some][:, None] + size[None, :])
+                    if side is not None:
+                        may &= side[some][:, None] != side[None, :]
+                    may[np.arange(len(some)), some] = False
+                    alive += [at[some[may.any(axis=1)]], at[may.any(axis=0)]]
             rows = np.unique(np.concatenate(alive)) if alive else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(x[rows]) for x in (cid, i, j)], names=["cid", "i", "j"])
 
@@ -307,17 +334,19 @@ def open_group(sets: list[np.ndarray], side: np.ndarray | None, percent: int = P
     opened = np.flatnonzero(bound >= need(n, percent))  # overlap with the union of the sets it could link with
     if len(opened) < 2:
         return None
-    overlap = _overlaps([sets[k] for k in opened]).astype(np.float64)
-    size = n[opened].astype(np.float64)
-    link = 100 * overlap >= percent * (size[:, None] + size[None, :] - overlap)
-    if side is not None:
-        link &= side[opened][:, None] != side[opened][None, :]
-    np.fill_diagonal(link, False)
-    if not link.any():
-        return None
+    own = None if side is None else side[opened]
+    overlap, size = _overlaps([sets[k] for k in opened], own), n[opened].astype(np.float64)
+    x, y = _sides(len(opened), own)
     out = np.zeros((len(sets), len(sets)), bool)
-    out[np.ix_(opened, opened)] = link
-    return out
+    for at in _slices(len(x), len(y)):
+        rows, common = x[at], overlap[at].astype(np.float64)
+        link = 100 * common >= percent * (size[rows][:, None] + size[y][None, :] - common)
+        if side is None:
+            link[np.arange(len(rows)), rows] = False
+        else:
+            out[np.ix_(opened[y], opened[rows])] = link.T
+        out[np.ix_(opened[rows], opened[y])] = link
+    return out if out.any() else None
 
 
 def find_links(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
