@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import language_id, line_dedup, mixing, ngram_jaccard, sentencepiece_chunks
-from tidemark.llm.common import small
+from tidemark.llm.common import small, small_batches
 from tidemark.session import ensure_checkpoint_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -25,14 +25,16 @@ COPY_WORDS, COPY_PERCENT = 5, 80
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents without a language: no letter at all, or none that fits like its own documents do."""
-    model = language_id.fit(docs.select("doc_id", "text", "lang"), fit_rows=None)
+    with small_batches(spark):
+        model = language_id.fit(docs.select("doc_id", "text", "lang"), fit_rows=None)
     if not model[0]:
         return docs.select(COLUMNS)  # nothing to learn from: nothing to reject by
     rows = docs.select(COLUMNS)
     # The evidence follows from the text alone, so it is kept by the text's hashes and the texts are not written twice.
     own = (F.col("text").isNotNull() & F.col("doc_id").isNotNull()).alias("own")
     hashed = rows.select("text", "lang", own, F.xxhash64("text").alias("_h"), F.hash("text").alias("_g"))
-    scored = language_id.predict(hashed, model, evidence=True).drop("text", "score").checkpoint()
+    with small_batches(spark):
+        scored = language_id.predict(hashed, model, evidence=True).drop("text", "score").checkpoint()
     by_lang = scored.filter(F.col("own") & (F.col("lang_pred") == F.col("lang"))).groupBy("lang")
     rows_of = by_lang.agg(F.percentile_approx("evidence", F.lit(LANG_TAIL), F.lit(10_000)).alias("low")).collect()  # one row per language
     low = {r.lang: min(0.0, r.low - LANG_SLACK) for r in rows_of}

@@ -40,3 +40,42 @@ def test_two_full_groups_meet_in_bounded_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 120e6
+
+
+def test_stages_get_their_rows_in_small_batches(spark, monkeypatch):
+    """An input split of texts, or of sets, must not come as one Arrow batch."""
+    from pyspark.accumulators import AccumulatorParam
+
+    import corpus_pipeline as C
+    from tests.llm.helpers import frame
+
+    class Most(AccumulatorParam):
+        def zero(self, value):
+            return value
+
+        def addInPlace(self, a, b):  # noqa: N802
+            return max(a, b)
+
+    most, seen, plain = spark.sparkContext.accumulator(0, Most()), [], common.with_batches
+
+    def watched(df, *rows):
+        batched, n = plain(df, *rows), len(seen)
+        seen.append(n)
+
+        def watch(batches):
+            for b in batches:
+                most.add(b.nbytes)
+                yield b
+
+        batched.df = batched.df.mapInArrow(watch, batched.df.schema)
+        return batched
+
+    monkeypatch.setattr(C.language_id, "with_batches", watched)
+    monkeypatch.setattr(J, "with_batches", watched)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 1200)) for _ in range(1000)]
+    docs = frame(spark, [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint").coalesce(1)
+    assert C.identify_language(spark, docs, "").count() > 0 and len(seen) > 1
+    assert C.drop_near_copies(spark, docs, "").count() == len(texts) and len(seen) > 3
+    assert 1 << 20 < most.value < 6 << 20
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None

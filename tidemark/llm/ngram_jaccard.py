@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import A1, A2, forest, mix, shingles, small, split_words, texts, whole_groups, with_batches
+from tidemark.llm.common import A1, A2, forest, mix, shingles, small, small_batches, split_words, texts, whole_groups, with_batches
 from tidemark.llm.components import connected_components
 
 WIDTH = 3
@@ -379,22 +379,23 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     is null. Rows repeating a key are documents of their own with that key. Row count is kept. ``percent`` is 1 to 99.
     """
     spark = df.sparkSession
-    described = describe(df, key, text, width, percent).checkpoint()
-    classes = (described.filter("n > 0 and id is not null").groupBy("n", "d1", "d2")
-               .agg(F.min("id").alias("rid"), F.first("mins").alias("mins")).withColumn("cid", F.xxhash64("n", "d1", "d2"))).checkpoint()
-    groups = assign_groups(classes.filter(F.col("n") >= least_size(percent))).checkpoint()
-    n_groups = groups.count()
-    sketch = spark.sparkContext.broadcast(count_sketch(df, text, width))
-    able = (set_arrays(df, key, text, groups, n_groups, sketch, False, width, percent)
-            .join(small(groups.select("cid", "g"), n_groups), "cid")).checkpoint()
-    routes = route(able, percent).checkpoint()
-    met = able.select("cid", "g", "n", "sample").join(small(routes, routes.count()), "cid")
-    left = sift(met, percent).checkpoint()
-    busy = left.select("cid").distinct().join(groups, "cid").checkpoint()
-    n_busy = busy.count()
-    full = set_arrays(df, key, text, busy, n_busy, sketch, True, width, percent).join(small(busy.select("cid", "g"), n_busy), "cid")
-    routed = full.join(small(left, left.count()), "cid")
-    parts = connected_components(find_links(routed, percent)).checkpoint()
+    with small_batches(spark):
+        described = describe(df, key, text, width, percent).checkpoint()
+        classes = (described.filter("n > 0 and id is not null").groupBy("n", "d1", "d2")
+                   .agg(F.min("id").alias("rid"), F.first("mins").alias("mins")).withColumn("cid", F.xxhash64("n", "d1", "d2"))).checkpoint()
+        groups = assign_groups(classes.filter(F.col("n") >= least_size(percent))).checkpoint()
+        n_groups = groups.count()
+        sketch = spark.sparkContext.broadcast(count_sketch(df, text, width))
+        able = (set_arrays(df, key, text, groups, n_groups, sketch, False, width, percent)
+                .join(small(groups.select("cid", "g"), n_groups), "cid")).checkpoint()
+        routes = route(able, percent).checkpoint()
+        met = able.select("cid", "g", "n", "sample").join(small(routes, routes.count()), "cid")
+        left = sift(met, percent).checkpoint()
+        busy = left.select("cid").distinct().join(groups, "cid").checkpoint()
+        n_busy = busy.count()
+        full = set_arrays(df, key, text, busy, n_busy, sketch, True, width, percent).join(small(busy.select("cid", "g"), n_busy), "cid")
+        routed = full.join(small(left, left.count()), "cid")
+        parts = connected_components(find_links(routed, percent)).checkpoint()
     named = (classes.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid")))
     smallest = named.groupBy("component").agg(F.min("rid").alias("component_id"))
     table = named.select("cid", "component").join(smallest, "component").select("cid", "component_id")
